@@ -153,11 +153,11 @@ def _(c):
 
 
 @query("A5_duplicate_document_ids", "doc_id:s path:s n_paths:l",
-       """WITH both AS (SELECT doc_id, path FROM docs
+       """WITH pairs AS (SELECT doc_id, path FROM docs
                         UNION SELECT doc_id, replace(path, '/req.md', '/copy.md') FROM docs
                               WHERE project = 'Brand#7')
           SELECT b.doc_id, b.path, n.n AS n_paths
-          FROM both b JOIN (SELECT doc_id, count(*) AS n FROM both GROUP BY 1 HAVING count(*) > 1) n
+          FROM pairs b JOIN (SELECT doc_id, count(*) AS n FROM pairs GROUP BY 1 HAVING count(*) > 1) n
           ON n.doc_id = b.doc_id""")
 def _(c):
     copies = c.documents.filter("project = 'Brand#7'").withColumn(
@@ -233,19 +233,19 @@ def _(c):
 
 
 @query("G2_document_cycles", "cycle:s",
-       """WITH e AS (
+       """WITH RECURSIVE e AS (
             SELECT doc_id AS src, raw AS dst FROM dep
             UNION SELECT concat('part/', p_partkey // 2, '/req'), concat('part/', p_partkey, '/req') FROM part
                   WHERE p_partkey > 0 AND p_partkey % 97 = 0),
           walk AS (
-            SELECT dst AS head, dst AS at, [dst] AS path, 0 AS hops FROM e WHERE dst <= src
+            SELECT dst AS head, dst AS spot, [dst] AS path, 0 AS hops FROM e WHERE dst <= src
             UNION
-            SELECT w.head, e.dst, list_append(w.path, e.dst), w.hops + 1 FROM walk w JOIN e ON e.src = w.at
+            SELECT w.head, e.dst, list_append(w.path, e.dst), w.hops + 1 FROM walk w JOIN e ON e.src = w.spot
             WHERE e.dst > w.head AND NOT list_contains(w.path, e.dst)),
-          best AS (SELECT head, at, path, row_number() OVER (PARTITION BY head, at ORDER BY hops, path) AS rn
+          best AS (SELECT head, spot, path, row_number() OVER (PARTITION BY head, spot ORDER BY hops, path) AS rn
                    FROM walk)
           SELECT DISTINCT array_to_string(b.path, ' > ') AS cycle
-          FROM best b JOIN e ON e.src = b.at AND e.dst = b.head WHERE b.rn = 1""")
+          FROM best b JOIN e ON e.src = b.spot AND e.dst = b.head WHERE b.rn = 1""")
 def _(c):
     return gr.document_cycles(v.cyclic_edges(c)).select(F.array_join("path", " > ").alias("cycle"))
 
@@ -314,10 +314,10 @@ def _(c):
 @query("G10_weakly_connected", "node:s component:s",
        """WITH RECURSIVE e AS (SELECT dst AS child, src AS parent FROM (
              SELECT raw AS src, doc_id AS dst FROM dep)),
-          up AS (SELECT DISTINCT child AS node, child AS at FROM e
+          up AS (SELECT DISTINCT child AS node, child AS spot FROM e
                  UNION SELECT DISTINCT parent, parent FROM e
-                 UNION SELECT u.node, e.parent FROM up u JOIN e ON e.child = u.at),
-          root AS (SELECT node, max(at) AS r FROM up WHERE at NOT IN (SELECT child FROM e) GROUP BY 1)
+                 UNION SELECT u.node, e.parent FROM up u JOIN e ON e.child = u.spot),
+          root AS (SELECT node, max(spot) AS r FROM up WHERE spot NOT IN (SELECT child FROM e) GROUP BY 1)
           SELECT node, min(node) OVER (PARTITION BY r) AS component FROM root""")
 def _(c):
     return gr.weakly_connected(v.depends_edges(c))

@@ -82,7 +82,7 @@ def are_consecutive(a: Column, b: Column) -> Column:
 
 
 def list_items(attr: Column) -> Column:
-    return F.transform(F.split(attr, ",", -1), F.trim)
+    return F.transform(F.split(attr, ",", -1), lambda item: F.trim(item))
 
 
 def list_is_void(attr: Column) -> Column:

@@ -66,12 +66,15 @@ def apply_ignore(files: DataFrame, ignore_globs: DataFrame, mode: str = "standar
                         "path", "left_anti")
 
 
-def scope_to_directory(tracked_globs: DataFrame, implements: DataFrame, directory: str) -> DataFrame:
-    """Documents that track ``directory`` plus what they implement.
+def scope_to_directory(tracked_globs: DataFrame, implements: DataFrame, directories: DataFrame) -> DataFrame:
+    """(directory, doc_id): documents that track each of ``directories`` and what they implement.
 
-    No rows means that nothing tracks it and no scope applies.
+    A directory without rows is tracked by nothing and sets no scope.
     """
-    here = F.lit(directory.rstrip("/") + "/")
-    hit = tracked_globs.filter(here.startswith(glob_prefix(F.col("glob")))).select("doc_id").distinct()
-    via = implements.select(F.col("src").alias("doc_id"), "dst").join(hit, "doc_id", "left_semi")
-    return hit.unionByName(via.select(F.col("dst").alias("doc_id"))).distinct()
+    asked = directories.select("directory").distinct()
+    above = asked.select("directory", F.explode(_ancestors(
+        F.concat(F.regexp_replace("directory", "/+$", ""), F.lit("/")))).alias("prefix"))
+    globs = tracked_globs.select("doc_id", glob_prefix(F.col("glob")).alias("prefix")).distinct()
+    hit = above.join(globs, "prefix").select("directory", "doc_id").distinct()
+    via = hit.join(implements.select(F.col("src").alias("doc_id"), "dst").distinct(), "doc_id")
+    return hit.unionByName(via.select("directory", F.col("dst").alias("doc_id"))).distinct()

@@ -46,10 +46,9 @@ def neighborhoods(edges: DataFrame) -> DataFrame:
                      F.col("src").alias("peer"), "kind")).distinct()
 
 
-def edge_groups(edges: DataFrame, doc_id: str) -> DataFrame:
-    """Incoming and outgoing edges of one document; a self edge is in both."""
-    return neighborhoods(edges.filter((F.col("src") == doc_id) | (F.col("dst") == doc_id))) \
-        .filter(F.col("doc_id") == doc_id)
+def edge_groups(edges: DataFrame, documents: DataFrame) -> DataFrame:
+    """Incoming and outgoing edges of each of ``documents(doc_id)``; a self edge is in both."""
+    return neighborhoods(edges).join(documents.select("doc_id").distinct(), "doc_id", "left_semi")
 
 
 def cross_cluster_edges(edges: DataFrame, members: DataFrame) -> DataFrame:
@@ -328,18 +327,22 @@ def isolated_documents(documents: DataFrame, components: DataFrame, edges: DataF
 
 
 def find_references(resolved: DataFrame, task_implements: DataFrame, components: DataFrame,
-                    target_doc: str, fragment: str | None = None,
-                    include_declaration: bool = False) -> DataFrame:
-    """Components that refer to a document or to one of its components."""
-    cols = ["doc_id", "name", "ord", "line", "col"]
-    def hits(df):
-        found = df.filter(F.col("target_doc") == target_doc)
-        return found if fragment is None else found.filter(F.col("fragment") == fragment)
-
-    out = hits(resolved).select(*cols).union(hits(task_implements).select(*cols))
-    if include_declaration and fragment is not None:
-        out = out.union(components.filter(
-            (F.col("doc_id") == target_doc) & (F.col("comp_id") == fragment)).select(*cols))
+                    targets: DataFrame, include_declaration: bool = False) -> DataFrame:
+    """Components that refer to each of ``targets(target_doc, fragment)``.
+
+    A target without a fragment is found by any reference into its document.
+    """
+    cols = ["target_doc", "fragment", "doc_id", "name", "ord", "line", "col"]
+    uses = resolved.select(*cols).union(task_implements.select(*cols))
+    whole = targets.filter("fragment is null").select("target_doc").distinct()
+    parts = targets.filter("fragment is not null").select("target_doc", "fragment").distinct()
+    out = uses.drop("fragment").join(whole, "target_doc", "left_semi") \
+        .select("target_doc", F.lit(None).cast("string").alias("fragment"), *cols[2:]).union(
+        uses.join(parts, ["target_doc", "fragment"], "left_semi").select(*cols))
+    if include_declaration:
+        here = components.filter("comp_id is not null").select(
+            F.col("doc_id").alias("target_doc"), F.col("comp_id").alias("fragment"), *cols[2:])
+        out = out.union(here.join(parts, ["target_doc", "fragment"], "left_semi").select(*cols))
     return out.distinct()
 
 

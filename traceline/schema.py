@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 DOCUMENTS = "doc_id string, doc_type string, status string, title string, path string, project string"
 
@@ -101,18 +100,19 @@ MARKER_KINDS = [
 
 def component_defs(spark: SparkSession, user_defs: DataFrame | None = None) -> DataFrame:
     """Built-in definitions, overridden by name by the user's rows."""
-    rows = F.array(*[
-        F.struct(
-            F.lit(name).alias("name"), F.lit(referenceable).alias("referenceable"),
-            F.lit(verifiable).alias("verifiable"), F.lit(target).cast("string").alias("target_component"),
-            F.array(*[
-                F.struct(F.lit(a).alias("name"), F.lit(req).alias("required"), F.lit(lst).alias("list"))
-                for a, req, lst in attributes
-            ]).cast("array<struct<name:string,required:boolean,list:boolean>>").alias("attributes"),
-        )
-        for name, referenceable, verifiable, target, attributes in BUILTIN_COMPONENTS
-    ])
-    builtin = spark.range(1).select(F.inline(rows))
+    def sql(value) -> str:
+        return "null" if value is None else f"'{value}'" if isinstance(value, str) else str(value).lower()
+
+    rows = ", ".join(
+        "({}, array({}))".format(
+            ", ".join(sql(x) for x in head),
+            ", ".join(f"named_struct('name', '{a}', 'required', {sql(r)}, 'list', {sql(many)})"
+                      for a, r, many in attributes))
+        for *head, attributes in BUILTIN_COMPONENTS)
+    builtin = spark.sql(
+        "SELECT name, referenceable, verifiable, CAST(target_component AS string) AS target_component, "
+        "CAST(attributes AS array<struct<name:string,required:boolean,list:boolean>>) AS attributes "
+        f"FROM VALUES {rows} AS t(name, referenceable, verifiable, target_component, attributes)")
     if user_defs is None:
         return builtin
     return user_defs.select(*builtin.columns).unionByName(

@@ -28,16 +28,17 @@ def component_row(df: DataFrame, *, doc_id: Column, path: list, ord: Column, nam
                   parent_name: str | None = None, comp_id: Column | None = None,
                   attrs: dict[str, Column] | None = None, body: Column | None = None,
                   line: Column | None = None) -> DataFrame:
-    """A projection of ``df`` to one component per row; null attributes are absent ones."""
+    """A projection of ``df`` to one component per row; null attributes are absent ones.
+
+    The map is built from literal keys, so a filter on an attribute removes the branches of the
+    component union that cannot have it.
+    """
     steps = [F.lit(p).cast("int") if isinstance(p, int) else p.cast("bigint") for p in path]
     attrs = dict(attrs or {})
     if comp_id is not None:
         attrs = {"id": comp_id, **attrs}
     if attrs:
-        built = F.map_filter(
-            F.create_map(*[x for k, v in attrs.items() for x in (F.lit(k), v.cast("string"))]),
-            lambda k, v: v.isNotNull(),
-        )
+        built = F.create_map(*[x for k, v in attrs.items() for x in (F.lit(k), v.cast("string"))])
     else:
         built = F.create_map().cast("map<string,string>")
     nothing = F.lit(None)
