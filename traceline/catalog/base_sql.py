@@ -133,7 +133,7 @@ alternative AS (
   FROM supplier WHERE s_nationkey >= 20
 ),
 tracked AS (
-  SELECT concat('supplier/', s_suppkey, '/design') AS doc_id, concat('src/nation_', s_nationkey, '/*') AS glob,
+  SELECT concat('supplier/', s_suppkey, '/design') AS doc_id, concat('src/nation_', s_nationkey, '/*') AS pattern,
          s_nationkey AS nation
   FROM supplier
 ),

@@ -42,22 +42,22 @@ def _(c):
     return gl.apply_ignore(c.files, ignore)
 
 
-@query("J9_match_globs", "glob:s path:s mode:s",
-       """SELECT concat('tests/user_', p_partkey, '/*.rs') AS glob, path, 'segment' AS mode
+@query("J9_match_globs", "pattern:s path:s mode:s",
+       """SELECT concat('tests/user_', p_partkey, '/*.rs') AS pattern, path, 'segment' AS mode
           FROM part JOIN files ON user_id = p_partkey
           UNION ALL
           SELECT concat('tests/user_', p_partkey, '/click.rs'), path, 'segment'
           FROM part JOIN files ON user_id = p_partkey AND event_type = 'click'
           UNION ALL
-          SELECT t.glob, p.path, 'crossing' FROM (SELECT DISTINCT glob FROM tracked) t
-          JOIN (SELECT old_path AS path FROM diffs UNION SELECT new_path FROM diffs) p ON p.path GLOB t.glob""")
+          SELECT t.pattern, p.path, 'crossing' FROM (SELECT DISTINCT pattern FROM tracked) t
+          JOIN (SELECT old_path AS path FROM diffs UNION SELECT new_path FROM diffs) p ON p.path GLOB t.pattern""")
 def _(c):
     items, _bad = explode_list_attribute(c.verified_by, "paths")
     globs = items.select(F.col("item").alias("glob"))
     segment = gl.match_globs(globs, c.files).withColumn("mode", F.lit("segment"))
     changed = c.diff_rows.select(F.explode(F.array("old_path", "new_path")).alias("path"))
     crossing = gl.match_globs(rules.tracked_globs(c.components), changed, separator_literal=False)
-    return segment.unionByName(crossing.withColumn("mode", F.lit("crossing")))
+    return segment.unionByName(crossing.withColumn("mode", F.lit("crossing"))).withColumnRenamed("glob", "pattern")
 
 
 EXPLICIT = """

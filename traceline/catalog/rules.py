@@ -104,9 +104,8 @@ RULES = {
                   AND (tag IS NULL OR tag NOT IN (SELECT tag FROM page_tags))""",
         lambda c: rules.zero_tag_matches(c.components, v.tag_matches(c))),
     "empty_tracked_glob": (
-        "R4", f"""SELECT doc_id, glob AS subject, {NONE} AS suggestion FROM tracked t WHERE NOT EXISTS (
-                    SELECT 1 FROM (SELECT regexp_replace(old_path, '/[^/]*/', '/') AS p FROM diffs) d
-                    WHERE regexp_matches(d.p, concat('^src/x', t.nation)))""",
+        "R4", f"""SELECT doc_id, pattern AS subject, {NONE} AS suggestion FROM tracked t WHERE NOT EXISTS (
+                    SELECT 1 FROM diffs d WHERE d.nation = t.nation AND d.old_path NOT LIKE 'src/%/%/%')""",
         lambda c: rules.empty_tracked_glob(c.components, c.diff_rows.select(F.col("old_path").alias("path")))),
     "orphan_test_tag": (
         "R5", f"""SELECT {NONE} AS doc_id, tag AS subject, {NONE} AS suggestion FROM (
@@ -194,6 +193,10 @@ def severity_sql(rule: str, sql: str) -> str:
                FROM ({sql}) f LEFT JOIN docs d ON d.doc_id = f.doc_id"""
 
 
+def all_files(c):
+    return c.files.unionByName(c.diff_rows.select(F.col("old_path").alias("path")))
+
+
 def verify_inputs(c) -> pq.VerifyInputs:
     """Inputs of a verification run; tables used by many rules are written once."""
     resolved, broken = pq.rs.resolve_refs(c.components, c.documents, c.defs, c.projects)
@@ -203,13 +206,12 @@ def verify_inputs(c) -> pq.VerifyInputs:
         documents=c.documents, components=c.components, defs=c.defs,
         graph_errors=pq.graph_errors(c.documents, c.components, c.defs, broken, task_broken, v.depends_edges(c)),
         edges=materialize(pq.gr.all_edges(resolved), "edges"), task_implements=materialize(impl, "task-implements"),
-        evidence_raw=c.evidence_raw, tag_matches=v.tag_matches(c), files=c.files, diagnostics=diagnostics(c),
+        evidence_raw=c.evidence_raw, tag_matches=v.tag_matches(c), files=all_files(c), diagnostics=diagnostics(c),
         id_pattern=ID_PATTERN, suggestions=nn.nearest_document(task_broken, c.documents), block=TASK_BLOCK)
 
 
 VERIFY = "\nUNION ALL\n".join(
-    severity_sql(r, s if r != "empty_tracked_glob" else
-                 f"SELECT doc_id, glob AS subject, {NONE} AS suggestion FROM tracked") for r, (_, s, _b) in RULES.items())
+    severity_sql(r, s) for r, (_, s, _b) in RULES.items())
 
 
 @query("Q2_verify", "rule:s doc_id:s subject:s effective_severity:s",
@@ -310,7 +312,7 @@ def _(c):
             FROM comps WHERE comp_id IS NOT NULL),
           f AS (SELECT doc_id, name, min_by(prefix, ord) AS prefix FROM ids GROUP BY 1, 2)
           SELECT i.doc_id, i.name, concat(f.prefix, '-', max(n) + 1) AS next_id
-          FROM ids i JOIN f ON f.doc_id = i.doc_id AND f.name = i.name AND f.prefix = i.prefix GROUP BY ALL, f.prefix""")
+          FROM ids i JOIN f ON f.doc_id = i.doc_id AND f.name = i.name AND f.prefix = i.prefix GROUP BY i.doc_id, i.name, f.prefix""")
 def _(c):
     return sq.next_sequential_id(c.components)
 
@@ -343,7 +345,7 @@ def _(c):
            SELECT doc_id, id, concat(id, '-', min(n)) AS suggestion
            FROM (SELECT b.*, unnest(range(2, 40)) AS n FROM b) c
            WHERE NOT EXISTS (SELECT 1 FROM ids i WHERE i.doc_id = c.doc_id AND i.id = concat(c.id, '-', c.n))
-           GROUP BY ALL""")
+           GROUP BY doc_id, id""")
 def _(c):
     return sq.unique_suffix(repeated_ids(c), ["doc_id"])
 

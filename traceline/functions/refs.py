@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 U32_MAX = 4294967295
 
-# Prefix segments may not be all digits; one or two numeric segments follow.
-SEQUENTIAL_ID = (
-    r"^((?:[^-]*[^-0-9][^-]*|)(?:-(?:[^-]*[^-0-9][^-]*|))*)-([0-9]+)(?:-([0-9]+))?$"
-)
+# One or two numeric segments at the end; the prefix is checked for numeric segments apart.
+SEQUENTIAL_ID = r"^(.*?)(?:-([0-9]+))?-([0-9]+)$"
+NUMERIC_SEGMENT = r"(?:^|-)[0-9]+(?:-|$)"
 TRAILING_NUMBER = r"^(.*)-(0|[1-9][0-9]*)$"
 
 
@@ -46,16 +45,15 @@ def u32(digits: Column) -> Column:
 
 def parse_sequential_id(ident: Column) -> Column:
     """prefix, n, m and arity of an id such as ``req-3`` or ``req-3-1``; null otherwise."""
-    n = u32(F.regexp_extract(ident, SEQUENTIAL_ID, 2))
-    m_text = F.regexp_extract(ident, SEQUENTIAL_ID, 3)
-    m = u32(m_text)
-    arity = F.when(m_text == "", 1).otherwise(2)
-    valid = ident.rlike(SEQUENTIAL_ID) & n.isNotNull() & ((m_text == "") | m.isNotNull())
+    prefix = F.regexp_extract(ident, SEQUENTIAL_ID, 1)
+    outer = F.regexp_extract(ident, SEQUENTIAL_ID, 2)
+    last = u32(F.regexp_extract(ident, SEQUENTIAL_ID, 3))
+    n = F.when(outer == "", last).otherwise(u32(outer))
     return F.when(
-        valid,
+        ident.rlike("-[0-9]+$") & ~prefix.rlike(NUMERIC_SEGMENT) & last.isNotNull() & n.isNotNull(),
         F.struct(
-            F.regexp_extract(ident, SEQUENTIAL_ID, 1).alias("prefix"),
-            n.alias("n"), m.alias("m"), arity.alias("arity"),
+            prefix.alias("prefix"), n.alias("n"), F.when(outer != "", last).alias("m"),
+            F.when(outer == "", 1).otherwise(2).alias("arity"),
         ),
     )
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from traceline.functions.refs import are_consecutive, list_items, parse_sequential_id, parse_trailing_number
 from traceline.operators import blocks
+from traceline.storage import materialize
 
 STEP = 65536
 
@@ -37,7 +38,7 @@ def sequential_id_order(components: DataFrame, kinds: list[str], block: int = bl
 
 def _level_gaps(values: DataFrame, keys: list[str]) -> DataFrame:
     """Missing integers 1..max of ``value`` per ``keys``, with the neighbours."""
-    real = values.select(*keys, "value").distinct()
+    real = materialize(values.select(*keys, "value").distinct(), "levels")
     low = real.groupBy(*keys).agg(F.min("value").alias("lowest"))
     # A virtual zero makes the stretch before the first number a gap like any other.
     padded = real.unionByName(low.select(*keys, F.lit(0).cast("bigint").alias("value"))).distinct()
@@ -55,7 +56,8 @@ def sequential_id_gaps(components: DataFrame, kinds: list[str]) -> DataFrame:
     ``level`` is ``one`` for prefix-N, ``outer`` for a missing N of prefix-N-M and ``inner`` for a
     missing M.
     """
-    ids = sequential_ids(components, kinds)
+    ids = materialize(sequential_ids(components, kinds).select("doc_id", "prefix", "arity", "n", "m").distinct(),
+                      "sequential-ids")
     shape = ids.groupBy("doc_id", "prefix").agg(F.min("arity").alias("lo"), F.max("arity").alias("hi"))
     pure = shape.filter("lo = hi").select("doc_id", "prefix", F.col("lo").alias("arity"))
     rows = ids.join(pure, ["doc_id", "prefix", "arity"], "left_semi")
