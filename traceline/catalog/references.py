@@ -65,16 +65,6 @@ def _(c):
     return nn.nearest_document(v.task_broken(c), c.documents)
 
 
-@query("J11_find_references", "doc_id:s name:s ord:l",
-       """SELECT DISTINCT doc_id, name, ord FROM (
-            SELECT doc_id, name, ord, target_doc, fragment FROM resolved
-            UNION ALL SELECT doc_id, 'Task', ord, target_doc, fragment FROM task_impl)
-          WHERE target_doc = 'part/8/req' AND fragment = 'crit-1'
-          UNION ALL SELECT doc_id, 'Criterion', ord FROM crit WHERE doc_id = 'part/8/req' AND comp_id = 'crit-1'""")
-def _(c):
-    return gr.find_references(v.resolved(c), v.task_implements(c), c.components, "part/8/req", "crit-1", True)
-
-
 @query("J12_incoming_edges", "target_doc:s fragment:s kind:s src:s status:s",
        """SELECT DISTINCT e.dst AS target_doc, CASE WHEN e.kind = 'references' THEN e.fragment END AS fragment,
                  e.kind, e.src, d.status
@@ -195,14 +185,6 @@ def _(c):
     return gr.document_edges(v.edges(c))
 
 
-@query("U3_edge_groups", "doc_id:s direction:s peer:s kind:s",
-       """SELECT DISTINCT 'part/8/req' AS doc_id, 'out' AS direction, dst AS peer, kind FROM edges
-          WHERE src = 'part/8/req'
-          UNION ALL SELECT DISTINCT 'part/8/req', 'in', src, kind FROM edges WHERE dst = 'part/8/req'""")
-def _(c):
-    return gr.edge_groups(v.edges(c), "part/8/req")
-
-
 @query("U4_cross_cluster_edges", "src:s dst:s kind:s outgoing:b",
        """SELECT DISTINCT e.src, e.dst, e.kind, s.project IS NOT NULL AS outgoing FROM edges e
           LEFT JOIN docs s ON s.doc_id = e.src AND s.project = 'Brand#12'
@@ -273,16 +255,6 @@ def _(c):
     return gr.task_positions(c.tasks)
 
 
-@query("G6_impact", "doc_id:s",
-       """WITH RECURSIVE reach AS (
-            SELECT 'part/8/req' AS doc_id
-            UNION SELECT e.src FROM reach r JOIN (SELECT DISTINCT src, dst FROM edges) e ON e.dst = r.doc_id)
-          SELECT doc_id FROM reach""")
-def _(c):
-    starts = c.documents.filter("doc_id = 'part/8/req'").select("doc_id")
-    return gr.impact(v.edges(c), starts)
-
-
 @query("G7_neighborhoods", "doc_id:s direction:s peer:s kind:s",
        """SELECT DISTINCT src AS doc_id, 'out' AS direction, dst AS peer, kind FROM edges
           UNION ALL SELECT DISTINCT dst, 'in', src, kind FROM edges""")

@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 U32_MAX = 4294967295
 
-# One or two numeric segments at the end; the prefix is checked for numeric segments apart.
-SEQUENTIAL_ID = r"^(.*?)(?:-([0-9]+))?-([0-9]+)$"
-NUMERIC_SEGMENT = r"(?:^|-)[0-9]+(?:-|$)"
+DIGITS = "^[0-9]+$"
 TRAILING_NUMBER = r"^(.*)-(0|[1-9][0-9]*)$"
 
 
@@ -43,19 +41,29 @@ def u32(digits: Column) -> Column:
     return F.when(number <= U32_MAX, number)
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often ``body`` uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def parse_sequential_id(ident: Column) -> Column:
     """prefix, n, m and arity of an id such as ``req-3`` or ``req-3-1``; null otherwise."""
-    prefix = F.regexp_extract(ident, SEQUENTIAL_ID, 1)
-    outer = F.regexp_extract(ident, SEQUENTIAL_ID, 2)
-    last = u32(F.regexp_extract(ident, SEQUENTIAL_ID, 3))
-    n = F.when(outer == "", last).otherwise(u32(outer))
-    return F.when(
-        ident.rlike("-[0-9]+$") & ~prefix.rlike(NUMERIC_SEGMENT) & last.isNotNull() & n.isNotNull(),
-        F.struct(
-            prefix.alias("prefix"), n.alias("n"), F.when(outer != "", last).alias("m"),
-            F.when(outer == "", 1).otherwise(2).alias("arity"),
-        ),
-    )
+    def parse(segments: Column) -> Column:
+        size = F.size(segments)
+        last, before = F.element_at(segments, -1), F.get(segments, size - 2)
+        two = (size >= 3) & before.rlike(DIGITS)
+        n = F.when(two, before).otherwise(last).try_cast("bigint")
+        m = F.when(two, last.try_cast("bigint"))
+        prefix = F.slice(segments, 1, F.greatest(size - F.when(two, 2).otherwise(1), F.lit(0)))
+        valid = (
+            (size >= 2) & last.rlike(DIGITS) & ~F.exists(prefix, lambda s: s.rlike(DIGITS))
+            & (n <= U32_MAX) & (~two | (m <= U32_MAX))
+        )
+        return F.when(valid, F.struct(
+            F.array_join(prefix, "-").alias("prefix"), n.alias("n"), m.alias("m"),
+            F.when(two, 2).otherwise(1).alias("arity")))
+
+    return bind(F.split(ident, "-", -1), parse)
 
 
 def parse_trailing_number(ident: Column) -> Column:
@@ -70,13 +78,15 @@ def parse_trailing_number(ident: Column) -> Column:
 
 def are_consecutive(a: Column, b: Column) -> Column:
     """Same text before the last dash, and the number after it grows by one."""
-    def parts(c: Column) -> tuple[Column, Column]:
-        shaped = c.rlike(r"-\+?[0-9]+$")
-        prefix = F.when(shaped, F.regexp_replace(c, r"-\+?[0-9]+$", ""))
-        return prefix, F.when(shaped, u32(F.regexp_extract(c, r"-\+?([0-9]+)$", 1)))
-
-    (pa, na), (pb, nb) = parts(a), parts(b)
-    return F.coalesce((pa == pb) & (nb == na + 1), F.lit(False))
+    def compare(pair: Column) -> Column:
+        (pa, na), (pb, nb) = (
+            (F.slice(s, 1, F.size(s) - 1), F.element_at(s, -1)) for s in (pair[0], pair[1]))
+        number = lambda c: F.when(c.rlike(r"^\+?[0-9]+$"), c.try_cast("bigint"))
+        return F.coalesce(
+            (F.size(pair[0]) > 1) & (pa == pb) & (number(nb) == number(na) + 1)
+            & (number(nb) <= U32_MAX), F.lit(False))
+
+    return bind(F.array(F.split(a, "-", -1), F.split(b, "-", -1)), compare)
 
 
 def list_items(attr: Column) -> Column:

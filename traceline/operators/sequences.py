@@ -23,8 +23,9 @@ def expand_range(df: DataFrame, first: Column, last: Column, out: str) -> DataFr
 
 def sequential_ids(components: DataFrame, kinds: list[str]) -> DataFrame:
     rows = components.filter(F.col("name").isin(kinds) & F.col("comp_id").isNotNull())
-    return rows.withColumn("seq", parse_sequential_id(F.col("comp_id"))).filter("seq is not null") \
-        .select("doc_id", "comp_id", "ord", "line", "col", "seq.*")
+    # Exploding keeps the parse to one evaluation; a filter on it would be pushed down and repeated.
+    parsed = F.filter(F.array(parse_sequential_id(F.col("comp_id"))), lambda p: p.isNotNull())
+    return rows.select("doc_id", "comp_id", "ord", "line", "col", F.inline(parsed))
 
 
 def sequential_id_order(components: DataFrame, kinds: list[str], block: int = blocks.BLOCK) -> DataFrame:
