@@ -34,7 +34,7 @@ def project_status(documents: DataFrame, components: DataFrame, covered: DataFra
         F.count(F.lit(1)).alias("total"), F.count_if("verified").alias("covered"))
     by_target = targets.select(F.inline(F.array(
         F.struct(F.lit("targets").alias("section"), F.lit("total").alias("key"), F.col("total").alias("n")),
-        F.struct(F.lit("targets"), F.lit("covered"), F.col("covered")))))
+        F.struct(F.lit("targets").alias("section"), F.lit("covered").alias("key"), F.col("covered").alias("n")))))
     return by_doc.unionByName(by_target)
 
 

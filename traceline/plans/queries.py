@@ -21,6 +21,7 @@ from traceline.operators import resolve as rs
 from traceline.operators import rules
 from traceline.operators.blocks import BLOCK
 from traceline.operators.globs import match_globs
+from traceline.storage import materialize
 
 
 # -- Q1: graph -------------------------------------------------------------------------------
@@ -106,7 +107,7 @@ class VerifyInputs:
 
 def rule_findings(x: VerifyInputs) -> DataFrame:
     """Raw findings of all rules."""
-    merged = ev.merge_evidence(x.evidence_raw)
+    merged = materialize(ev.merge_evidence(x.evidence_raw), "evidence")
     parts = [
         rules.missing_verification_evidence(x.components, merged),
         rules.missing_test_files(x.components, x.files),
@@ -176,6 +177,14 @@ def plan_tasks(components: DataFrame, task_implements: DataFrame, targets: DataF
     )
 
 
+def _plan_tables(components: DataFrame, task_implements: DataFrame, targets: DataFrame
+                 ) -> tuple[DataFrame, DataFrame]:
+    """The resolved links and the tasks of a plan, written once because several parts read them."""
+    links = materialize(
+        task_implements.select("doc_id", "comp_id", "target_doc", "fragment").distinct(), "plan-links")
+    return links, materialize(plan_tasks(components, links, targets), "plan-tasks")
+
+
 def blocked_tasks(tasks: DataFrame) -> DataFrame:
     """Pending tasks with a dependency that is itself pending; others count as satisfied."""
     pending = tasks.filter("not done")
@@ -202,7 +211,7 @@ def plan(components: DataFrame, task_implements: DataFrame, targets: DataFrame,
 
     Pending tasks are the actionable and the blocked ones.
     """
-    tasks = plan_tasks(components, task_implements, targets)
+    task_implements, tasks = _plan_tables(components, task_implements, targets)
     stuck = blocked_tasks(tasks).withColumn("stuck", F.lit(True))
     states = tasks.join(stuck, ["doc_id", "comp_id"], "left").select(
         F.when(F.col("done"), "completed").when(F.col("stuck"), "blocked").otherwise("actionable").alias("section"),
@@ -214,7 +223,7 @@ def plan(components: DataFrame, task_implements: DataFrame, targets: DataFrame,
 def partition_targets(components: DataFrame, task_implements: DataFrame, targets: DataFrame,
                       covered: DataFrame) -> DataFrame:
     """Outstanding targets as actionable or blocked."""
-    tasks = plan_tasks(components, task_implements, targets)
+    task_implements, tasks = _plan_tables(components, task_implements, targets)
     stuck = blocked_tasks(tasks).withColumn("stuck", F.lit(True))
     pending = tasks.filter("not done").join(stuck, ["doc_id", "comp_id"], "left") \
         .select("doc_id", "comp_id", F.col("stuck").isNull().alias("free"))
@@ -237,6 +246,7 @@ def context(documents: DataFrame, components: DataFrame, edges: DataFrame, task_
     linked_decision, implemented_by, task.
     """
     wanted = documents.select("doc_id").distinct()
+    edges = materialize(edges, "context-edges")
 
     def part(df: DataFrame, section: str, item: Column, detail: Column, doc: str = "doc_id") -> DataFrame:
         return df.select(F.col(doc).alias("doc_id"), F.lit(section).alias("section"),
@@ -328,8 +338,8 @@ def affected_summary(docs: DataFrame, matches: DataFrame, edges: DataFrame, scop
             .join(mine.filter("transitive_from is not null").select(F.col("doc_id").alias("src")), "src", "left_semi")
         files = own.union(matches.join(hop.select(F.col("dst").alias("doc_id")).distinct(), "doc_id", "left_semi")
                           .select("path"))
-    counts = mine.agg(F.count_if("transitive_from is null").alias("direct"),
-                      F.count_if("transitive_from is not null").alias("transitive"))
+    counts = mine.agg(F.count_if(F.col("transitive_from").isNull()).alias("direct"),
+                      F.count_if(F.col("transitive_from").isNotNull()).alias("transitive"))
     n_files = files.distinct().agg(F.count(F.lit(1)))
     return counts.withColumn("changed_files", n_files.scalar())
 
