@@ -56,15 +56,15 @@ def _(c):
     return fronts(c).withColumn("owner", F.variant_get("extra", "$.owner", "string"))
 
 
-@query("S4_extract_fences", "path:s starts_tag:b n_lines:l n_bytes:l",
+@query("S4_extract_fences", "path:s starts_tag:b n_lines:l line:l",
        """SELECT concat('specs/part/', p_partkey, '.md') AS path, true AS starts_tag,
-                 4 + 3 * (1 + p_size % 5) + 1 + CASE WHEN p_partkey > 0 THEN 1 ELSE 0 END - CASE p_size WHEN 50 THEN 1 ELSE 0 END
+                 4 + 3 * (1 + p_size % 5) + CASE WHEN p_partkey > 0 THEN 1 ELSE 0 END - CASE p_size WHEN 50 THEN 1 ELSE 0 END
                    AS n_lines,
-                 NULL AS n_bytes FROM part""")
+                 10 + CASE p_brand WHEN 'Brand#8' THEN 0 WHEN 'Brand#9' THEN 7 ELSE 8 END AS line FROM part""")
 def _(c):
     lines = F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit("")))
     return fences(c).select("path", F.col("content").startswith("<AcceptanceCriteria>").alias("starts_tag"),
-                            lines.alias("n_lines"), F.lit(None).cast("bigint").alias("n_bytes"))
+                            lines.alias("n_lines"), "line")
 
 
 COMPONENTS = """
@@ -136,7 +136,7 @@ def _(c):
             SELECT concat('specs/part/', p_partkey, '.md') AS path, 'comment' AS state, 5 AS n FROM part
             UNION ALL SELECT concat('specs/part/', p_partkey, '.md'), 'mark', 4 FROM part
             UNION ALL SELECT concat('specs/part/', p_partkey, '.md'), 'text', 6 FROM part
-            UNION ALL SELECT concat('specs/part/', p_partkey, '.md'), 'fence', 3 + 5 + 3 * (1 + p_size % 5)
+            UNION ALL SELECT concat('specs/part/', p_partkey, '.md'), 'fence', 3 + 4 + 3 * (1 + p_size % 5)
                       + CASE WHEN p_partkey > 0 THEN 1 ELSE 0 END - CASE p_size WHEN 50 THEN 1 ELSE 0 END FROM part)
           GROUP BY 1, 2""")
 def _(c):
@@ -376,10 +376,11 @@ def spec_fence_lines(c, front=None):
 
 
 @query("B1_rename_component_plan", "path:s line_no:l col_start:l col_end:l old_text:s new_text:s",
-       """SELECT concat('specs/part/', p_partkey, '.md') AS path, 9 + 3 * n AS line_no, 15 AS col_start, 15 + length(concat('crit-', n)) AS col_end,
-                 concat('crit-', n) AS old_text, concat('criterion-', n) AS new_text
-          FROM (SELECT *, CASE WHEN n > 1 THEN n + CASE p_size WHEN 50 THEN -1 ELSE 0 END / 3 ELSE n END AS m
-                FROM (SELECT *, unnest(range(1, 2 + p_size % 5)) AS n FROM part)) WHERE p_brand NOT IN ('Brand#8', 'Brand#9') AND p_size <> 50 AND false""")
+       """SELECT concat('specs/part/', p_partkey, '.md') AS path, 8 + 8 + 3 * n + CASE WHEN n > 1 THEN 1 ELSE 0 END AS line_no,
+                 15 AS col_start, 15 + length(concat('crit-', n)) AS col_end, concat('crit-', n) AS old_text,
+                 concat('criterion-', n) AS new_text
+          FROM (SELECT *, unnest(range(1, 2 + p_size % 5)) AS n FROM part)
+          WHERE p_brand NOT IN ('Brand#8', 'Brand#9') AND p_size <> 50""")
 def _(c):
     front = fronts(c)
     docs = front.filter("kind = 'spec'").select("path", "doc_id")
@@ -422,7 +423,7 @@ def _(c):
 
 @query("S16_export_documents", "doc_id:s part:s kind:s at:s comp_id:s",
        """SELECT doc_id, 'component' AS part, name AS kind, comp_path AS at, comp_id FROM comps
-          UNION ALL SELECT DISTINCT src, 'edge', kind, NULL, NULL FROM edges""".replace(" AS at,", ' AS "at",'))
+          UNION ALL SELECT src, 'edge', kind, NULL, NULL FROM (SELECT DISTINCT src, dst, kind FROM edges)""".replace(" AS at,", ' AS "at",'))
 def _(c):
     from traceline.storage import scratch_path
 

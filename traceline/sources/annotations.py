@@ -76,7 +76,7 @@ def scan_rust_annotations(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(g(2) != "", g(1)).otherwise(g(3)).alias("attributes"), g(4).alias("is_async"), g(5).alias("test_name"),
         g(6).alias("body"))
     scope = F.when(F.col("what") == "macro", F.struct(F.lit(True).alias("inside"), F.col("attributes").alias("outer"))) \
-        .when(F.col("what") == "end", F.struct(F.lit(False), F.lit("")))
+        .when(F.col("what") == "end", F.struct(F.lit(False).alias("inside"), F.lit("").alias("outer")))
     scoped = blocks.carry_forward(rows, ["path"], ["pos"], {"scope": scope}).filter("what = 'fn'")
     inside = F.coalesce(F.col("scope.inside"), F.lit(False))
     own = F.col("attributes").rlike(VERIFIES)

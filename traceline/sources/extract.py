@@ -61,6 +61,10 @@ def normalize_text(files: DataFrame) -> DataFrame:
         "text", F.regexp_replace(F.regexp_replace("text", "\\A\ufeff", ""), "\r\n", "\n"))
 
 
+def _newlines(column: str) -> Column:
+    return F.length(column) - F.length(F.replace(column, F.lit("\n"), F.lit("")))
+
+
 # -- S3 ----------------------------------------------------------------------------------------
 
 FRONT = r"(?sdm)\A---[ \t]*\n(.*?)^---[ \t]*$\n?"
@@ -70,7 +74,7 @@ def extract_front_matter(files: DataFrame, namespace: str = NAMESPACE) -> DataFr
     """One row per file: ``kind`` is ``spec``, ``other`` or ``error`` with ``error`` set.
 
     Keys outside the namespace are kept in the variant ``extra``; ``body`` is the text after the
-    front matter and ``body_offset`` its byte offset.
+    front matter, ``body_offset`` its byte offset and ``body_line`` the number of lines before it.
     """
     text = F.col("text")
     opened = text.rlike(r"(?sd)\A---[ \t]*(?:\n|\z)")
@@ -89,11 +93,11 @@ def extract_front_matter(files: DataFrame, namespace: str = NAMESPACE) -> DataFr
 
     keys = F.regexp_extract_all(front, F.lit(r"(?dm)^([\w-]+):[ \t]*([^\n]*)$"), F.lit(1))
     values = F.regexp_extract_all(front, F.lit(r"(?dm)^([\w-]+):[ \t]*([^\n]*)$"), F.lit(2))
-    pairs = F.filter(F.arrays_zip(keys.alias("k"), values.alias("v")), lambda p: p["0"] != namespace)
+    pairs = F.filter(F.arrays_zip(keys.alias("k"), values.alias("v")), lambda p: p["k"] != namespace)
     # The last value of a repeated key wins, as the map is built from distinct keys.
     extra = F.transform(
-        F.array_distinct(F.transform(pairs, lambda p: p["0"])),
-        lambda k: F.struct(k, F.element_at(F.filter(pairs, lambda p: p["0"] == k), -1)["1"]))
+        F.array_distinct(F.transform(pairs, lambda p: p["k"])),
+        lambda k: F.struct(k, F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"]))
     doc_id = scalar(block, "id", r"[ \t]+")
     error = (
         F.when(opened & ~closed, "unclosed_front_matter")
@@ -111,6 +115,7 @@ def extract_front_matter(files: DataFrame, namespace: str = NAMESPACE) -> DataFr
         F.when(closed, F.parse_json(F.to_json(F.map_from_entries(extra)))).alias("extra"),
         text.substr(F.length("_whole") + 1, F.length(text)).alias("body"),
         F.octet_length("_whole").cast("bigint").alias("body_offset"),
+        _newlines("_whole").alias("body_line"),
     )
 
 
@@ -126,37 +131,33 @@ def text_pieces(docs: DataFrame) -> DataFrame:
     Pieces cover the body without gaps, so both are running sums over the pieces before.
     """
     raw = docs.select(
-        "path", F.col("body_offset"), F.posexplode(F.regexp_extract_all("body", F.lit(PIECE), F.lit(0)))
+        "path", "body_offset", "body_line", F.posexplode(F.regexp_extract_all("body", F.lit(PIECE), F.lit(0)))
         .alias("piece_no", "piece")).filter("piece <> ''")
     cut = raw.select(
-        "path", "body_offset", "piece_no", "piece", _part(1).alias("before"), _part(2, 7).alias("opening"),
+        "path", "body_offset", "body_line", "piece_no", "piece", _part(1).alias("before"), _part(2, 7).alias("opening"),
         _part(4, 9).alias("info"), _part(5, 10).alias("content"), _part(6, 11).alias("closing"),
         _part(12).alias("comment"))
     size = F.octet_length("piece")
-    lines = F.length("piece") - F.length(F.replace("piece", F.lit("\n"), F.lit("")))
+    lines = _newlines("piece")
     summed = blocks.running_sum(cut, ["path"], ["piece_no"], size, "_end")
     summed = blocks.running_sum(summed, ["path"], ["piece_no"], lines, "_lines")
     return summed.select(
         "path", "piece_no", "before", "opening", F.trim("info").alias("info"), "content", "closing", "comment",
         (F.col("body_offset") + F.col("_end") - size).alias("start"),
-        (F.col("_lines") - lines + 1).alias("line"))
+        (F.col("body_line") + F.col("_lines") - lines + 1).alias("line"))
 
 
 def extract_fences(docs: DataFrame, lang: str = FENCE_LANG) -> DataFrame:
-    """Fences of one language: path, fence_no, byte range [start, end), content and its position.
-
-    ``line`` of the content counts from the first line of the body.
-    """
+    """Fences of one language: path, fence_no, byte range [start, end), content and its position."""
     rows = text_pieces(docs.filter(F.col("body").contains(lang))).filter("opening <> ''") \
         .filter(F.split("info", r"\s+")[0] == lang)
-    newline_count = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
     start = F.col("start") + F.octet_length("before")
     content_start = start + F.octet_length("opening")
     return rows.select(
         "path", F.col("piece_no").alias("fence_no"), start.alias("start"),
         (content_start + F.octet_length("content") + F.octet_length("closing")).alias("end"),
         content_start.alias("content_start"),
-        (F.col("line") + newline_count("before") + newline_count("opening")).alias("line"), "content")
+        (F.col("line") + _newlines("before") + _newlines("opening")).alias("line"), "content")
 
 
 def line_state(docs: DataFrame) -> DataFrame:
@@ -184,7 +185,7 @@ def tag_tokens(fences: DataFrame) -> DataFrame:
     raw = fences.select("path", "fence_no", "content_start", "line", F.posexplode(
         F.regexp_extract_all("content", F.lit(TOKEN), F.lit(0))).alias("pos", "token"))
     size = F.octet_length("token")
-    nl = F.length("token") - F.length(F.replace("token", F.lit("\n"), F.lit("")))
+    nl = _newlines("token")
     keys, order = ["path", "fence_no"], ["pos"]
     rows = blocks.running_sum(raw, keys, order, size, "_end")
     rows = blocks.running_sum(rows, keys, order, nl, "_nl")

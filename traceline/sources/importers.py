@@ -61,7 +61,8 @@ def parse_requirements(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         "_h2_line": F.when(text.startswith("## ") & ~glossary, F.col("line")),
         "_req": F.when(heading, F.struct(
             F.col("line").alias("line"), _x(REQ_HEADING, 1).alias("number"), _given(_x(REQ_HEADING, 2)).alias("title")))
-        .when(glossary, F.struct(nothing.cast("int"), nothing.cast("string"), nothing.cast("string"))),
+        .when(glossary, F.struct(nothing.cast("int").alias("line"), nothing.cast("string").alias("number"),
+                                nothing.cast("string").alias("title"))),
     }
     rows = blocks.carry_forward(lines, ["file"], ["line"], marks)
     left = (F.col("_section") == "glossary") & (F.col("_h2_line") > F.col("_section_line"))
@@ -80,13 +81,12 @@ def parse_requirements(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _refs(rows: DataFrame, value: Column) -> DataFrame:
     """Tokens of a reference list: requirement, criterion and marker columns, ranges expanded."""
     tokens = rows.withColumn("value", value).select("*", F.posexplode(requirement_ref_tokens(F.col("value"))).alias("k", "token"))
-    parsed = tokens.withColumn("t", expand_ref_token(F.col("token")))
     keep = [*rows.columns, "value", "k", "token"]
-    single = parsed.filter("t.first is null").select(
-        *keep, F.col("t.requirement").alias("requirement"), F.col("t.criterion").alias("criterion"), F.col("t.marker").alias("marker"))
-    ranged = expand_range(parsed.filter("t.first is not null"), F.col("t.first"), F.col("t.last"), "_i").select(
-        *keep, F.col("t.requirement").alias("requirement"), F.col("_i").cast("string").alias("criterion"),
-        F.when(F.col("_i") == F.col("t.first"), F.col("t.marker")).alias("marker"))
+    parsed = tokens.select(*keep, F.inline(F.array(expand_ref_token(F.col("token")))))
+    single = parsed.filter("first is null").select(*keep, "requirement", "criterion", "marker")
+    ranged = expand_range(parsed.filter("first is not null"), F.col("first"), F.col("last"), "_i").select(
+        *keep, "requirement", F.col("_i").cast("string").alias("criterion"),
+        F.when(F.col("_i") == F.col("first"), F.col("marker")).alias("marker"))
     return single.unionByName(ranged)
 
 
@@ -97,7 +97,7 @@ def parse_tasks(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     is_task, is_sub = text.rlike(TASK), text.rlike(SUB_TASK)
     nothing = F.lit(None).cast("string")
     owner = F.when(is_task, F.struct(F.col("line").alias("line"), _x(TASK, 3).alias("task"), nothing.alias("sub"))) \
-        .when(is_sub, F.struct(F.col("line"), _x(SUB_TASK, 3), _x(SUB_TASK, 4)))
+        .when(is_sub, F.struct(F.col("line").alias("line"), _x(SUB_TASK, 3).alias("task"), _x(SUB_TASK, 4).alias("sub")))
     rows = blocks.carry_forward(lines, ["file"], ["line"], {
         "_in_tasks": F.when(h2, F.lower(F.trim(_x(r"^## (.+)$", 1))) == "tasks"), "_owner": owner,
         "_section_line": F.when(h2, F.col("line")),
