@@ -245,12 +245,28 @@ def _(c):
         "doc_id", F.lit(None).cast("string").alias("cycle"), "raw", "reason"))
 
 
-@query("G4_document_order", "doc_id:s position:l level:l")
+@query("G4_document_order", "doc_id:s position:l level:l",
+       """WITH RECURSIVE keyed AS (
+            SELECT doc_id, [doc_id] AS k, 0 AS level FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM dep)
+            UNION ALL
+            SELECT d.doc_id, list_append(list_filter(p.k, lambda x: x > d.doc_id), d.doc_id), p.level + 1
+            FROM keyed p JOIN dep d ON d.raw = p.doc_id)
+          SELECT doc_id, row_number() OVER (ORDER BY k) - 1 AS position, level FROM keyed""")
 def _(c):
     return gr.document_order(c.documents, v.depends_edges(c))
 
 
-@query("G5_task_order", "doc_id:s comp_id:s position:l")
+@query("G5_task_order", "doc_id:s comp_id:s position:l",
+       """WITH RECURSIVE node AS (SELECT doc_id, comp_id, max(ord) AS ord FROM task GROUP BY 1, 2),
+          link AS (SELECT DISTINCT t.doc_id, t.comp_id, t.depends FROM task t JOIN node n ON n.doc_id = t.doc_id AND n.comp_id = t.depends),
+          keyed AS (
+            SELECT doc_id, comp_id, [ord] AS k FROM node n
+            WHERE NOT EXISTS (SELECT 1 FROM link l WHERE l.doc_id = n.doc_id AND l.comp_id = n.comp_id)
+            UNION ALL
+            SELECT n.doc_id, n.comp_id, list_append(list_filter(p.k, lambda x: x > n.ord), n.ord)
+            FROM keyed p JOIN link l ON l.doc_id = p.doc_id AND l.depends = p.comp_id
+            JOIN node n ON n.doc_id = l.doc_id AND n.comp_id = l.comp_id)
+          SELECT doc_id, comp_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS position FROM keyed""")
 def _(c):
     return gr.task_positions(c.tasks)
 

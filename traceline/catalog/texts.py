@@ -220,10 +220,17 @@ def _(c):
     return es.check_rule_config(rows)
 
 
-@query("P18_describe_schema", "section:s name:s entry:s")
+@query("P18_describe_schema", "section:s name:s n:l",
+       """SELECT 'document_type' AS section, 'design' AS name, count(DISTINCT status) AS n FROM docs WHERE doc_type = 'design'
+          UNION ALL SELECT 'document_type', t, 4 FROM (SELECT unnest(['requirements', 'tasks', 'adr']) AS t)
+          UNION ALL SELECT 'component', k.name, k.n FROM (SELECT unnest([
+            {'name': 'AcceptanceCriteria', 'n': 0}, {'name': 'Criterion', 'n': 1}, {'name': 'References', 'n': 1},
+            {'name': 'VerifiedBy', 'n': 3}, {'name': 'Implements', 'n': 1}, {'name': 'DependsOn', 'n': 1}, {'name': 'Task', 'n': 4},
+            {'name': 'TrackedFiles', 'n': 1}, {'name': 'Decision', 'n': 2}, {'name': 'Rationale', 'n': 0},
+            {'name': 'Alternative', 'n': 2}]) AS k)""")
 def _(c):
     types = c.documents.groupBy("doc_type").agg(F.array_sort(F.collect_set("status")).alias("statuses")).filter("doc_type = 'design'")
-    return fl.describe_schema(c.defs, types)
+    return fl.describe_schema(c.defs, types).groupBy("section", "name").agg(F.count("entry").alias("n"))
 
 
 # -- importers ----------------------------------------------------------------------------------
@@ -390,7 +397,19 @@ def _(c):
     return rf.rename_component_plan(spec_fence_lines(c, front), docs, renames)
 
 
-@query("B2_rename_document_plan", "path:s line_no:l col_start:l col_end:l old_text:s new_text:s")
+@query("B2_rename_document_plan", "path:s line_no:l col_start:l col_end:l old_text:s new_text:s",
+       """SELECT concat('specs/part/', p_partkey, '.md') AS path, 3 AS line_no, 6 AS col_start,
+                 6 + length(concat('part/', p_partkey, '/req')) AS col_end, concat('part/', p_partkey, '/req') AS old_text,
+                 concat('new/part/', p_partkey, '/req') AS new_text
+          FROM part WHERE p_brand NOT IN ('Brand#8', 'Brand#9')
+          UNION ALL
+          SELECT concat('specs/part/', p.p_partkey, '.md'),
+                 CASE p.p_brand WHEN 'Brand#8' THEN 0 WHEN 'Brand#9' THEN 7 ELSE 8 END + 9 + 5 + 3 * (1 + p.p_size % 5)
+                   - CASE p.p_size WHEN 50 THEN 1 ELSE 0 END,
+                 17, 17 + length(concat('part/', t.p_partkey, '/req')), concat('part/', t.p_partkey, '/req'),
+                 concat('new/part/', t.p_partkey, '/req')
+          FROM part p JOIN part t ON t.p_partkey = p.p_partkey // 2 AND t.p_brand NOT IN ('Brand#8', 'Brand#9')
+          WHERE p.p_partkey > 0""")
 def _(c):
     front = fronts(c)
     renames = front.filter("kind = 'spec'").select(F.col("doc_id").alias("old_id"), F.concat(F.lit("new/"), "doc_id").alias("new_id"))

@@ -135,30 +135,25 @@ def expand_ref_token(token: Column) -> Column:
     A numeric range is kept as its two ends, so that a wide range is expanded by the caller in
     steps rather than as one array.
     """
-    g = [F.regexp_extract(token, _RANGE, i) for i in range(1, 5)]
-    ranged = token.rlike(_RANGE)
-    digits = g[1].rlike("^[0-9]+$") & g[3].rlike("^[0-9]+$")
-    lo, hi = u32(g[1]), u32(g[3])
-    numeric = digits & lo.isNotNull() & hi.isNotNull()
-    single = token.rlike(_TOKEN)
-    marker = (
-        F.when(ranged & numeric & (lo > hi),
-               F.concat(F.lit("Range has start > end: '"), token, F.lit("'")))
-        .when(ranged & numeric & (g[0] != g[2]),
-              F.concat(F.lit("Range has different requirement numbers: '"), g[0],
-                       F.lit("' vs '"), g[2], F.lit("' in '"), token, F.lit("'")))
-        .when(ranged & numeric, F.lit(None).cast("string"))
-        .when(ranged, F.concat(F.lit("Non-numeric range indices in '"), token,
-                               F.lit("', cannot expand")))
-        .when(single, F.lit(None).cast("string"))
-        .otherwise(F.concat(F.lit("Could not parse reference token '"), token, F.lit("'")))
-    )
-    good_range = ranged & numeric & (lo <= hi)
-    return F.struct(
-        F.when(good_range, g[0]).when(~ranged & single, F.regexp_extract(token, _TOKEN, 1))
-        .alias("requirement"),
-        F.when(good_range, lo).alias("first"),
-        F.when(good_range, hi).alias("last"),
-        F.when(~ranged & single, F.regexp_extract(token, _TOKEN, 2)).alias("criterion"),
-        marker.alias("marker"),
-    )
+    def read(groups: Column) -> Column:
+        token, single = groups[0], groups[5]
+        start_req, start, end_req, end = (groups[i] for i in range(1, 5))
+        ranged, number = start_req != "", lambda c: F.when(c.rlike(DIGITS), c.try_cast("bigint"))
+        lo, hi = number(start), number(end)
+        numeric = F.coalesce((lo <= U32_MAX) & (hi <= U32_MAX), F.lit(False))
+        good = ranged & numeric & (lo <= hi)
+        quote = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+        marker = (
+            F.when(ranged & ~numeric, quote("Non-numeric range indices in '", token, "', cannot expand"))
+            .when(ranged & (lo > hi), quote("Range has start > end: '", token, "'"))
+            .when(ranged & (start_req != end_req), quote(
+                "Range has different requirement numbers: '", start_req, "' vs '", end_req, "' in '", token, "'"))
+            .when(~ranged & (single == ""), quote("Could not parse reference token '", token, "'")))
+        return F.struct(
+            F.when(good, start_req).when(~ranged & (single != ""), F.substring_index(single, ".", 1)).alias("requirement"),
+            F.when(good, lo).alias("first"), F.when(good, hi).alias("last"),
+            F.when(~ranged & (single != ""), F.substring_index(single, ".", -1)).alias("criterion"),
+            marker.alias("marker"))
+
+    return bind(F.array(
+        token, *[F.regexp_extract(token, _RANGE, i) for i in range(1, 5)], F.regexp_extract(token, _TOKEN, 0)), read)
