@@ -84,7 +84,7 @@ def merge_evidence(raw: DataFrame) -> DataFrame:
     """
     return normalize_targets(raw).groupBy("test", "targets").agg(
         F.count(F.lit(1)).alias("n_records"),
-        F.min_by(F.struct("file", "line", "col", F.col("provenance")[0]["kind"].alias("evidence_kind")),
+        F.min_by(F.struct("file", "line", "col", F.get("provenance", F.lit(0))["kind"].alias("evidence_kind")),
                  "ord").alias("first"),
     ).select("test", "targets", "n_records", "first.*")
 

@@ -50,7 +50,7 @@ def isolation_sources(documents: DataFrame, projects: DataFrame) -> DataFrame:
     return documents.join(isolated, "project").select("doc_id", F.col("project").alias("own_project"))
 
 
-def _check(items: DataFrame, documents: DataFrame, referenceable: DataFrame,
+def _check(items: DataFrame, documents: DataFrame, components: DataFrame, defs: DataFrame,
            projects: DataFrame) -> DataFrame:
     """Reference items with what the lookups found.
 
@@ -61,7 +61,10 @@ def _check(items: DataFrame, documents: DataFrame, referenceable: DataFrame,
                         ref_fragment(F.col("item")).alias("fragment"))
     docs = documents.select(F.col("doc_id").alias("target_doc"),
                             F.col("project").alias("target_project"), F.lit(True).alias("doc_found"))
-    comps = referenceable.select(
+    # Only components that some reference names take part in the lookup.
+    named = refs.filter("fragment is not null").select(
+        F.col("target_doc").alias("doc_id"), F.col("fragment").alias("comp_id")).distinct()
+    comps = referenceable_components(components.join(named, ["doc_id", "comp_id"], "left_semi"), defs).select(
         F.col("doc_id").alias("target_doc"), F.col("comp_id").alias("fragment"),
         F.col("name").alias("target_name"), F.col("verifiable").alias("target_verifiable"))
     return (
@@ -89,7 +92,7 @@ def resolve_refs(components: DataFrame, documents: DataFrame, defs: DataFrame,
     """(resolved, broken) items of the ``refs`` attribute of every known component."""
     known = defs.select("name", "target_component")
     items, voided = explode_list_attribute(components.join(known, "name"), "refs")
-    checked = _check(items, documents, referenceable_components(components, defs), projects)
+    checked = _check(items, documents, components, defs, projects)
     reason = _base_reason().when(
         F.col("fragment").isNotNull() & (F.col("target_name") != F.col("target_component")),
         "wrong_component")
@@ -116,7 +119,7 @@ def resolve_task_implements(components: DataFrame, documents: DataFrame, defs: D
     """(resolved, broken) items of task ``implements``; a verifiable fragment is required."""
     tasks = components.filter((F.col("name") == "Task") & F.col("comp_id").isNotNull())
     items, voided = explode_list_attribute(tasks, "implements")
-    checked = _check(items, documents, referenceable_components(components, defs), projects)
+    checked = _check(items, documents, components, defs, projects)
     reason = (
         F.when(F.col("fragment").isNull(), "fragment_required")
         .when(is_cross_project(), "cross_project")
