@@ -30,23 +30,33 @@ def _local(keys: Sequence[str], order: Sequence[str]):
     return Window.partitionBy(*keys, _BLK).orderBy(*order)
 
 
-def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column,
-                out: str, size: int = BLOCK) -> DataFrame:
-    """Running total of ``value`` within ``keys``, this row included."""
-    rows = _with_block(df.withColumn("_v", value.cast("bigint")), order, size)
+def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column],
+                 size: int = BLOCK) -> DataFrame:
+    """For each ``out: value``, the running total within ``keys``, this row included; one pass for all.
+
+    The input is read twice, so write it first when it is itself the result of such a pass.
+    """
+    rows = df
+    for out, value in values.items():
+        rows = rows.withColumn(f"_v_{out}", value.cast("bigint"))
+    rows = _with_block(rows, order, size)
     upto = _local(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy(*keys).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = (
-        rows.groupBy(*keys, _BLK).agg(F.sum("_v").alias("_t"))
-        .select(*keys, _BLK, F.sum("_t").over(before).alias("_carry"))
-        .filter(F.col("_carry") != 0)
-    )
-    return (
-        rows.withColumn("_run", F.sum("_v").over(upto))
-        .join(carry, [*keys, _BLK], "left")
-        .withColumn(out, F.col("_run") + F.coalesce("_carry", F.lit(0)))
-        .drop("_v", "_run", "_carry", _BLK)
-    )
+    totals = rows.groupBy(*keys, _BLK).agg(*[F.sum(f"_v_{out}").alias(f"_t_{out}") for out in values])
+    carry = totals.select(*keys, _BLK, *[F.sum(f"_t_{out}").over(before).alias(f"_c_{out}") for out in values])
+    moved = F.lit(False)
+    for out in values:
+        moved = moved | (F.col(f"_c_{out}") != 0)
+    joined = rows.select("*", *[F.sum(f"_v_{out}").over(upto).alias(f"_l_{out}") for out in values]) \
+        .join(carry.filter(moved), [*keys, _BLK], "left")
+    for out in values:
+        joined = joined.withColumn(out, F.col(f"_l_{out}") + F.coalesce(f"_c_{out}", F.lit(0)))
+    return joined.drop(_BLK, *[f"_{p}_{out}" for p in "vlc" for out in values])
+
+
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column,
+                out: str, size: int = BLOCK) -> DataFrame:
+    return running_sums(df, keys, order, {out: value}, size)
 
 
 def row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str,
@@ -93,12 +103,13 @@ def lead(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequ
 
 
 def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                  columns: dict[str, Column], size: int = BLOCK) -> DataFrame:
-    """For each ``out: value``, the last non-null ``value`` up to and including this row."""
+                  columns: dict[str, Column], size: int = BLOCK, exclusive: bool = False) -> DataFrame:
+    """For each ``out: value``, the last non-null ``value`` up to this row, or with ``exclusive``
+    before it."""
     rows = _with_block(df, order, size)
     for out, value in columns.items():
         rows = rows.withColumn(f"_v_{out}", value)
-    upto = _local(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = _local(keys, order).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
     before = Window.partitionBy(*keys).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
     tails = rows.groupBy(*keys, _BLK).agg(*[
         F.max_by(f"_v_{out}", F.when(F.col(f"_v_{out}").isNotNull(), F.struct(*order)))

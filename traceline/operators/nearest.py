@@ -98,9 +98,9 @@ def nearest_names(wanted: DataFrame, known: DataFrame, min_score: float = MIN_SC
         pairs = left.join(right, "h").filter(
             F.abs(F.length("target_doc") - F.length("name")) <= k).select("target_doc", "name", "path").distinct()
         hits = best(scored(pairs).filter(F.col("distance") <= k))
-        # A name farther away could score better only if distance^2 + distance exceeds the length.
+        # A name farther away could score as well only if distance^2 + distance reaches the length.
         sure = materialize(hits.filter(
-            F.col("distance") * (F.col("distance") + 1) <= F.length("target_doc")), "nearest")
+            F.col("distance") * (F.col("distance") + 1) < F.length("target_doc")), "nearest")
         found = sure if found is None else found.unionByName(sure)
         rest = materialize(rest.join(sure, "target_doc", "left_anti"), "rest")
     if rest.isEmpty():

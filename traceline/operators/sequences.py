@@ -177,7 +177,7 @@ def completed_ranges(tasks: DataFrame, order: str = "ord", block: int = blocks.B
     ``tasks`` holds completed tasks only, with ``doc_id``, ``comp_id`` and the order column.
     """
     rows = tasks.select("doc_id", "comp_id", order)
-    prev = blocks.lag(rows, ["doc_id"], [order], ["comp_id"], "prev", block)
+    prev = materialize(blocks.lag(rows, ["doc_id"], [order], ["comp_id"], "prev", block), "task-runs")
     starts = prev.withColumn("starts", (
         ~F.coalesce(are_consecutive(F.col("prev.comp_id"), F.col("comp_id")), F.lit(False))).cast("int"))
     runs = blocks.running_sum(starts, ["doc_id"], [order], F.col("starts"), "run", block)

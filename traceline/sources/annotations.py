@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from traceline.operators import blocks
 from traceline.schema import PROVENANCE
+from traceline.storage import materialize
 
 ATTRS = r"""(?:#\[(?:"[^"]*"|[^\]"])*\]\s*)*+"""
 RUST_TOKEN = (
@@ -57,7 +58,7 @@ def _tokens(files: DataFrame, pattern: str) -> DataFrame:
         F.regexp_extract_all("text", F.lit(r"(?s)\G(.*?)(?:" + pattern.replace("(?sd)", "").replace("(?s)", "") + ")"),
                              F.lit(0))).alias("pos", "piece"))
     nl = F.length("piece") - F.length(F.replace("piece", F.lit("\n"), F.lit("")))
-    rows = blocks.running_sum(raw, ["path"], ["pos"], nl, "_nl")
+    rows = materialize(blocks.running_sum(raw, ["path"], ["pos"], nl, "_nl"), "source-tokens")
     token = F.regexp_extract("piece", pattern, 0)
     inner = F.length(token) - F.length(F.replace(token, F.lit("\n"), F.lit("")))
     return rows.select("path", "pos", token.alias("token"), (F.col("_nl") - inner + 1).alias("line"))
@@ -77,7 +78,7 @@ def scan_rust_annotations(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         g(6).alias("body"))
     scope = F.when(F.col("what") == "macro", F.struct(F.lit(True).alias("inside"), F.col("attributes").alias("outer"))) \
         .when(F.col("what") == "end", F.struct(F.lit(False).alias("inside"), F.lit("").alias("outer")))
-    scoped = blocks.carry_forward(rows, ["path"], ["pos"], {"scope": scope}).filter("what = 'fn'")
+    scoped = materialize(blocks.carry_forward(rows, ["path"], ["pos"], {"scope": scope}).filter("what = 'fn'"), "functions")
     inside = F.coalesce(F.col("scope.inside"), F.lit(False))
     own = F.col("attributes").rlike(VERIFIES)
     attributes = F.when(own, F.col("attributes")).when(inside, F.col("scope.outer")).otherwise("")
@@ -114,7 +115,7 @@ def scan_js_annotations(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         "path", "pos", "line", "what", first(1, 2, 3).alias("suite"), first(4, 5, 6, 8, 9, 10).alias("test_name"),
         first(7, 11).alias("args"))
     step = F.when(F.col("what").isin("suite", "open"), 1).when(F.col("what") == "close", -1).otherwise(0)
-    deep = blocks.running_sum(rows, ["path"], ["pos"], step, "depth")
+    deep = materialize(blocks.running_sum(rows, ["path"], ["pos"], step, "depth"), "calls")
     openings = deep.filter("what in ('suite', 'open')").select(
         "path", (F.col("depth") - 1).alias("at"), "pos",
         F.struct(F.when(F.col("what") == "suite", F.col("suite")).alias("name")).alias("opened"), F.lit(False).alias("asks"))

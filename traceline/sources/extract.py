@@ -36,13 +36,8 @@ ATTRIBUTE = r"""([\w:.-]+)\s*=\s*(?:"([^"]*)"|'([^']*)')"""
 # -- S1, S2 ------------------------------------------------------------------------------------
 
 def read_corpus(spark: SparkSession, paths: str | list[str], file_glob: str = "*.md") -> DataFrame:
-    """(path, text) of whole files under ``paths``, each file once."""
-    return (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-        .option("pathGlobFilter", file_glob).text(paths)
-        .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-        .dropDuplicates(["path"])
-    )
+    """(path, text) of whole UTF-8 files under ``paths``, each file once, to the last byte."""
+    return read_corpus_bytes(spark, paths, file_glob)[0].dropDuplicates(["path"])
 
 
 def read_corpus_bytes(spark: SparkSession, paths: str | list[str], file_glob: str = "*.md"
@@ -139,8 +134,7 @@ def text_pieces(docs: DataFrame) -> DataFrame:
         _part(12).alias("comment"))
     size = F.octet_length("piece")
     lines = _newlines("piece")
-    summed = blocks.running_sum(cut, ["path"], ["piece_no"], size, "_end")
-    summed = blocks.running_sum(summed, ["path"], ["piece_no"], lines, "_lines")
+    summed = blocks.running_sums(cut, ["path"], ["piece_no"], {"_end": size, "_lines": lines})
     return summed.select(
         "path", "piece_no", "before", "opening", F.trim("info").alias("info"), "content", "closing", "comment",
         (F.col("body_offset") + F.col("_end") - size).alias("start"),
@@ -187,8 +181,7 @@ def tag_tokens(fences: DataFrame) -> DataFrame:
     size = F.octet_length("token")
     nl = _newlines("token")
     keys, order = ["path", "fence_no"], ["pos"]
-    rows = blocks.running_sum(raw, keys, order, size, "_end")
-    rows = blocks.running_sum(rows, keys, order, nl, "_nl")
+    rows = materialize(blocks.running_sums(raw, keys, order, {"_end": size, "_nl": nl}), "tokens-at")
     tail = F.octet_length(F.substring_index("token", "\n", -1))
     rows = blocks.carry_forward(rows, keys, order, {
         "_last": F.when(nl > 0, F.col("_end") - tail)})
@@ -211,7 +204,7 @@ def nesting_errors(tokens: DataFrame) -> DataFrame:
     """(path, error) of documents whose fences are not well nested."""
     keys, order = ["path", "fence_no"], ["pos"]
     step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
-    tags = blocks.running_sum(tokens.filter("kind in ('open', 'close')"), keys, order, step, "depth")
+    tags = materialize(blocks.running_sum(tokens.filter("kind in ('open', 'close')"), keys, order, step, "depth"), "tags")
     leveled = tags.withColumn("level", F.when(F.col("kind") == "open", F.col("depth")).otherwise(F.col("depth") + 1))
     pairs = blocks.lag(leveled, [*keys, "level"], order, ["name", "kind"], "prev")
     wrong = pairs.filter((F.col("kind") == "close") & ~F.coalesce(
@@ -252,7 +245,7 @@ def extract_components(fences: DataFrame, defs: DataFrame) -> tuple[DataFrame, D
         .filter("kind = 'text' or known")
     keys, order = ["path", "fence_no"], ["pos"]
     step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
-    deep = blocks.running_sum(rows, keys, order, step, "depth")
+    deep = materialize(blocks.running_sum(rows, keys, order, step, "depth"), "depths")
     deep = deep.withColumn("level", F.when(F.col("kind") == "empty", F.col("depth") + 1).otherwise(F.col("depth")))
     heads = deep.filter("kind in ('open', 'empty')")
     texts = deep.filter("kind = 'text' and depth > 0")
@@ -278,7 +271,7 @@ def extract_components(fences: DataFrame, defs: DataFrame) -> tuple[DataFrame, D
         "path", "fence_no", "pos", F.when(F.col("text") != "", F.col("text")).alias("body_text"))
     # Declaration order over the whole document, then index among siblings.
     nodes = nodes.withColumn("seq", F.col("fence_no") * F.lit(1 << 32) + F.col("pos"))
-    nodes = blocks.row_number(nodes, ["path"], ["seq"], "ord", 1 << 32)
+    nodes = materialize(blocks.row_number(nodes, ["path"], ["seq"], "ord", 1 << 32), "ordered")
     nodes = nodes.withColumn("family", F.when(F.col("parent_pos").isNull(), F.lit(-1).cast("bigint"))
                              .otherwise(F.col("fence_no") * F.lit(1 << 32) + F.col("parent_pos")))
     nodes = blocks.row_number(nodes, ["path", "family"], ["ord"], "nth")

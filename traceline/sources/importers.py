@@ -14,6 +14,7 @@ from traceline.functions.text import categorize_marker, checkbox_status
 from traceline.operators import blocks
 from traceline.operators.reports import ambiguity_breakdown
 from traceline.operators.sequences import deduplicate_ids, expand_range
+from traceline.storage import materialize
 
 MARKER = "TODO(traceline-import)"
 
@@ -64,7 +65,7 @@ def parse_requirements(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(glossary, F.struct(nothing.cast("int").alias("line"), nothing.cast("string").alias("number"),
                                 nothing.cast("string").alias("title"))),
     }
-    rows = blocks.carry_forward(lines, ["file"], ["line"], marks)
+    rows = materialize(blocks.carry_forward(lines, ["file"], ["line"], marks), "requirement-lines")
     left = (F.col("_section") == "glossary") & (F.col("_h2_line") > F.col("_section_line"))
     rows = rows.withColumn("_section", F.when(~F.coalesce(left, F.lit(False)), F.col("_section"))) \
         .filter("_req.line is not null")
@@ -103,7 +104,7 @@ def parse_tasks(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         "_section_line": F.when(h2, F.col("line")),
         "_task_line": F.when(is_task, F.col("line"))}).filter("_in_tasks")
     # An owner from an earlier section does not count, nor does a sub-task without a task.
-    rows = rows.filter("_owner.line > _section_line and _task_line > _section_line")
+    rows = materialize(rows.filter("_owner.line > _section_line and _task_line > _section_line"), "task-lines")
     tasks = rows.filter(is_task | is_sub).select(
         "file", "line", F.col("_owner.task").alias("task"), F.col("_owner.sub").alias("sub"),
         make_task_id(F.col("_owner.task"), F.col("_owner.sub")).alias("task_id"),
@@ -116,7 +117,7 @@ def parse_tasks(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     values = values.filter(~F.col("raw").rlike(r"^N/A($|[ (])")).join(tasks.select("file", "line", "task_id"), ["file", "line"])
     body = F.regexp_replace("raw", "^Requirements ", "")
     dotted = values.filter(body.contains("."))
-    refs = _refs(dotted, F.col("raw"))
+    refs = materialize(_refs(dotted, F.col("raw")), "task-refs")
     # One unreadable token turns the whole line into a comment.
     verdict = refs.groupBy("file", "line").agg(F.count("marker").alias("bad"), F.count("requirement").alias("good"))
     fine = verdict.filter("bad = 0 and good > 0").select("file", "line")
@@ -135,21 +136,20 @@ def code_state(lines: DataFrame) -> DataFrame:
     toggle = text == "```"
     opens = text.rlike(r"^```\w+$")
     closes = (F.ltrim(text) == "```") & ~toggle
-    rows = blocks.running_sum(lines, ["file"], ["line"], toggle.cast("int"), "_n")
+    rows = materialize(blocks.running_sum(lines, ["file"], ["line"], toggle.cast("int"), "_n"), "toggles")
     before = F.col("_n") - toggle.cast("int")
     rows = blocks.carry_forward(rows, ["file"], ["line"], {
-        "_set": F.when(opens | closes, F.struct(opens.cast("int").alias("v"), F.col("_n").alias("n")))})
-    rows = blocks.lag(rows, ["file"], ["line"], ["_set"], "_before")
-    last = F.col("_before._set")
+        "_set": F.when(opens | closes, F.struct(opens.cast("int").alias("v"), F.col("_n").alias("n")))}, exclusive=True)
+    last = F.col("_set")
     state = (F.coalesce(last["v"], F.lit(0)) + before - F.coalesce(last["n"], F.lit(0))) % 2 == 1
     return rows.withColumn("in_code", state).withColumn(
-        "is_mark", F.when(state, toggle | closes).otherwise(toggle | opens)).drop("_n", "_set", "_before")
+        "is_mark", F.when(state, toggle | closes).otherwise(toggle | opens)).drop("_n", "_set")
 
 
 def parse_design_validates(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(validates references, markers, code blocks) of design files with their section."""
     text = F.col("text")
-    rows = code_state(lines)
+    rows = materialize(code_state(lines), "code-state")
     outside = ~F.col("in_code") & ~F.col("is_mark")
     opening = F.col("is_mark") & ~F.col("in_code")
     rows = blocks.carry_forward(rows, ["file"], ["line"], {
@@ -220,7 +220,7 @@ def import_plan(lines: DataFrame, prefix: str = "") -> dict[str, DataFrame]:
     heads, criteria = parse_requirements(of("requirements"))
     criteria = criteria.withColumn("feature", feature)
     tasks, refs, comments = parse_tasks(of("tasks"))
-    resolved = resolve_requirement_refs(refs.withColumn("feature", feature), criteria)
+    resolved = materialize(resolve_requirement_refs(refs.withColumn("feature", feature), criteria), "import-refs")
     implements = task_implements_markers(resolved)
     validates, design_markers, _code = parse_design_validates(of("design"))
     checked = resolve_requirement_refs(validates.withColumn("feature", feature), criteria)
@@ -230,7 +230,7 @@ def import_plan(lines: DataFrame, prefix: str = "") -> dict[str, DataFrame]:
         tasks.withColumn("feature", feature).select(
             make_document_id(p, F.col("feature"), F.lit("tasks")).alias("doc_id"), F.col("line").alias("ord"),
             F.col("task_id").alias("id")))
-    named = deduplicate_ids(ids, ["doc_id"])
+    named = materialize(deduplicate_ids(ids, ["doc_id"]), "import-ids")
     bodies = criteria.select(
         make_document_id(p, F.col("feature"), F.lit("req")).alias("doc_id"), F.col("line").cast("bigint").alias("ord"),
         F.lit("Criterion").alias("name"), F.lit(None).cast("string").alias("status"), "body").unionByName(
