@@ -89,13 +89,16 @@ def are_consecutive(a: Column, b: Column) -> Column:
     return bind(F.array(F.split(a, "-", -1), F.split(b, "-", -1)), compare)
 
 
+BLANKS = " \t\r\n"
+
+
 def list_items(attr: Column) -> Column:
-    return F.transform(F.split(attr, ",", -1), lambda item: F.trim(item))
+    return F.transform(F.split(attr, ",", -1), lambda item: F.btrim(item, F.lit(BLANKS)))
 
 
 def list_is_void(attr: Column) -> Column:
     """One empty item makes the whole list an error."""
-    return F.exists(list_items(attr), lambda x: x == "")
+    return attr.rlike(r"(?:^|,)\s*(?:,|$)")
 
 
 def list_items_lenient(attr: Column) -> Column:
