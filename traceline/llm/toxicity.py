@@ -15,10 +15,10 @@ labels, around a prior that discounts negated and reported paths, so matched cla
 isolated words.
 
 Learning uses at most ``fit_rows`` labelled rows of each class, those with the least hash of the id,
-and never a held-out one.  Terminals must be frequent in toxic and rare in other texts, and must stand
-after many different words, which words that only near copies share do not.  At most ``max_terms``
-terminals are kept.  Everything sent to the driver is bounded by these parameters.  Scoring reads
-every whole text once and needs no shuffle.
+and never a held-out one.  Near copies share one unit of weight, so that words peculiar to a much copied
+text do not pass for insults.  The at most ``max_terms`` terms that separate the classes best are
+kept.  Everything sent to the driver is bounded by these two parameters.  Scoring reads every whole
+text once and needs no shuffle.
 
 Defined cases: a null or empty text scores like a text without any match; a null id is not held out
 and has no label; rows with null labels are ignored; an id labelled twice counts as toxic if it is so
@@ -28,21 +28,24 @@ once; without labels of both classes the prior alone scores.
 from __future__ import annotations
 
 import re
-from collections import Counter
+import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from heapq import nsmallest
 
 import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from traceline.llm.common import materialize
 
-FIT_ROWS, MAX_TERMS = 15_000, 2_000
-MIN_GAIN, MIN_SHARE, MIN_RATIO, MIN_CONTEXTS = 25.0, 0.003, 5.0, 0.3
-PREFIXES, NEGATION_REACH, COUNT_CAP, THRESHOLD = (4, 5, 6, 7), 3, 6, 0.3
+FIT_ROWS, MAX_TERMS = 15_000, 1_000
+MIN_GAIN, MIN_SHARE, MIN_RATIO = 25.0, 0.003, 5.0
+PREFIXES, NEGATION_REACH, COUNT_CAP, LONG_WORD, THRESHOLD = (3, 4, 5, 6, 7, 8), 3, 6, 8, 0.3
 
 WORD, CLAUSE_END = re.compile(r"\w+"), re.compile(r"[.!?;\n]+")
 THREATS = frozenset("kill hurt shoot stab beat punch destroy töten schlagen erschießen tuer frapper matar golpear".split())
@@ -135,40 +138,32 @@ def _terms_of(text: str) -> set[str]:
     return words | {w[:n] + "*" for w in words for n in PREFIXES if len(w) >= n}
 
 
+def _likeness(text: str | None) -> int:
+    """The two least hashes of long words, mostly shared by near copies; of the text if it has no two."""
+    least = nsmallest(2, {zlib.crc32(w.encode()) for w in WORD.findall((text or "").lower()) if len(w) >= LONG_WORD})
+    return least[0] << 31 ^ least[1] if len(least) == 2 else -1 - zlib.crc32((text or "").encode())
+
+
 def _count_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    counts = (Counter(), Counter())
+    counts = (defaultdict(float), defaultdict(float))
 
     def flush():
         terms = list(counts[0].keys() | counts[1].keys())
-        out = pd.DataFrame({"term": terms, "neg": [counts[0][t] for t in terms], "pos": [counts[1][t] for t in terms]})
+        out = pd.DataFrame({"term": pd.Series(terms, dtype=object), "neg": [counts[0].get(t, 0.0) for t in terms], "pos": [counts[1].get(t, 0.0) for t in terms]})
         counts[0].clear()
         counts[1].clear()
         return out
 
     for pdf in batches:
-        for text, toxic in zip(pdf["text"], pdf["toxic"]):
-            counts[toxic].update(_terms_of(text))
+        for text, toxic, weight in zip(pdf["text"], pdf["toxic"], pdf["weight"]):
+            count = counts[toxic]
+            for term in _terms_of(text):
+                count[term] += weight
             if len(counts[0]) + len(counts[1]) > 300_000:
                 yield flush()
     yield flush()
 
 
-def _contexts(terms: frozenset[str]):
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pairs = set()
-            for text in pdf["text"]:
-                before = ""
-                for word in WORD.findall((text or "").lower()):
-                    for term in (word, *[word[:n] + "*" for n in PREFIXES]):
-                        if term in terms:
-                            pairs.add((term, before))
-                    before = word
-            yield pd.DataFrame(list(pairs), columns=["term", "before"])
-
-    return find
-
-
 def _gain(pos: Column, neg: Column, n_pos: float, n_neg: float) -> Column:
     """Twice the log-likelihood gained by two rates over one."""
     def part(a: Column, n: float) -> Column:
@@ -179,14 +174,14 @@ def _gain(pos: Column, neg: Column, n_pos: float, n_neg: float) -> Column:
     return 2 * (part(pos, n_pos) + part(neg, n_neg))
 
 
-def _choose(found: list, contexts: dict[str, int]) -> frozenset[str]:
-    """Best first; of terms that begin alike only the best, of equals the longest and most exact."""
+def _choose(found: list, n: dict[int, float]) -> frozenset[str]:
+    """Best first; of terms that begin alike only the best, of equals the longest and most exact; a
+    shorter beginning may follow a chosen one if it separates three times as well as it must."""
     chosen: list[str] = []
-    for row in sorted(found, key=lambda r: (-r.gain, -len(r.term.rstrip("*")), r.term.endswith("*"), r.term)):
+    for row in sorted(found, key=lambda r: (-round(r.gain, 6), -len(r.term.rstrip("*")), r.term.endswith("*"), r.term)):
         stem = row.term.rstrip("*")
-        if contexts.get(row.term, 0) < max(3, MIN_CONTEXTS * row.pos):
-            continue
-        if not any(stem.startswith(c.rstrip("*")) or c.startswith(stem) for c in chosen):
+        wide = row.pos * n[0] < 3 * MIN_RATIO * row.neg * n[1]
+        if not any(stem.startswith(c) or wide and c.startswith(stem) or c == stem for c in (c.rstrip("*") for c in chosen)):
             chosen.append(row.term)
     return frozenset(chosen)
 
@@ -218,27 +213,30 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = materialize(least[0].unionByName(least[1]), "toxic-sample")
     # At most 2 * fit_rows rows of an id and a label are broadcast.
     train = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("text", "toxic")
-    train = materialize(train, "toxic-train")
-    n = {r.toxic: float(r.n) for r in train.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    @F.pandas_udf("bigint")
+    def alike(texts: pd.Series) -> pd.Series:
+        return pd.Series([_likeness(t) for t in texts], dtype="int64")
+
+    likeness = Window.partitionBy("toxic", "likeness")
+    train = materialize(train.withColumn("likeness", alike("text"))
+                        .withColumn("weight", 1.0 / F.count(F.lit(1)).over(likeness)).drop("likeness"), "toxic-train")
+    n = {r.toxic: r.n for r in train.groupBy("toxic").agg(F.sum("weight").alias("n")).collect()}
     if set(n) != {0, 1}:
         return Grammar()
 
-    terms = train.mapInPandas(_count_terms, "term string, neg bigint, pos bigint").groupBy("term") \
-        .agg(F.sum("neg").cast("double").alias("neg"), F.sum("pos").cast("double").alias("pos"))
-    strong = terms.filter((F.col("pos") >= max(3.0, MIN_SHARE * n[1])) & (F.col("pos") / n[1] >= MIN_RATIO * F.col("neg") / n[0])) \
+    terms = train.mapInPandas(_count_terms, "term string, neg double, pos double").groupBy("term") \
+        .agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
+    strong = terms.filter((F.col("pos") >= max(2.5, MIN_SHARE * n[1])) & (F.col("pos") / n[1] >= MIN_RATIO * F.col("neg") / n[0])) \
         .withColumn("gain", _gain(F.col("pos"), F.col("neg"), n[1], n[0])).filter(F.col("gain") >= MIN_GAIN) \
-        .orderBy(F.desc("gain"), "term").limit(4 * max_terms).collect()
-    toxic = train.filter("toxic = 1").select("text")
-    contexts = {r.term: r.n for r in toxic.mapInPandas(_contexts(frozenset(r.term for r in strong)), "term string, before string")
-                .distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()} if strong else {}  # rows: those of strong
-    grammar = Grammar(frozenset(list(_choose(strong, contexts))[:max_terms]))
+        .orderBy(F.desc("gain"), "term").limit(max_terms)
+    grammar = Grammar(_choose(strong.collect(), n))
 
     @F.pandas_udf("array<int>")
     def paths(texts: pd.Series) -> pd.Series:
         return pd.Series([list(grammar.read(t)) for t in texts])
 
     # Capped counts: a bounded number of different vectors.
-    vectors = train.select(paths("text").alias("x"), "toxic").groupBy("x", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()
+    vectors = train.select(paths("text").alias("x"), "toxic", "weight").groupBy("x", "toxic").agg(F.sum("weight").alias("n")).collect()
     x, y = np.log1p(np.array([r.x for r in vectors], float)), np.array([r.toxic for r in vectors], float)
     each = np.array([r.n * of_class[r.toxic] / n[r.toxic] for r in vectors])
     base, weights = _logistic(x, y, each * sum(n.values()) / each.sum())
