@@ -103,13 +103,15 @@ def hit_texts(docs: DataFrame, items: DataFrame, text_col: str = "text", item_co
     laid = materialize(hits.groupBy("k1", "k2").agg(F.collect_set("hit").alias("hits")), "window-hits")
 
     texts = docs.select(*text_key(text), text.alias("_text")).join(laid, ["k1", "k2"])
+    # Each of two uses keeps the words a column of their own, made once for a text and not for a hit; nor may
+    # the filter on what is left stand here, as it would be pushed below with the words inside it.
     kept = texts.select("k1", "k2", "hits", words(F.col("_text")).alias("w")).select(
-        "k1", "k2", F.filter("hits", lambda h: F.array_join(F.slice(F.col("w"), h.start + 1, h.span), " ") == h.wtext).alias("hits")) \
-        .filter(F.size("hits") > 0)
+        "k1", "k2", F.filter("hits", lambda h: (h.start + h.span <= F.size("w"))
+                             & (F.array_join(F.slice(F.col("w"), h.start + 1, h.span), " ") == h.wtext)).alias("hits"))
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h.start, h.start + h.span - 1))))
     texts = materialize(kept.select("k1", "k2", F.size(covered).cast("bigint").alias("n_hit"),
                                     F.array_distinct(F.transform("hits", lambda h: h.set)).alias("sets"))
-                        .dropDuplicates(["k1", "k2"]), "window-texts")
+                        .dropDuplicates(["k1", "k2"]), "window-texts").filter("n_hit > 0")
     listed = texts.select("k1", "k2", F.explode("sets").alias("set")).join(sets, "set") \
         .select("k1", "k2", F.explode("items").alias("item")).groupBy("k1", "k2").agg(F.collect_set("item").alias("items"))
     none = F.array().cast(listed.schema["items"].dataType)

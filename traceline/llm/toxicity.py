@@ -174,14 +174,12 @@ def _gain(pos: Column, neg: Column, n_pos: float, n_neg: float) -> Column:
     return 2 * (part(pos, n_pos) + part(neg, n_neg))
 
 
-def _choose(found: list, n: dict[int, float]) -> frozenset[str]:
-    """Best first; of terms that begin alike only the best, of equals the longest and most exact; a
-    shorter beginning may follow a chosen one if it separates three times as well as it must."""
+def _choose(found: list) -> frozenset[str]:
+    """Best first; of terms that begin alike only the best, of equals the longest and most exact."""
     chosen: list[str] = []
     for row in sorted(found, key=lambda r: (-round(r.gain, 6), -len(r.term.rstrip("*")), r.term.endswith("*"), r.term)):
         stem = row.term.rstrip("*")
-        wide = row.pos * n[0] < 3 * MIN_RATIO * row.neg * n[1]
-        if not any(stem.startswith(c) or wide and c.startswith(stem) or c == stem for c in (c.rstrip("*") for c in chosen)):
+        if not any(stem.startswith(c) or c.startswith(stem) for c in (c.rstrip("*") for c in chosen)):
             chosen.append(row.term)
     return frozenset(chosen)
 
@@ -229,7 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     strong = terms.filter((F.col("pos") >= max(2.5, MIN_SHARE * n[1])) & (F.col("pos") / n[1] >= MIN_RATIO * F.col("neg") / n[0])) \
         .withColumn("gain", _gain(F.col("pos"), F.col("neg"), n[1], n[0])).filter(F.col("gain") >= MIN_GAIN) \
         .orderBy(F.desc("gain"), "term").limit(max_terms)
-    grammar = Grammar(_choose(strong.collect(), n))
+    grammar = Grammar(_choose(strong.collect()))
 
     @F.pandas_udf("array<int>")
     def paths(texts: pd.Series) -> pd.Series:
