@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceline.llm import decontaminate, packing, sharding, simhash, toxicity
+from traceline.llm import decontaminate, lines, packing, sharding, simhash, toxicity
 from traceline.llm.common import table
 
 def tokenizer_file(name: str) -> str:
@@ -58,3 +58,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     grammar = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     scored = docs.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), toxicity.scorer(grammar)("text").alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
+@query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("row.doc_id", "n_lines", "n_deleted", "text")
