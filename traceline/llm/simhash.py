@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traceline.llm.common import materialize
+from traceline.llm.common import materialize, text_key
 from traceline.operators.graph import weakly_connected
 
 BITS, BLOCK, STEP, BUDGET = 64, 16, 4, 3
@@ -225,14 +225,36 @@ def fingerprint_links(distinct: DataFrame, task_rows: int = TASK_ROWS, budget: i
         .mapInPandas(_walk, "src bigint, dst bigint")
 
 
+def _groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, task_rows: int) -> DataFrame:
+    """(id, k1, k2, fp, part): every row, its text's key, its fingerprint and the name of its component."""
+    text = F.col(text_col)
+    rows = materialize(docs.select(F.col(id_col).alias("id"), *text_key(text), fingerprints(shingle)(text).alias("fp")), "simhash")
+    distinct = materialize(rows.select("fp").distinct(), "simhash-distinct")
+    links = materialize(fingerprint_links(distinct, task_rows).distinct(), "simhash-links")
+    parts = materialize(weakly_connected(links).select(F.col("node").alias("fp"), F.col("component")), "simhash-parts")
+    return rows.join(parts, "fp", "left").select("id", "k1", "k2", "fp", F.coalesce("component", "fp").alias("part"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                     task_rows: int = TASK_ROWS) -> DataFrame:
     """(id, fp, component_id) for every row of ``docs``; ``component_id`` is the least id of the group."""
-    rows = materialize(docs.select(F.col(id_col).alias("id"), fingerprints(shingle)(F.col(text_col)).alias("fp")), "simhash")
-    least = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
-    links = materialize(fingerprint_links(least.select("fp"), task_rows).distinct(), "simhash-links")
-    parts = weakly_connected(links).select(F.col("node").alias("fp"), F.col("component"))
-    members = materialize(parts.join(least, "fp"), "simhash-parts")
-    named = members.join(members.groupBy("component").agg(F.min("least").alias("name")), "component").select("fp", "name")
-    groups = least.join(named, "fp", "left").select("fp", F.coalesce("name", "least").alias("component_id"))
-    return rows.join(groups, "fp").select("id", "fp", "component_id")
+    rows = materialize(_groups(docs, id_col, text_col, shingle, task_rows), "simhash-groups")
+    names = rows.groupBy("part").agg(F.min("id").alias("component_id"))
+    return rows.join(names, "part").select("id", "fp", "component_id")
+
+
+def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
+                    task_rows: int = TASK_ROWS) -> DataFrame:
+    """One row of ``docs`` for each group, all columns: that of the least id, ids that are null last."""
+    me = F.struct(F.coalesce(F.col("id").cast("bigint"), F.lit((1 << 63) - 1)).alias("rank"), F.col("k1"), F.col("k2")).alias("me")
+    rows = materialize(_groups(docs, id_col, text_col, shingle, task_rows).select("part", me), "simhash-groups")
+    first = rows.groupBy("part").agg(F.min("me").alias("first"))
+    later = materialize(rows.join(first, "part").filter("me <> first").select(F.col("me").alias("_later")).distinct(), "simhash-later")
+    mine = F.struct(F.coalesce(docs[id_col].cast("bigint"), F.lit((1 << 63) - 1)).alias("rank"), *text_key(docs[text_col]))
+    kept = docs.join(later, mine == F.col("_later"), "left_anti")
+    # Rows equal in id and text are not told apart so far; there are none where ids are unique.
+    twice = materialize(rows.groupBy("me").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("me").alias("_twice")), "simhash-twice")
+    if twice.isEmpty():
+        return kept
+    again = kept.join(twice, mine == F.col("_twice"), "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(twice, mine == F.col("_twice"), "left_anti").unionByName(again)
