@@ -18,6 +18,7 @@ packed each; an empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -32,34 +33,77 @@ from pyspark.sql.window import Window
 from traceline.llm.common import materialize
 
 CAPACITY, END = 4096, 2
-REMEMBERED, LONGEST_REMEMBERED = 300_000, 64
+REMEMBERED, LONGEST_REMEMBERED, TOGETHER, PUNCTUATION = 250_000, 64, 256, ".,!?;:"
 
 
 class Encoder:
-    """Token ids of texts as little-endian unsigned 32-bit integers."""
+    """Token ids of texts as little-endian unsigned 32-bit integers.
+
+    New words are encoded many at a time.  A word of letters alone is a single unit of the tokenizer,
+    whose last token carries the mark of a word's end, so the ids of several such words are told apart
+    by it; everything else is encoded by itself.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the workers side by side
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
+        self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {}, {}
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, at in self.tokenizer.get_vocab().items() if suffix else ():
+            self.ends[at] = token.endswith(suffix)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
+        groups = [words[at:at + TOGETHER] for at in range(0, len(words), TOGETHER)]
+        for group, ids in zip(groups, self._encode([" ".join(g) for g in groups])):
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(group) and stops[-1] == len(ids):
+                data = ids.tobytes()
+                for word, start, stop in zip(group, [0, *stops[:-1].tolist()], stops.tolist()):
+                    out[word] = data[4 * start:4 * stop]
+            else:
+                out.update(zip(group, (x.tobytes() for x in self._encode(group))))
+        return out
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """The ids of stretches without spaces: letters, then perhaps common punctuation, or anything."""
+        split, words, others = {}, set(), []
+        for stretch in new:
+            word = stretch.rstrip(PUNCTUATION)
+            low = word.lower()
+            if low.isalpha() and "Σ" not in word and len(low) <= LONGEST_REMEMBERED:  # sigma's lower case depends on its place
+                split[stretch] = low, stretch[len(word):]
+                words.add(low)
+            else:
+                others.append(stretch)
+        known = self._encode_words(list(words))
+        tails = list({tail for _, tail in split.values() if tail})
+        tail_ids = dict(zip(tails, (x.tobytes() for x in self._encode(tails))), **{"": b""})
+        found = {stretch: known[low] + tail_ids[tail] for stretch, (low, tail) in split.items()}
+        found.update(zip(others, (x.tobytes() for x in self._encode(others))))
+        return found
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {"": b""}
-        known, new = self.known, set()
-        for words in split:
-            new.update(words)
-        new = [w for w in new if w not in known]
-        for at in range(0, len(new), 4096):
-            part = new[at:at + 4096]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[word] = np.array(found.ids, "<u4").tobytes()
-        out = [b"".join([known[w] for w in words]) for words in split]
+        if len(self.young) > REMEMBERED:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        new = []
+        for word in {w for words in split for w in words} - young.keys():
+            if word in old:
+                young[word] = old[word]
+            else:
+                new.append(word)
+        young.update(self._learn(new))
+        out = [b"".join([young[w] for w in words]) for words in split]
         for word in new:
             if len(word) > LONGEST_REMEMBERED:
-                del known[word]
+                del young[word]
         return out
 
 
