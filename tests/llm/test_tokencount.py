@@ -45,6 +45,7 @@ def test_given_vocabulary():
 
 def test_table(spark):
     path = tokenizer_file("piece_bpe_32k.model")
+    assert from_pieces(path).count("Hello") == 3
     df = spark.createDataFrame([(1, "Hello", 0), (1, "Hello", 0), (None, None, 0), (2, "", 0)], "doc_id bigint, text string, tokens int")
-    assert sorted(((r.id, r.tokens) for r in count_tokens(df, path).collect()), key=str) == [(1, 1), (1, 1), (2, 0), (None, 0)]
+    assert sorted(((r.id, r.tokens) for r in count_tokens(df, path).collect()), key=str) == [(1, 3), (1, 3), (2, 0), (None, 0)]
     assert count_tokens(df.limit(0), path).collect() == []
