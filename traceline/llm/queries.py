@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceline.llm import decontaminate, lines, packing, sharding, simhash, tokencount, topk, toxicity
+from traceline.llm import decontaminate, lines, packing, sharding, simhash, spans, tokencount, topk, toxicity
 from traceline.llm.common import table
 
 def tokenizer_file(name: str) -> str:
@@ -76,6 +76,12 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+@query
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spans.dedup_spans(table(spark, sf_dir, "documents"))
+    return found.select("row.doc_id", "n_sentences", "n_removed", "text")
+
+
 SQL["op8_exact_top_k"] = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
