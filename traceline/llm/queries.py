@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceline.llm import decontaminate, lines, packing, sharding, simhash, spans, tokencount, topk, toxicity
+from traceline.llm import chat, decontaminate, lines, packing, sharding, simhash, spans, tokencount, topk, toxicity
 from traceline.llm.common import table
 
 def tokenizer_file(name: str) -> str:
@@ -82,6 +82,14 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_sentences", "n_removed", "text")
 
 
+@query
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    transcripts = chat.with_markers(table(spark, sf_dir, "conversations"))
+    lines_ = chat.ranged_lines(transcripts, F.col("conv_id"), F.col("turn"), F.col("text"), F.col("role"), chat.PART_ROWS)
+    model = chat.fit(lines_, ~chat.held_out(F.col("conv")))
+    return chat.parse(lines_, model).select(F.col("conv").alias("conv_id"), "turn", "at", "role", "begins", "text", "rendered")
+
+
 SQL["op8_exact_top_k"] = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
