@@ -148,10 +148,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(row, text, n_lines, n_deleted) for every row of ``docs``: the row as it was and the text that stays."""
     found = materialize(duplicate_lines(docs, id_col, text_col), "lines-kept")
     text = F.col(text_col)
-    given = docs.select(F.struct("*").alias("row"), text.alias("_text"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)).alias("_rank"),
-                        *text_key(text))
+    given = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)).alias("_rank"), *text_key(text))
+    text = F.col("row").getField(text_col)  # from the row, so that it is shuffled once
     joined = given.join(found, ["k1", "k2"], "left").select(
-        "row", "kept", F.col("_text"), (F.col("_rank") > F.col("rank")).alias("copy"), F.split("_text", "\n", -1).alias("lines"))
+        "row", "kept", text.alias("_text"), (F.col("_rank") > F.col("rank")).alias("copy"), F.split(text, "\n", -1).alias("lines"))
     edited = F.array_join(F.flatten(F.transform("kept", lambda r: F.slice(F.col("lines"), r.start + 1, r.stop - r.start))), "\n")
     left = F.aggregate("kept", F.lit(0), lambda n, r: n + r.stop - r.start)
     n = F.coalesce(F.size("lines"), F.lit(0))

@@ -110,6 +110,6 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         frame["text"] = frame["text"].astype(object)
         return frame
 
-    given = docs.select(F.struct("*").alias("row"), text.alias("_text"), rank.alias("rank")).join(later, "rank", "left")
-    done = given.select("row", cut("_text", "later").alias("cut"))
+    given = docs.select(F.struct("*").alias("row"), rank.alias("rank")).join(later, "rank", "left")
+    done = given.select("row", cut(F.col("row").getField(text_col), "later").alias("cut"))
     return done.select("row", "cut.text", "cut.n_sentences", "cut.n_removed")
