@@ -79,3 +79,13 @@ def test_ref_ranges(spark):
     got = [(r.requirement, r.first, r.last, r.criterion, r.marker is not None) for r in apply(spark, tokens, rx.expand_ref_token)]
     assert got == [("1", None, None, "2", False), ("3", 1, 4, None, False), ("3", 1, 4, None, False), (None, None, None, None, True),
                    (None, None, None, None, True), ("1", 1, 2, None, True), (None, None, None, None, True)]
+
+
+def test_numbers_up_to_64_bits(spark):
+    got = apply(spark, ["a-18446744073709551615", "a-18446744073709551616", "a-9223372036854775808", "a-1234567890123456789"], rx.parse_trailing_number)
+    assert [r and int(r.number) for r in got] == [18446744073709551615, None, 9223372036854775808, 1234567890123456789]
+
+
+def test_reference_with_nothing_after_the_word(spark):
+    assert apply(spark, ["Requirements", "Requirements 1.2"], rx.requirement_ref_tokens) == [[""], ["1.2"]]
+    assert [r.marker for r in apply(spark, ["", "1.2"], rx.expand_ref_token)] == ["Empty reference string", None]

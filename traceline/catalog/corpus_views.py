@@ -13,24 +13,33 @@ from traceline.sources.model import Corpus
 HREF = 'href="/([^"]+)"'
 
 
-def resolved(c: Corpus) -> DataFrame:
-    return rs.resolve_refs(reference_components(c), c.documents, c.defs, c.projects)[0]
+def _refs(c: Corpus) -> tuple[DataFrame, DataFrame]:
+    return c.once("refs", lambda: rs.resolve_refs(c.components, c.documents, c.defs, c.projects))
 
 
-def broken(c: Corpus) -> DataFrame:
-    return rs.resolve_refs(reference_components(c), c.documents, c.defs, c.projects)[1]
+def _implements(c: Corpus) -> tuple[DataFrame, DataFrame]:
+    return c.once("implements", lambda: rs.resolve_task_implements(c.components, c.documents, c.defs, c.projects))
+
+
+def resolved(c: Corpus) -> DataFrame:
+    return _refs(c)[0]
 
 
-def reference_components(c: Corpus) -> DataFrame:
-    return c.components
+def broken(c: Corpus) -> DataFrame:
+    return _refs(c)[1]
 
 
 def task_implements(c: Corpus) -> DataFrame:
-    return rs.resolve_task_implements(c.components, c.documents, c.defs, c.projects)[0]
+    return _implements(c)[0]
 
 
 def task_broken(c: Corpus) -> DataFrame:
-    return rs.resolve_task_implements(c.components, c.documents, c.defs, c.projects)[1]
+    return _implements(c)[1]
+
+
+def all_broken(c: Corpus) -> DataFrame:
+    """Broken items of either kind, for hints."""
+    return broken(c).select("target_doc", "reason").unionByName(task_broken(c).select("target_doc", "reason"))
 
 
 def edges(c: Corpus) -> DataFrame:

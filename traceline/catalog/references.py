@@ -51,7 +51,9 @@ def _(c):
 
 
 @query("J8_nearest_document", "target_doc:s nearest:s distance:l",
-       """WITH wanted AS (SELECT DISTINCT target_doc FROM impl_checked WHERE reason = 'document_not_found'),
+       """WITH wanted AS (SELECT DISTINCT target_doc FROM (
+            SELECT target_doc, reason FROM refs_checked UNION ALL SELECT target_doc, reason FROM impl_checked)
+            WHERE reason = 'document_not_found'),
           pairs AS (
             SELECT w.target_doc, d.doc_id, d.path, damerau_levenshtein(w.target_doc, d.doc_id) AS distance,
                    1 - damerau_levenshtein(w.target_doc, d.doc_id)
@@ -62,7 +64,7 @@ def _(c):
                    FROM pairs WHERE score >= 0.6)
           SELECT target_doc, doc_id AS nearest, distance FROM best WHERE rn = 1""")
 def _(c):
-    return nn.nearest_document(v.task_broken(c), c.documents)
+    return nn.nearest_document(v.all_broken(c), c.documents)
 
 
 @query("J12_incoming_edges", "target_doc:s fragment:s kind:s src:s status:s",

@@ -29,9 +29,7 @@ def diagnostics(c):
 
 
 def errors(c):
-    resolved, broken = pq.rs.resolve_refs(c.components, c.documents, c.defs, c.projects)
-    task_broken = v.task_broken(c)
-    return pq.graph_errors(c.documents, c.components, c.defs, broken, task_broken, v.depends_edges(c))
+    return pq.graph_errors(c.documents, c.components, c.defs, v.broken(c), v.task_broken(c), v.edges(c))
 
 
 SEQ_IDS = """
@@ -72,7 +70,7 @@ R8 = """
 
 R9 = """
   SELECT doc_id, raw AS subject, CASE WHEN reason = 'document_not_found' AND starts_with(target_doc, 'parts/')
-         THEN replace(target_doc, 'parts/', 'part/') END AS suggestion FROM (
+         THEN replace(raw, 'parts/', 'part/') END AS suggestion FROM (
     SELECT doc_id, raw, reason, target_doc FROM refs_checked WHERE reason IS NOT NULL
     UNION ALL SELECT doc_id, raw, reason, target_doc FROM impl_checked WHERE reason IS NOT NULL
     UNION ALL SELECT doc_id, implements, 'empty_list_item', NULL FROM task WHERE second_ref = ''
@@ -125,7 +123,7 @@ RULES = {
     "status_inconsistency": ("R8", R8, lambda c: rules.status_inconsistency(c.components, c.documents)),
     "broken_ref": (
         "R9", R9,
-        lambda c: rules.broken_ref(errors(c), nn.nearest_document(v.task_broken(c), c.documents))),
+        lambda c: rules.broken_ref(errors(c), nn.nearest_document(v.all_broken(c), c.documents))),
     "invalid_verified_by_placement": (
         "R10", f"SELECT doc_id, parent_name AS subject, {NONE} AS suggestion FROM vby WHERE parent_name IS NULL",
         lambda c: rules.invalid_verified_by_placement(c.components, c.defs)),
@@ -199,15 +197,12 @@ def all_files(c):
 
 def verify_inputs(c) -> pq.VerifyInputs:
     """Inputs of a verification run; tables used by many rules are written once."""
-    resolved, broken = pq.rs.resolve_refs(c.components, c.documents, c.defs, c.projects)
-    impl, task_broken = pq.rs.resolve_task_implements(c.components, c.documents, c.defs, c.projects)
-    task_broken = materialize(task_broken, "task-broken")
+    documents, components = c.written("documents"), c.written("components")
     return pq.VerifyInputs(
-        documents=c.documents, components=c.components, defs=c.defs,
-        graph_errors=pq.graph_errors(c.documents, c.components, c.defs, broken, task_broken, v.depends_edges(c)),
-        edges=materialize(pq.gr.all_edges(resolved), "edges"), task_implements=materialize(impl, "task-implements"),
-        evidence_raw=c.evidence_raw, tag_matches=v.tag_matches(c), files=all_files(c), diagnostics=diagnostics(c),
-        id_pattern=ID_PATTERN, suggestions=nn.nearest_document(task_broken, c.documents), block=TASK_BLOCK)
+        documents=documents, components=components, defs=c.defs, graph_errors=errors(c),
+        edges=materialize(v.edges(c), "edges"), task_implements=v.task_implements(c),
+        evidence_raw=c.evidence_raw, tag_matches=materialize(v.tag_matches(c), "tag-matches"), files=materialize(all_files(c), "files"),
+        diagnostics=diagnostics(c), id_pattern=ID_PATTERN, suggestions=nn.nearest_document(v.all_broken(c), documents), block=TASK_BLOCK)
 
 
 VERIFY = "\nUNION ALL\n".join(
@@ -330,8 +325,10 @@ IDS = "SELECT doc_id, ord, CASE comp_id WHEN 'task-1' THEN 'task' ELSE comp_id E
        f"""WITH ids AS ({IDS}),
            r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, id ORDER BY ord) AS nth FROM ids),
            cand AS (SELECT b.doc_id, b.id, s.n, concat(b.id, '-', s.n) AS name
-                    FROM (SELECT doc_id, id, count(*) AS uses FROM ids GROUP BY ALL HAVING count(*) > 1) b,
-                         (SELECT unnest(range(2, 40)) AS n) s),
+                    FROM (SELECT i.doc_id, i.id, count(*) AS uses, any_value(d.known) AS known FROM ids i
+                          JOIN (SELECT doc_id, count(*) AS known FROM ids GROUP BY 1) d ON d.doc_id = i.doc_id
+                          GROUP BY ALL HAVING count(*) > 1) b,
+                         LATERAL (SELECT unnest(range(2, b.known + 3)) AS n) s),
            free AS (SELECT doc_id, id, n, row_number() OVER (PARTITION BY doc_id, id ORDER BY n) AS j
                     FROM cand c WHERE NOT EXISTS (SELECT 1 FROM ids i WHERE i.doc_id = c.doc_id AND i.id = c.name))
            SELECT r.doc_id, r.ord, r.id, CASE WHEN nth = 1 THEN r.id ELSE concat(r.id, '-', f.n) END AS new_id
@@ -341,9 +338,10 @@ def _(c):
 
 
 @query("W6_unique_suffix", "doc_id:s id:s suggestion:s",
-       f"""WITH ids AS ({IDS}), b AS (SELECT doc_id, id FROM ids GROUP BY ALL HAVING count(*) > 1)
+       f"""WITH ids AS ({IDS}), d AS (SELECT doc_id, count(*) AS known FROM ids GROUP BY 1),
+           b AS (SELECT doc_id, id FROM ids GROUP BY ALL HAVING count(*) > 1)
            SELECT doc_id, id, concat(id, '-', min(n)) AS suggestion
-           FROM (SELECT b.*, unnest(range(2, 40)) AS n FROM b) c
+           FROM (SELECT b.*, unnest(range(2, d.known + 3)) AS n FROM b JOIN d ON d.doc_id = b.doc_id) c
            WHERE NOT EXISTS (SELECT 1 FROM ids i WHERE i.doc_id = c.doc_id AND i.id = concat(c.id, '-', c.n))
            GROUP BY doc_id, id""")
 def _(c):

@@ -414,7 +414,7 @@ def _(c):
     front = fronts(c)
     renames = front.filter("kind = 'spec'").select(F.col("doc_id").alias("old_id"), F.concat(F.lit("new/"), "doc_id").alias("new_id"))
     heads = ev.source_lines(render.spec_files(c)).select(F.col("file").alias("path"), F.col("line").alias("line_no"), "text") \
-        .join(front.filter("kind = 'spec'").select("path", F.length("body").alias("_n")), "path").filter("line_no <= 8").drop("_n")
+        .join(front.filter("kind = 'spec'").select("path", "body_line"), "path").filter("line_no <= body_line").drop("body_line")
     return rf.rename_document_plan(spec_fence_lines(c, front), heads, renames)
 
 

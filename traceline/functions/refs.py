@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 U32_MAX = 4294967295
+U64_MAX = "18446744073709551615"
 
 DIGITS = "^[0-9]+$"
 TRAILING_NUMBER = r"^(.*)-(0|[1-9][0-9]*)$"
@@ -67,12 +68,13 @@ def parse_sequential_id(ident: Column) -> Column:
 
 
 def parse_trailing_number(ident: Column) -> Column:
-    """prefix and number of the last dash segment; leading zeros do not count as numbers."""
+    """prefix and number of the last dash segment, any unsigned 64-bit value; leading zeros do not count as
+    numbers."""
     number = F.regexp_extract(ident, TRAILING_NUMBER, 2)
+    value = F.when(F.length(number) <= 20, number).cast("decimal(20,0)")
     return F.when(
-        ident.rlike(TRAILING_NUMBER) & (F.length(number) <= 18),
-        F.struct(F.regexp_extract(ident, TRAILING_NUMBER, 1).alias("prefix"),
-                 number.cast("bigint").alias("number")),
+        ident.rlike(TRAILING_NUMBER) & (value <= F.lit(U64_MAX).cast("decimal(20,0)")),
+        F.struct(F.regexp_extract(ident, TRAILING_NUMBER, 1).alias("prefix"), value.alias("number")),
     )
 
 
@@ -123,13 +125,14 @@ def valid_new_name(name: Column) -> Column:
 
 
 # Requirement references: `1.2`, `3.1-3.4`, with an en dash also allowed in a range.
-_TOKEN = r"^(\w+)\.(\w+)$"
-_RANGE = "^(\\w+)\\.(\\w+)\\s*[–-]\\s*(\\w+)\\.(\\w+)$"
+_TOKEN = r"(?U)^(\w+)\.(\w+)$"
+_RANGE = "(?U)^(\\w+)\\.(\\w+)\\s*[–-]\\s*(\\w+)\\.(\\w+)$"
 
 
 def requirement_ref_tokens(text: Column) -> Column:
-    """Non-empty comma parts after an optional leading word ``Requirements``."""
-    return list_items_lenient(F.trim(F.regexp_replace(text, r"^Requirements\s*", "")))
+    """Non-empty comma parts after an optional leading word ``Requirements``; one empty part if there is nothing at all."""
+    body = F.trim(F.regexp_replace(text, r"^Requirements\s*", ""))
+    return F.when(body == "", F.array(F.lit(""))).otherwise(list_items_lenient(body))
 
 
 def expand_ref_token(token: Column) -> Column:
@@ -147,7 +150,8 @@ def expand_ref_token(token: Column) -> Column:
         good = ranged & numeric & (lo <= hi)
         quote = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
         marker = (
-            F.when(ranged & ~numeric, quote("Non-numeric range indices in '", token, "', cannot expand"))
+            F.when(token == "", F.lit("Empty reference string"))
+            .when(ranged & ~numeric, quote("Non-numeric range indices in '", token, "', cannot expand"))
             .when(ranged & (lo > hi), quote("Range has start > end: '", token, "'"))
             .when(ranged & (start_req != end_req), quote(
                 "Range has different requirement numbers: '", start_req, "' vs '", end_req, "' in '", token, "'"))

@@ -55,14 +55,15 @@ def truncate_body(text: Column, max_bytes: int) -> Column:
     return F.when(F.octet_length(flat) <= max_bytes, flat).otherwise(F.concat(head, F.lit("...")))
 
 
-def categorize_marker(message: Column) -> Column:
+def categorize_marker(message: Column, metadata_of: str = "Kiro") -> Column:
+    """Kind of an import marker; ``metadata_of`` names the tool whose metadata cannot be imported."""
     # Message beginnings and the kind they stand for.
     return (
         F.when(message.startswith("Duplicate ID"), F.lit("duplicate_id"))
         .when(message.startswith("No requirements document"), F.lit("missing_context"))
         .when(message.rlike("^(Could not parse|Empty reference|Non-numeric range|Range has)"),
               F.lit("unparseable_ref"))
-        .when(message.contains("optional") | message.rlike("^[A-Za-z]+ metadata")
+        .when(message.contains("optional") | message.startswith(f"{metadata_of} metadata")
               | message.contains("non-requirement target"), F.lit("unsupported_feature"))
         .otherwise(F.lit("unresolved_ref"))
     )

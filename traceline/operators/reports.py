@@ -193,8 +193,10 @@ def changed_paths(diff: DataFrame, committed_only: bool = False) -> DataFrame:
 def merge_change_events(events: DataFrame, keys: list[str]) -> DataFrame:
     """Fold change events of the same ``keys``: all ids changed or removed, and the last revision.
 
-    ``events(keys.., ord, revision, doc_id, action)`` has one row per id; so has the result.
+    ``events(keys.., ord, revision, doc_id, action)`` has one row per id; so has the result.  An event
+    without a revision adds nothing: its ids are left out and the older revision stays.
     """
+    events = events.filter("revision is not null")
     latest = events.groupBy(*keys).agg(F.max_by("revision", "ord").alias("revision"))
     return events.select(*keys, "doc_id", "action").distinct().join(latest, keys)
 

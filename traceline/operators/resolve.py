@@ -9,6 +9,7 @@ from traceline.functions.paths import glob_prefix
 from traceline.functions.refs import ref_doc, ref_fragment
 from traceline.operators.blocks import first_rows
 from traceline.operators.lists import explode_list_attribute
+from traceline.storage import materialize
 
 
 def unique_documents(documents: DataFrame) -> DataFrame:
@@ -71,6 +72,11 @@ def _check(items: DataFrame, documents: DataFrame, referenceable: DataFrame,
     )
 
 
+def _written(checked: DataFrame, keep: list[str], reason: Column) -> DataFrame:
+    """The checked items, once: what resolved and what broke are both read from this table."""
+    return materialize(checked.select(*keep, F.col("item").alias("raw"), "target_doc", "fragment", reason.alias("reason")), "checked")
+
+
 def is_cross_project() -> Column:
     return F.col("own_project").isNotNull() & ~F.col("own_project").eqNullSafe(F.col("target_project"))
 
@@ -93,12 +99,12 @@ def resolve_refs(components: DataFrame, documents: DataFrame, defs: DataFrame,
     reason = _base_reason().when(
         F.col("fragment").isNotNull() & (F.col("target_name") != F.col("target_component")),
         "wrong_component")
-    checked = checked.withColumn("reason", reason)
     keep = ["doc_id", "comp_path", "name", "ord", "line", "col", "item_ord"]
+    checked = _written(checked, keep, reason)
     resolved = checked.filter("reason is null").select(
-        *keep, F.col("item").alias("raw"), "target_doc", "fragment")
+        *keep, "raw", "target_doc", "fragment")
     broken = checked.filter("reason is not null").select(
-        *keep, F.col("item").alias("raw"), "target_doc", "fragment", "reason"
+        *keep, "raw", "target_doc", "fragment", "reason"
     ).unionByName(_voided(voided, keep))
     return resolved, broken
 
@@ -124,12 +130,12 @@ def resolve_task_implements(components: DataFrame, documents: DataFrame, defs: D
         .when(F.col("target_name").isNull(), "fragment_not_found")
         .when(~F.coalesce("target_verifiable", F.lit(False)), "not_verifiable")
     )
-    checked = checked.withColumn("reason", reason)
     keep = ["doc_id", "comp_path", "name", "ord", "line", "col", "item_ord", "comp_id"]
+    checked = _written(checked, keep, reason)
     resolved = checked.filter("reason is null").select(
-        *keep, F.col("item").alias("raw"), "target_doc", "fragment")
+        *keep, "raw", "target_doc", "fragment")
     broken = checked.filter("reason is not null").select(
-        *keep, F.col("item").alias("raw"), "target_doc", "fragment", "reason"
+        *keep, "raw", "target_doc", "fragment", "reason"
     ).unionByName(_voided(voided, keep))
     return resolved, broken
 

@@ -212,8 +212,10 @@ def broken_ref(errors, suggestions: DataFrame | None = None) -> DataFrame:
         rows = rows.join(suggestions.select("target_doc", "nearest"), "target_doc", "left")
     else:
         rows = rows.withColumn("nearest", F.lit(None).cast("string"))
+    # The suggestion can be put in place of the reference, so it keeps the fragment.
+    fragment = F.regexp_extract("raw", "(?s)#.*$", 0)
     return finding(rows, "broken_ref", _text(F.col("kind"), ": ", F.col("reason")), F.col("raw"),
-                   F.when(F.col("reason") == "document_not_found", F.col("nearest")))
+                   F.when(F.col("reason") == "document_not_found", F.concat("nearest", fragment)))
 
 
 def plugin_discovery_failure(diagnostics, conflicts) -> DataFrame:

@@ -124,7 +124,8 @@ def _taken_suffixes(ids: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, base, number, rank): suffix numbers from 2 already used by an id of the list, for
     bases that are ids themselves."""
     shaped = ids.select(*keys, "id").distinct().withColumn("p", parse_trailing_number(F.col("id"))) \
-        .filter("p.number >= 2").select(*keys, F.col("p.prefix").alias("id"), "p.number")
+        .filter((F.col("p.number") >= 2) & (F.col("p.number") < 1 << 62)) \
+        .select(*keys, F.col("p.prefix").alias("id"), F.col("p.number").cast("bigint").alias("number"))  # no list is longer
     based = shaped.join(ids.select(*keys, "id").distinct(), [*keys, "id"], "left_semi")
     return blocks.row_number(based, [*keys, "id"], ["number"], "rank")
 

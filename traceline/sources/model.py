@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceline.schema import component_defs
+from traceline.storage import materialize
 
 # Task components of 4096 consecutive parts share a block in block-wise windows.
 TASK_BLOCK = 4096 * 10**9
@@ -66,6 +67,21 @@ class Corpus:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.dir = sf_dir
+        self._made: dict[str, object] = {}
+
+    def once(self, name: str, make):
+        """What ``make`` gives, made at the first request: intermediate tables that several parts of a query read."""
+        if name not in self._made:
+            self._made[name] = make()
+        return self._made[name]
+
+    def written(self, name: str) -> DataFrame:
+        """The table ``name`` written once, and from then on read by whatever asks for it."""
+        def write() -> DataFrame:
+            self.__dict__[name] = materialize(getattr(self, name), name)
+            return self.__dict__[name]
+
+        return self.once(f"written-{name}", write)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -9,28 +10,48 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of our own only where none is set."""
+    """The folder named by ``spark.checkpoint.dir``, or else the context's checkpoint folder.
+
+    Where neither is set, a run on this machine alone gets a folder of its own; on a cluster that is an
+    error, as executors would not see each other's files.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="traceline-"))
-        current = context.getCheckpointDir()
-    return current
+    if context.getCheckpointDir() is None:
+        if not _is_local(context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(os.path.join(tempfile.gettempdir(), f"traceline-{uuid.uuid4().hex}"))
+    return context.getCheckpointDir()
+
+
+def _is_local(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
+def run_dir(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables."""
+    return f"{shared_dir(spark).rstrip('/')}/traceline/{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/traceline/{label}-{uuid.uuid4().hex}"
+    return f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` once and continue from the written table.
 
-    The table survives lost executors, and unlike ``checkpoint()`` the plan runs a single time.
+    The table survives lost executors, and unlike ``checkpoint()`` the plan runs a single time.  It stays
+    until ``clean_up``, as results that are not yet computed may read it.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; call it when its results have been written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -73,7 +73,7 @@ def coalesce_events(events: DataFrame, gap: str, late: str) -> DataFrame:
     rows = events.withWatermark("ts", late) if events.isStreaming else events
     return rows.groupBy("root", F.session_window("ts", gap).alias("w")).agg(
         F.min("ord").alias("first_event"), F.max("ord").alias("last_event"), F.count(F.lit(1)).alias("n_events"),
-        F.max_by("revision", "ord").alias("revision")).select("root", "w.start", "w.end", "first_event", "last_event",
+        F.max_by("revision", F.when(F.col("revision").isNotNull(), F.col("ord"))).alias("revision")).select("root", "w.start", "w.end", "first_event", "last_event",
                                                               "n_events", "revision")
 
 
@@ -86,6 +86,8 @@ def burst_members(events: DataFrame, bursts: DataFrame, block: int = blocks.BLOC
     begins = bursts.select("root", F.col("first_event").alias("at"), F.lit(0).alias("kind"),
                            F.struct("first_event", "last_event").alias("b"),
                            nul.cast("string").alias("doc_id"), nul.cast("string").alias("action"))
+    if "revision" in events.columns:
+        events = events.filter("revision is not null")  # such an event tells no ids
     asks = events.select("root", F.col("ord").alias("at"), F.lit(1).alias("kind"),
                          nul.cast(begins.schema["b"].dataType).alias("b"), "doc_id", "action")
     told = blocks.carry_forward(begins.unionByName(asks), ["root"], ["at", "kind"], {"burst": F.col("b")}, block)
