@@ -33,7 +33,7 @@ from pyspark.sql.window import Window
 from traceline.llm.common import materialize
 
 CAPACITY, END = 4096, 2
-REMEMBERED, LONGEST_REMEMBERED, TOGETHER, PUNCTUATION = 250_000, 64, 256, ".,!?;:"
+REMEMBERED, LONGEST_REMEMBERED, TOGETHER, TEXTS_AT_ONCE, PUNCTUATION = 200_000, 64, 256, 256, ".,!?;:"
 
 
 class Encoder:
@@ -130,8 +130,8 @@ def _pieces(path: str, capacity: int, end: int):
         counts = [0] * capacity.bit_length()
         worker = TaskContext.get().partitionId()
         for pdf in batches:
-            ids, rows = pdf["id"].tolist(), []
-            for who, encoded in zip(range(len(ids)), encoder(path)(pdf["text"].tolist())):
+            texts, rows = pdf["text"].tolist(), []
+            for who, encoded in enumerate(x for at in range(0, len(texts), TEXTS_AT_ONCE) for x in encoder(path)(texts[at:at + TEXTS_AT_ONCE])):
                 encoded += last
                 view, start, total = memoryview(encoded), 0, len(encoded) // 4
                 for length in cuts(total, capacity):
