@@ -258,8 +258,7 @@ def _(c):
     return gr.document_order(c.documents, v.depends_edges(c))
 
 
-@query("G5_task_order", "doc_id:s comp_id:s position:l",
-       """WITH RECURSIVE node AS (SELECT doc_id, comp_id, max(ord) AS ord FROM task GROUP BY 1, 2),
+G5 = """WITH RECURSIVE node AS (SELECT doc_id, comp_id, max(ord) AS ord FROM task GROUP BY 1, 2),
           link AS (SELECT DISTINCT t.doc_id, t.comp_id, t.depends FROM task t JOIN node n ON n.doc_id = t.doc_id AND n.comp_id = t.depends),
           keyed AS (
             SELECT doc_id, comp_id, [ord] AS k FROM node n
@@ -268,7 +267,11 @@ def _(c):
             SELECT n.doc_id, n.comp_id, list_append(list_filter(p.k, lambda x: x > n.ord), n.ord)
             FROM keyed p JOIN link l ON l.doc_id = p.doc_id AND l.depends = p.comp_id
             JOIN node n ON n.doc_id = l.doc_id AND n.comp_id = l.comp_id)
-          SELECT doc_id, comp_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS position FROM keyed""")
+          SELECT doc_id, comp_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS position FROM keyed"""
+
+
+@query("G5_task_order", "doc_id:s comp_id:s position:l",
+       G5)
 def _(c):
     return gr.task_positions(c.tasks)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from traceline.catalog import corpus_views as v
+from traceline.catalog.references import G5
 from traceline.catalog.registry import query
 from traceline.catalog.rules import errors
 from traceline.operators import filters as fl
@@ -225,12 +226,19 @@ def _(c):
     return rp.ambiguous_task_ids(c.components)
 
 
-@query("J14_linked_tasks", "doc_id:s comp_id:s status:s",
-       """SELECT t.doc_id, t.comp_id, min_by(t.status, t.ord) AS status FROM task t
-          WHERE EXISTS (SELECT 1 FROM task_impl i WHERE i.doc_id = t.doc_id AND i.comp_id = t.comp_id
-                        AND i.target_doc IN (SELECT doc_id FROM docs WHERE doc_type = 'requirements')) GROUP BY 1, 2""")
+@query("J14_linked_tasks", "doc_id:s comp_id:s status:s position:l implements:s depends_on:s",
+       f"""SELECT f.doc_id, f.comp_id, f.status, p.position, l.implements,
+                  CASE WHEN f.depends IS NOT NULL THEN concat(f.doc_id, '#', f.depends) END AS depends_on
+           FROM (SELECT t.doc_id, t.comp_id, arg_min_null(t.status, t.ord) AS status, arg_min_null(t.depends, t.ord) AS depends FROM task t
+                 WHERE EXISTS (SELECT 1 FROM task_impl i WHERE i.doc_id = t.doc_id AND i.comp_id = t.comp_id
+                               AND i.target_doc IN (SELECT doc_id FROM docs WHERE doc_type = 'requirements')) GROUP BY 1, 2) f
+           JOIN (SELECT doc_id, comp_id, string_agg(DISTINCT concat(target_doc, '#', fragment), ', '
+                        ORDER BY concat(target_doc, '#', fragment)) AS implements FROM task_impl GROUP BY 1, 2) l
+             ON l.doc_id = f.doc_id AND l.comp_id = f.comp_id
+           LEFT JOIN ({G5}) p ON p.doc_id = f.doc_id AND p.comp_id = f.comp_id""")
 def _(c):
-    return pq.plan_tasks(c.components, v.task_implements(c), c.documents.filter("doc_type = 'requirements'"))
+    found = pq.linked_tasks(c.components, v.task_implements(c), c.documents.filter("doc_type = 'requirements'"))
+    return found.withColumn("implements", F.array_join("implements", ", ")).withColumn("depends_on", F.array_join("depends_on", ", "))
 
 
 @query("J16_attach_doc_paths", "doc_id:s raw:s path:s",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from traceline.catalog import corpus_views as v
@@ -215,6 +217,13 @@ def _(c):
     return pq.verify(verify_inputs(c))
 
 
+@query("Q2_verify_project", "rule:s doc_id:s subject:s effective_severity:s",
+       f"""SELECT * FROM ({VERIFY}) WHERE effective_severity <> 'off'
+           AND (doc_id IS NULL OR doc_id IN (SELECT doc_id FROM docs WHERE project = 'Brand#12'))""")
+def _(c):
+    return pq.verify(replace(verify_inputs(c), project="Brand#12"))
+
+
 @query("A7_report_summary", "errors:l warnings:l infos:l result:s",
        """SELECT count(*) FILTER (s = 'error') AS errors, count(*) FILTER (s = 'warning') AS warnings,
                  count(*) FILTER (s = 'info') AS infos,

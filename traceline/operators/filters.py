@@ -55,8 +55,8 @@ def select_documents(documents: DataFrame, wanted: str = "") -> DataFrame:
 
 def scope_to_project(rows: DataFrame, documents: DataFrame, project: str) -> DataFrame:
     """Rows of the project's documents, and rows without a document."""
-    mine = documents.filter(F.col("project") == project).select("doc_id").distinct()
-    return rows.filter("doc_id is null").unionByName(rows.join(mine, "doc_id", "left_semi").select(*rows.columns))
+    mine = documents.filter(F.col("project") == project).select("doc_id").distinct().withColumn("_mine", F.lit(True))
+    return rows.join(mine, "doc_id", "left").filter("doc_id is null or _mine").select(*rows.columns)
 
 
 def filter_documents(documents: DataFrame, types: list[str] | None = None, status: str | None = None

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from traceline.functions.paths import verified_by_label
 from traceline.functions.refs import list_is_void, list_items
 from traceline.functions.text import resolve_severity
+from traceline.operators.filters import scope_to_project
 from traceline.operators import evidence as ev
 from traceline.operators import graph as gr
 from traceline.operators import reports as rp
@@ -102,9 +103,14 @@ class VerifyInputs:
     block: int = BLOCK
     rule_config: DataFrame | None = None
     strictness: str | None = None
+    project: str | None = None
     extra: list[DataFrame] = field(default_factory=list)
 
 
+def _in_scope(x: VerifyInputs) -> DataFrame:
+    return x.documents if x.project is None else x.documents.filter(F.col("project") == x.project)
+
+
 def rule_findings(x: VerifyInputs) -> DataFrame:
     """Raw findings of all rules."""
     merged = materialize(ev.merge_evidence(x.evidence_raw), "evidence")
@@ -129,7 +135,7 @@ def rule_findings(x: VerifyInputs) -> DataFrame:
         rules.missing_decision_coverage(x.documents, x.components, x.edges),
         rules.plugin_discovery_failure(x.diagnostics, ev.evidence_conflicts(x.evidence_raw)),
         rules.plugin_discovery_warning(x.diagnostics),
-        rules.empty_project(x.documents),
+        rules.empty_project(_in_scope(x)),
         *x.extra,
     ]
     if x.id_pattern:
@@ -157,14 +163,22 @@ def apply_severities(findings: DataFrame, documents: DataFrame, rule_config: Dat
 
 
 def verify(x: VerifyInputs) -> DataFrame:
-    return apply_severities(rule_findings(x), x.documents, x.rule_config, x.strictness)
+    """Effective findings; with a project those of its documents and those of none, found in the whole graph."""
+    found = rule_findings(x)
+    if x.project is not None:
+        found = scope_to_project(found, x.documents, x.project)
+    return apply_severities(found, x.documents, x.rule_config, x.strictness)
 
 
 # -- Q3, Q4: plan --------------------------------------------------------------------------------
 
 def plan_tasks(components: DataFrame, task_implements: DataFrame, targets: DataFrame) -> DataFrame:
-    """Tasks that implement a criterion of ``targets(doc_id)``, with status and done flag."""
+    """Tasks that implement a criterion of ``targets(doc_id)``, with status, done flag, and the qualified
+    references that they implement and depend on."""
     impl = task_implements.select("doc_id", "comp_id", F.col("target_doc"))
+    # As long as the attributes of the tasks of one id.
+    links = task_implements.groupBy("doc_id", "comp_id").agg(
+        F.array_sort(F.collect_set(F.concat_ws("#", "target_doc", "fragment"))).alias("implements"))
     hit = impl.join(targets.select(F.col("doc_id").alias("target_doc")).distinct(), "target_doc", "left_semi") \
         .select("doc_id", "comp_id").distinct()
     attrs = F.col("attrs")
@@ -172,11 +186,19 @@ def plan_tasks(components: DataFrame, task_implements: DataFrame, targets: DataF
         gr.reachable_tasks(components).filter("comp_id is not null").groupBy("doc_id", "comp_id").agg(
             F.min_by(F.struct(attrs["status"].alias("status"), attrs["depends"].alias("depends"),
                               "body_text", "ord"), "ord").alias("t"))
-        .select("doc_id", "comp_id", "t.*").join(hit, ["doc_id", "comp_id"], "left_semi")
+        .select("doc_id", "comp_id", "t.*").join(hit, ["doc_id", "comp_id"], "left_semi").join(links, ["doc_id", "comp_id"])
+        .withColumn("depends_on", F.when(~list_is_void(F.col("depends")), F.transform(
+            list_items(F.col("depends")), lambda i: F.concat_ws("#", F.col("doc_id"), i))))
         .withColumn("done", F.coalesce(F.col("status") == "done", F.lit(False)))
     )
 
 
+def linked_tasks(components: DataFrame, task_implements: DataFrame, targets: DataFrame) -> DataFrame:
+    """``plan_tasks`` with the position of each task in the order of its document."""
+    return plan_tasks(components, task_implements, targets).join(
+        gr.task_positions(components).select("doc_id", "comp_id", "position"), ["doc_id", "comp_id"], "left")
+
+
 def _plan_tables(components: DataFrame, task_implements: DataFrame, targets: DataFrame
                  ) -> tuple[DataFrame, DataFrame]:
     """The resolved links and the tasks of a plan, written once because several parts read them."""
