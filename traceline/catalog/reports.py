@@ -396,8 +396,8 @@ AFFECTED = """
 def affected(c):
     changed = rp.changed_paths(c.diff_rows)
     edges = v.edges(c)
-    docs, matches = pq.affected(rules.tracked_globs(c.components), changed, edges)
-    return docs, matches, edges
+    docs, doc_globs, hits = pq.affected(rules.tracked_globs(c.components), changed, edges)
+    return docs, doc_globs, hits, edges
 
 
 @query("Q7_affected", "doc_id:s n_files:l transitive_from:s",
@@ -417,10 +417,10 @@ def _(c):
                      SELECT 1 FROM edges e WHERE e.dst = h.doc_id AND e.kind = 'references' AND e.fragment IS NULL
                      AND e.src IN (SELECT doc_id FROM hop WHERE doc_id IN (SELECT doc_id FROM docs WHERE doc_type = 'tasks'))))""")
 def _(c):
-    docs, matches, edges = affected(c)
+    docs, doc_globs, hits, edges = affected(c)
     tasks = c.documents.filter("doc_type = 'tasks'")
-    return pq.affected_summary(docs, matches, edges).withColumn("scoped", F.lit(False)).unionByName(
-        pq.affected_summary(docs, matches, edges, tasks).withColumn("scoped", F.lit(True)))
+    return pq.affected_summary(docs, doc_globs, hits, edges).withColumn("scoped", F.lit(False)).unionByName(
+        pq.affected_summary(docs, doc_globs, hits, edges, tasks).withColumn("scoped", F.lit(True)))
 
 
 @query("G6_impact", "doc_id:s",
@@ -429,7 +429,7 @@ def _(c):
              UNION SELECT e.src FROM reach r JOIN (SELECT DISTINCT src, dst FROM edges) e ON e.dst = r.doc_id)
            SELECT doc_id FROM reach""")
 def _(c):
-    docs, _matches, edges = affected(c)
+    docs, _globs, _hits, edges = affected(c)
     return gr.impact(edges, docs.filter("transitive_from is null"))
 
 

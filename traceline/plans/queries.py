@@ -328,41 +328,46 @@ def document_status(documents: DataFrame, components: DataFrame, coverage: DataF
 # -- Q7, A16: affected documents ---------------------------------------------------------------------
 
 def affected(tracked_globs: DataFrame, changed: DataFrame, edges: DataFrame
-             ) -> tuple[DataFrame, DataFrame]:
-    """(documents, matches): directly affected documents, plus one hop over document references.
+             ) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, doc_globs, hits): directly affected documents, plus one hop over document references.
 
-    ``matches(doc_id, glob, path)`` are the reasons, one row each; here ``*`` may cross ``/``.
+    The reasons are two tables, ``doc_globs(doc_id, glob)`` and ``hits(glob, path)``; here ``*`` may cross
+    ``/``.  They are not joined to documents times files: files are counted once for each different set of
+    globs, however many documents have it.
     """
-    hits = match_globs(tracked_globs, changed, separator_literal=False)
-    matches = tracked_globs.select("doc_id", "glob").distinct().join(hits, "glob").select("doc_id", "glob", "path")
-    direct = matches.groupBy("doc_id").agg(F.countDistinct("path").alias("n_files"))
+    hits = materialize(match_globs(tracked_globs, changed, separator_literal=False), "glob-hits")
+    doc_globs = tracked_globs.select("doc_id", "glob").distinct().join(hits.select("glob").distinct(), "glob", "left_semi")
+    # As long as the globs of one document.
+    sets = materialize(doc_globs.groupBy("doc_id").agg(F.array_sort(F.collect_set("glob")).alias("globs")), "glob-sets")
+    counts = sets.select("globs").distinct().select("globs", F.explode("globs").alias("glob")).join(hits, "glob") \
+        .groupBy("globs").agg(F.countDistinct("path").alias("n_files"))
+    direct = materialize(sets.join(counts, "globs").select("doc_id", "n_files"), "affected")
     hop = edges.filter("kind = 'references' and fragment is null").select("src", "dst").distinct() \
         .join(direct.select(F.col("doc_id").alias("dst")), "dst", "left_semi")
     via = hop.groupBy(F.col("src").alias("doc_id")).agg(F.min("dst").alias("transitive_from")) \
         .join(direct.select("doc_id"), "doc_id", "left_anti")
     docs = direct.select("doc_id", "n_files", F.lit(None).cast("string").alias("transitive_from")).unionByName(
         via.select("doc_id", F.lit(0).cast("bigint").alias("n_files"), "transitive_from"))
-    return docs, matches
+    return docs, doc_globs, hits
 
 
-def affected_summary(docs: DataFrame, matches: DataFrame, edges: DataFrame, scope: DataFrame | None = None
-                     ) -> DataFrame:
+def affected_summary(docs: DataFrame, doc_globs: DataFrame, hits: DataFrame, edges: DataFrame,
+                     scope: DataFrame | None = None) -> DataFrame:
     """Direct and transitive documents and the distinct changed files behind them.
 
     Within a ``scope(doc_id)``, a transitive document counts the files of all its direct sources.
     """
     if scope is None:
-        mine, files = docs, matches.select("path")
+        mine, globs = docs, doc_globs
     else:
         mine = docs.join(scope.select("doc_id").distinct(), "doc_id", "left_semi")
-        own = matches.join(mine.select("doc_id"), "doc_id", "left_semi").select("path")
+        own = doc_globs.join(mine.select("doc_id"), "doc_id", "left_semi")
         hop = edges.filter("kind = 'references' and fragment is null").select("src", "dst").distinct() \
             .join(mine.filter("transitive_from is not null").select(F.col("doc_id").alias("src")), "src", "left_semi")
-        files = own.union(matches.join(hop.select(F.col("dst").alias("doc_id")).distinct(), "doc_id", "left_semi")
-                          .select("path"))
+        globs = own.unionByName(doc_globs.join(hop.select(F.col("dst").alias("doc_id")).distinct(), "doc_id", "left_semi"))
     counts = mine.agg(F.count_if(F.col("transitive_from").isNull()).alias("direct"),
                       F.count_if(F.col("transitive_from").isNotNull()).alias("transitive"))
-    n_files = files.distinct().agg(F.count(F.lit(1)))
+    n_files = hits.join(globs.select("glob").distinct(), "glob", "left_semi").select("path").distinct().agg(F.count(F.lit(1)))
     return counts.withColumn("changed_files", n_files.scalar())
 
 
