@@ -20,7 +20,24 @@ def first_doc(col):
     return F.col(col)[0]["doc_id"]
 
 
-@query("S11_scan_tags", "file:s line:l tag:s", "SELECT file, line, tag FROM page_tags")
+@query("S11_scan_tags", "file:s line:l tag:s fixed:b",
+       """WITH e AS (SELECT concat('tests/event_', event_id, '.txt') AS file, user_id,
+                            CAST(json_extract_string(props, '$.k') AS INT) % 6 AS style FROM events)
+          SELECT file, 2 AS line, concat('tag-', user_id) AS tag, false AS fixed FROM e WHERE style <> 5
+          UNION ALL SELECT file, 2, 'tag-7', true FROM e WHERE style <> 5 AND user_id = 7""")
+def _(c):
+    # One style of comment for each value; the last is no comment at all.
+    style, user = F.get_json_object("props", "$.k").cast("int") % 6, F.col("user_id").cast("string")
+    opened = F.element_at(F.array(*[F.lit(x) for x in ("// ", "/// ", "# ", "-- ", "/*", "")]), style + 1)
+    text = F.concat(F.lit("code();\n"), opened, F.lit("verifies: tag-"), user, F.when(style == 4, " */").when(style == 1, " more").otherwise(""),
+                    F.lit("\n// verifies tag-0 without a colon"))
+    lines = ev.source_lines(c.table("events").select(
+        F.concat(F.lit("tests/event_"), F.col("event_id").cast("string"), F.lit(".txt")).alias("path"), text.alias("text")))
+    return ev.scan_tags(lines, ev.tag_pattern("verifies")).withColumn("fixed", F.lit(False)).unionByName(
+        ev.scan_tags(lines, ev.tag_pattern("verifies", "tag-7")).withColumn("fixed", F.lit(True)))
+
+
+@query("S11_scan_page_tags", "file:s line:l tag:s", "SELECT file, line, tag FROM page_tags")
 def _(c):
     return v.tag_matches(c)
 
