@@ -95,6 +95,9 @@ EDITS = """
          max_by(event_type = 'error', event_id) AS deleted FROM events GROUP BY 1"""
 
 
+EDITS_WHOLE = EDITS.replace("FROM events", "FROM events WHERE event_type <> 'view'")
+
+
 def edits(c):
     return c.table("events").select(
         F.concat(F.lit("part/"), F.col("user_id").cast("string"), F.lit("/req")).alias("doc_id"),
@@ -109,6 +112,17 @@ def _(c):
     return ch.latest_wins(c.documents.select("doc_id", "status"), edits(c), ["doc_id"])
 
 
+@query("C5_partial_versions", "doc_id:s status:s partial:b",
+       f"""SELECT doc_id, status, false AS partial FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM ({EDITS_WHOLE}))
+           UNION ALL SELECT doc_id, status, false FROM ({EDITS_WHOLE}) WHERE NOT deleted
+           UNION ALL SELECT doc_id, status, true FROM ({EDITS}) WHERE status = 'view' AND NOT deleted""")
+def _(c):
+    overlay = edits(c).withColumn("partial", F.col("status") == "view")
+    base = c.documents.select("doc_id", "status")
+    return ch.latest_wins(base, overlay, ["doc_id"]).withColumn("partial", F.lit(False)).unionByName(
+        ch.partial_versions(overlay, ["doc_id"]).select("doc_id", "status", "partial"))
+
+
 @query("C5_latest_versions_stream", "doc_id:s status:s deleted:b", EDITS)
 def _(c):
     return st.latest_versions_stream(edits(live_corpus(c)), ["doc_id"], ["status"])

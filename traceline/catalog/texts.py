@@ -195,14 +195,19 @@ def _(c):
 
 
 @query("E1_evidence_sources", "kind:s n:l n_failures:l",
-       f"""SELECT 'rust-attribute' AS kind, count(*) AS n, (SELECT count(*) FROM ({RUST}) WHERE problem IS NOT NULL) + 1 AS n_failures
+       f"""SELECT 'rust-attribute' AS kind, count(*) AS n, (SELECT count(*) FROM ({RUST}) WHERE problem IS NOT NULL) + 2 AS n_failures
            FROM ({RUST}) WHERE problem IS NULL""")
 def _(c):
     def broken(_tables):
         raise RuntimeError("source is not available")
 
+    def fails_in_a_task(tables):
+        evidence, problems = an.scan_rust_annotations(render.rust_files(tables))
+        return evidence.withColumn("file", F.raise_error(F.lit("unreadable"))), problems
+
     found, said = es.run_sources(c.spark, [
-        es.EvidenceSource("rust", lambda t: an.scan_rust_annotations(render.rust_files(t))), es.EvidenceSource("broken", broken)], c)
+        es.EvidenceSource("rust", lambda t: an.scan_rust_annotations(render.rust_files(t))), es.EvidenceSource("broken", broken),
+        es.EvidenceSource("late", fails_in_a_task)], c)
     fails = said.filter("level = 'failure'").agg(F.count(F.lit(1)))
     return found.groupBy(F.col("provenance")[0]["kind"].alias("kind")).agg(F.count(F.lit(1)).alias("n")) \
         .withColumn("n_failures", fails.scalar())

@@ -52,9 +52,19 @@ def change_event(snapshot_diff: DataFrame, detail_diff: DataFrame) -> DataFrame:
 def latest_wins(base: DataFrame, overlay: DataFrame, keys: list[str]) -> DataFrame:
     """The overlay's last version of a key replaces the base's; deleted keys vanish.
 
-    ``overlay`` has the base's columns, ``version`` and ``deleted``.
+    ``overlay`` has the base's columns, ``version`` and ``deleted``.  If it also has ``partial``, versions
+    that were only read in part replace nothing; ``partial_versions`` gives those.
     """
+    if "partial" in overlay.columns:
+        overlay = overlay.filter("not partial")
     values = [c for c in base.columns if c not in keys]
     last = overlay.groupBy(*keys).agg(F.max_by(F.struct(*values, "deleted"), "version").alias("o"))
     kept = base.join(last.select(*keys), keys, "left_anti")
     return kept.unionByName(last.filter("not o.deleted").select(*keys, *[F.col(f"o.{c}").alias(c) for c in values]))
+
+
+def partial_versions(overlay: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys whose last version in the overlay was only read in part, with that version."""
+    values = [c for c in overlay.columns if c not in keys]
+    last = overlay.groupBy(*keys).agg(F.max_by(F.struct(*values), "version").alias("o"))
+    return last.filter("o.partial and not o.deleted").select(*keys, "o.*")

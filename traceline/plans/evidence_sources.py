@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from traceline.functions.text import nearest_known_name
 from traceline.operators.reports import union_all
 from traceline.schema import EVIDENCE_RAW, RULE_SEVERITY, SEVERITY_RANK
+from traceline.storage import materialize
 
 DIAGNOSTICS = "source string, level string, path string, message string"
 
@@ -26,16 +27,17 @@ class EvidenceSource:
 def run_sources(spark: SparkSession, sources: list[EvidenceSource], tables: object) -> tuple[DataFrame, DataFrame]:
     """Evidence and diagnostics of all sources.
 
-    A source that cannot be planned or returns other columns becomes a failure row and does not stop
-    the others.
+    A source that cannot be planned, returns other columns or fails while it runs becomes a failure row
+    and does not stop the others; so each is run here, once, and its tables written.
     """
     found = [spark.createDataFrame([], EVIDENCE_RAW)]
     said = [spark.createDataFrame([], DIAGNOSTICS)]
     for source in sources:
         try:
             evidence, diagnostics = source.discover(tables)
-            found.append(evidence.select(*found[0].columns))
-            said.append(diagnostics.select(*said[0].columns))
+            rows = materialize(evidence.select(*found[0].columns), "evidence-source")
+            said.append(materialize(diagnostics.select(*said[0].columns), "evidence-diagnostics"))
+            found.append(rows)
         except Exception as error:  # noqa: BLE001 - any failure of a source is a finding
             said.append(spark.createDataFrame(
                 [(source.name, "failure", None, f"{type(error).__name__}: {str(error).splitlines()[0]}")], DIAGNOSTICS))
