@@ -32,7 +32,7 @@ def sentence(rng, n):
 
 def test_against_plain(spark):
     rng = random.Random(6)
-    pool = [sentence(rng, rng.randrange(1, 9)) for _ in range(12)]
+    pool = [sentence(rng, rng.randrange(1, 30)) for _ in range(7)]
     rows = [(i, " ".join(rng.choice(pool) if rng.random() < 0.6 else sentence(rng, 6) for _ in range(rng.randrange(12)))) for i in range(60)]
     rows += [(3, rows[3][1]), (None, rows[4][1]), (None, rows[4][1]), (70, None), (71, "no end of a sentence"), (72, "\n\n")]
     assert run(spark, rows) == plain(rows)
@@ -55,4 +55,4 @@ def test_long_passages_go_from_later_documents_only(spark):
     assert got[0] == rows[0][1] and got[1] == rows[1][1]
     for i in (2, 3):
         left = got[i].split()
-        assert left[:16] == rows[i][1].split()[:16] and len(left) < 24 + 30 and own[i] in got[i]
+        assert left[:16] == rows[i][1].split()[:16] and len(left) < 24 + 26 and own[i] in got[i]

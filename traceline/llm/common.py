@@ -2,16 +2,39 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceline.storage import materialize
 
-__all__ = ["lower_ascii", "materialize", "table", "text_key"]
+__all__ = ["lower_ascii", "materialize", "ship", "table", "text_key"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers where they would not find it by themselves."""
+    root = Path(__file__).resolve().parents[2]
+    found = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    app = spark.sparkContext.applicationId
+    if app in _shipped or any(p and Path(p).resolve() == root for p in found):
+        return
+    archive = Path(tempfile.mkdtemp()) / "traceline.zip"  # the driver serves it from there as long as it runs
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted((root / "traceline").rglob("*.py")):
+            z.write(file, file.relative_to(root))
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(app)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,10 +1,12 @@
 """Operator 2: substring deduplication by sliding spans of sentences.
 
 A text is cut into sentences; a sentence of many words is cut further where the words themselves say
-so, which gives the same cuts wherever the passage stands.  Every run of ``SPAN`` consecutive
-sentences with at least ``MIN_WORDS`` words is hashed over its words.  All spans are joined globally
-on their hashes: the first document that holds a span keeps it, and in every later one the sentences
-that it covers are removed, as are those of its further places inside one document.
+so, which gives the same cuts wherever the passage stands.  A span is the shortest run of consecutive
+sentences from a given one that has at least ``SPAN`` sentences and ``MIN_WORDS`` words, and is hashed
+over its words; with sentences of at most ``MANY_WORDS`` words every passage of 50 words holds one.
+All spans are joined globally on their hashes: the first document that holds a span keeps it, and in
+every later one the sentences that it covers are removed, as are those of its further places inside
+one document.
 
 Only pairs of a document and a different span are shuffled; the counts per span combine before the
 shuffle, and what a document loses is a list of its own spans.
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from traceline.llm.common import materialize
 
-SPAN, MIN_WORDS, MANY_WORDS, CUT_EVERY = 3, 10, 24, 8
+SPAN, MIN_WORDS, MANY_WORDS, CUT_EVERY, LONGEST = 3, 25, 12, 5, 16
 LAST = (1 << 63) - 1
 SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+")
 PIECE = re.compile(r"\S+\s*|\s+")
@@ -41,7 +43,7 @@ def sentences(text: str) -> list[str]:
             unit = []
             for piece in pieces:
                 unit.append(piece)
-                if zlib.crc32(piece.strip().lower().encode()) % CUT_EVERY == 0:
+                if zlib.crc32(piece.strip().lower().encode()) % CUT_EVERY == 0 or len(unit) == LONGEST:
                     out.append("".join(unit))
                     unit = []
             if unit:
@@ -55,12 +57,17 @@ def spans(units: list[str], span: int, min_words: int) -> list[tuple[int, int, i
     """(hash, first unit, unit behind the last); units without words belong to no span."""
     words = [(i, u.lower().split()) for i, u in enumerate(units)]
     words = [(i, " ".join(w), len(w)) for i, w in words if w]
-    out = []
-    for at in range(len(words) - span + 1):
-        run = words[at:at + span]
-        if sum(n for _, _, n in run) >= min_words:
-            # the cuts between units are not hashed: only the words of the run count
-            out.append((xxhash.xxh64_intdigest(" ".join(w for _, w, _ in run).encode()) - (1 << 63), run[0][0], run[-1][0] + 1))
+    out, stop, size = [], 0, 0
+    for at in range(len(words)):
+        while stop < len(words) and (stop - at < span or size < min_words):
+            size += words[stop][2]
+            stop += 1
+        if stop - at < span or size < min_words:
+            break
+        # the cuts between units are not hashed: only the words of the run count
+        run = words[at:stop]
+        out.append((xxhash.xxh64_intdigest(" ".join(w for _, w, _ in run).encode()) - (1 << 63), run[0][0], run[-1][0] + 1))
+        size -= words[at][2]
     return out
 
 
