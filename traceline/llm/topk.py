@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from traceline.llm.common import materialize
+from traceline.operators.blocks import global_order
 
 SCALE, K = 1024, 10
 BUCKET_ROWS, BLOCK_ROWS = 4096, 4096
@@ -121,10 +122,9 @@ def _top(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _numbered_blocks(df: DataFrame, size: int, out: str, *order: Column) -> DataFrame:
-    """Rows in the order, in blocks of about ``size`` rows that never depend on one hot value."""
-    n = max(1, -(-df.count() // size))
-    return df.repartitionByRange(n, *order).withColumn(out, F.spark_partition_id())
+def _cut(df: DataFrame, size: int, out: str) -> DataFrame:
+    """In each dimension the longest vectors first, in blocks of ``size`` rows however often a value occurs."""
+    return global_order(df, ["dim", "short", "id"], "_at").withColumn(out, F.floor(F.col("_at") / size).cast("int")).drop("_at")
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding",
@@ -133,10 +133,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_i
     usable = vectors.select(F.col(id_col).alias("id"), whole(F.col(vector_col), scale).alias("v"), is_query.alias("query")) \
         .filter(F.col("id").isNotNull() & F.col("v").isNotNull())
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
-    usable = materialize(usable.withColumn("dim", F.size("v")).withColumn("norm", F.sqrt(square)), "vectors")
-    # In each dimension the longest vectors come first.
-    buckets = materialize(_numbered_blocks(usable, bucket_rows, "bucket", F.col("dim"), F.desc("norm"), F.col("id")), "buckets")
-    blocks = materialize(_numbered_blocks(usable.filter("query"), block_rows, "block", F.col("dim"), F.desc("norm"), F.col("id")), "blocks")
+    usable = materialize(usable.withColumn("dim", F.size("v")).withColumn("norm", F.sqrt(square)).withColumn("short", -F.col("norm")), "vectors")
+    buckets = materialize(_cut(usable, bucket_rows, "bucket"), "buckets")
+    blocks = materialize(_cut(materialize(usable.filter("query"), "query-vectors"), block_rows, "block"), "blocks")
 
     lengths = materialize(buckets.groupBy("dim", "bucket").agg(F.max("norm").alias("longest")), "bucket-lengths")
     lead = lengths.groupBy("dim").agg(F.max_by("bucket", F.struct("longest", -F.col("bucket"))).alias("lead"))
