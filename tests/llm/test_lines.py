@@ -59,6 +59,26 @@ def test_against_plain(spark):
     assert run(spark, rows) == plain(rows)
 
 
+def test_no_shared_line_stays(spark):
+    """Repeated lines and blocks in another order, by sets alone."""
+    rng = random.Random(5)
+    pool = [f"shared line number {i}" for i in range(12)]
+    rows = [(i, "\n".join(rng.choice([*pool, "ok", "", f"own line {i} {j}"]) for j in range(rng.randrange(1, 25)))) for i in range(60)]
+    seen, want = set(), []
+    for doc, text in rows:
+        want.append((doc, [x for x in text.split("\n") if long(x) and x not in seen]))
+        seen |= set(text.split("\n"))
+    assert {doc: [x for x in text.split("\n") if long(x)] for doc, text in run(spark, rows)} == dict(want)
+
+
+def test_blocks_repeated_and_moved():
+    assert common_blocks([1, 3, 5, 7], [5, 7, 1, 3]) == [0, 1, 2, 3]
+    assert common_blocks([1, 2, 3], [1, 9, 1, 2, 11, 2]) == [0, 2, 3]
+    assert common_blocks([1, 1, 4, 1], [13, 4, 1, 15, 1, 4]) == [1, 2, 4, 5]
+    assert common_blocks([1, 2], [2, 15, 2]) == []
+    assert common_blocks([1] * 20_000, [9, 1] * 20_000) == list(range(1, 40_000, 2))
+
+
 def test_passage_in_later_document(spark):
     passage = "first line of it\nok\nsecond line of it"
     rows = [(1, "a b c\n" + passage), (2, passage + "\nown words stay here"), (3, "nothing shared with any\nok")]

@@ -5,7 +5,9 @@ is paired with the line's first holder only, so a line of any frequency gives on
 document and needs no cap; a document that shares lines with several earlier ones has several pairs.
 The lines of a pair are aligned by patience diff on their hashes: equal ends, then the lines that are
 unique on both sides in their longest common order, and again between those.  Runs of aligned lines
-that hold at least one shared line are deleted from the later document.
+that hold at least one shared line are deleted from the later document.  Of what is left of it, every
+run that holds a shared line and stands anywhere in the first holder is deleted too, so that repeated
+lines and blocks in another order go and no shared line stays in a later document.
 
 Documents are ordered by id.  A line's first holder keeps it, so every line stays somewhere.  Copies
 of one text are a single document whose first row stays and whose later rows lose every line.
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import takewhile
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -85,7 +88,7 @@ def is_anchor(h: int) -> bool:
 
 
 def common_blocks(a: list[int], b: list[int]) -> list[int]:
-    """Positions in ``b`` of aligned runs that hold an anchor."""
+    """Positions in ``b`` of aligned runs that hold an anchor, and of the other runs that ``a`` has too."""
     out, run, last = [], [], None
     for pair in [*align(a, b), None]:
         if run and (pair is None or pair[0] != last[0] + 1 or pair[1] != last[1] + 1):
@@ -95,6 +98,42 @@ def common_blocks(a: list[int], b: list[int]) -> list[int]:
         if pair is not None:
             run.append(pair[1])
             last = pair
+    return sorted({*out, *_other_runs(a, b, set(out))})
+
+
+def _walks(lines: list[int], step: int) -> Iterator[tuple[int, Iterator[int]]]:
+    """Each anchor's position with those of the lines up to the next anchor, in the direction of ``step``."""
+    for i, h in enumerate(lines):
+        if is_anchor(h):
+            end = len(lines) if step > 0 else -1
+            yield i, takewhile(lambda x: not is_anchor(lines[x]), range(i + step, end, step))
+
+
+def _other_runs(a: list[int], b: list[int], gone: set[int]) -> set[int]:
+    """Positions in ``b`` outside ``gone`` of all runs that stand anywhere in ``a`` and hold an anchor.
+
+    Such a run is made of anchors and of short lines that follow or precede an anchor in ``a`` as in
+    ``b``; these are walked in tries, in linear time however often a line is repeated.
+    """
+    held = set(a)
+    if not any(is_anchor(h) and h in held for j, h in enumerate(b) if j not in gone):
+        return set()
+    out: set[int] = set()
+    for step in (1, -1):
+        trie: dict[tuple[int, int], int] = {}
+        for i, walk in _walks(a, step):
+            node = a[i]  # odd; the nodes below anchors are even
+            for x in walk:
+                node = trie.setdefault((node, a[x]), 2 * len(trie))
+        for j, walk in _walks(b, step):
+            if j in gone or b[j] not in held:
+                continue
+            out.add(j)
+            node = b[j]
+            for x in walk:
+                if x in gone or (node := trie.get((node, b[x]))) is None:
+                    break
+                out.add(x)
     return out
 
 
