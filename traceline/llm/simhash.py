@@ -241,20 +241,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = materialize(_groups(docs, id_col, text_col, shingle, task_rows), "simhash-groups")
     names = rows.groupBy("part").agg(F.min("id").alias("component_id"))
     return rows.join(names, "part").select("id", "fp", "component_id")
-
-
-def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
-                    task_rows: int = TASK_ROWS) -> DataFrame:
-    """One row of ``docs`` for each group, all columns: that of the least id, ids that are null last."""
-    me = F.struct(F.coalesce(F.col("id").cast("bigint"), F.lit((1 << 63) - 1)).alias("rank"), F.col("k1"), F.col("k2")).alias("me")
-    rows = materialize(_groups(docs, id_col, text_col, shingle, task_rows).select("part", me), "simhash-groups")
-    first = rows.groupBy("part").agg(F.min("me").alias("first"))
-    later = materialize(rows.join(first, "part").filter("me <> first").select(F.col("me").alias("_later")).distinct(), "simhash-later")
-    mine = F.struct(F.coalesce(docs[id_col].cast("bigint"), F.lit((1 << 63) - 1)).alias("rank"), *text_key(docs[text_col]))
-    kept = docs.join(later, mine == F.col("_later"), "left_anti")
-    # Rows equal in id and text are not told apart so far; there are none where ids are unique.
-    twice = materialize(rows.groupBy("me").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("me").alias("_twice")), "simhash-twice")
-    if twice.isEmpty():
-        return kept
-    again = kept.join(twice, mine == F.col("_twice"), "left_semi").dropDuplicates([id_col, text_col])
-    return kept.join(twice, mine == F.col("_twice"), "left_anti").unionByName(again)
