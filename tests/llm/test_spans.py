@@ -56,3 +56,13 @@ def test_long_passages_go_from_later_documents_only(spark):
     for i in (2, 3):
         left = got[i].split()
         assert left[:16] == rows[i][1].split()[:16] and len(left) < 24 + 26 and own[i] in got[i]
+
+
+def test_every_passage_of_50_words_holds_a_span():
+    rng = random.Random(10)
+    found = lambda text: {h for h, _, _ in spans(sentences(text), SPAN, MIN_WORDS)}
+    text = lambda n, kinds, ends: " ".join(f"w{rng.randrange(kinds)}" + rng.choice(ends) for _ in range(n))
+    for k in range(3000):
+        passage = text(50, rng.choice([2, 5, 5000]), rng.choice([[""], [""] * 12 + [".", "?"], [""] * 20 + ["!"]]))
+        a, b = (f"{text(rng.randrange(60), 5000, [''] * 9 + ['.'])} {passage} {text(rng.randrange(60), 5000, [''])}" for _ in "ab")
+        assert found(a) & found(b), (k, passage)

@@ -1,9 +1,11 @@
 """Operator 2: substring deduplication by sliding spans of sentences.
 
-A text is cut into sentences; a sentence of many words is cut further where the words themselves say
-so, which gives the same cuts wherever the passage stands.  A span is the shortest run of consecutive
-sentences from a given one that has at least ``SPAN`` sentences and ``MIN_WORDS`` words, and is hashed
-over its words; with sentences of at most ``MANY_WORDS`` words every passage of 50 words holds one.
+A text is cut into sentences, and these after every word whose hash is the least of ``WINDOW``
+consecutive words with it.  Whether a cut follows a word depends on the ``WINDOW - 1`` words on either
+side alone, wherever the passage stands, and no unit has more than ``WINDOW`` words.  A span is the
+shortest run of consecutive units from a given one that has at least ``SPAN`` units and ``MIN_WORDS``
+words, and is hashed over its words.  In a passage of 50 words the cuts after words 7 to 44 are its own;
+one is among words 7 to 13, and the run behind it ends by word 44, so every such passage holds a span.
 All spans are joined globally on their hashes: the first document that holds a span keeps it, and in
 every later one the sentences that it covers are removed, as are those of its further places inside
 one document.
@@ -21,7 +23,9 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -29,27 +33,49 @@ from pyspark.sql import functions as F
 
 from traceline.llm.common import materialize
 
-SPAN, MIN_WORDS, MANY_WORDS, CUT_EVERY, LONGEST = 3, 25, 12, 5, 16
+SPAN, MIN_WORDS, WINDOW = 3, 25, 7
 LAST = (1 << 63) - 1
 SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+")
-PIECE = re.compile(r"\S+\s*|\s+")
+PIECE = re.compile(r"\s*\S+\s*")
+
+
+@lru_cache(1 << 16)
+def _word_hash(piece: str) -> int:
+    return zlib.crc32(piece.strip().lower().encode())
+
+
+def _cuts(pieces: list[str]) -> np.ndarray:
+    """Whether a cut follows each word: if its hash is the least of ``WINDOW`` consecutive words with it."""
+    hashes = np.array([_word_hash(p) for p in pieces], np.uint32)
+    window = min(WINDOW, len(pieces))
+    starts = len(pieces) - window + 1
+    least = hashes[:starts].copy()
+    for k in range(1, window):
+        np.minimum(least, hashes[k:k + starts], out=least)
+    top = np.zeros(len(pieces), np.uint32)
+    for k in range(window):
+        np.maximum(top[k:k + starts], least, out=top[k:k + starts])
+    return hashes == top
 
 
 def sentences(text: str) -> list[str]:
     """Units whose concatenation is the text."""
-    out = []
-    for sentence in SENTENCE.findall(text):
-        if len(sentence) > 2 * MANY_WORDS and len(pieces := PIECE.findall(sentence)) > MANY_WORDS:
-            unit = []
-            for piece in pieces:
-                unit.append(piece)
-                if zlib.crc32(piece.strip().lower().encode()) % CUT_EVERY == 0 or len(unit) == LONGEST:
-                    out.append("".join(unit))
-                    unit = []
-            if unit:
-                out.append("".join(unit))
-        else:
+    found = [(s, PIECE.findall(s)) for s in SENTENCE.findall(text)]
+    words = [p for _, pieces in found for p in pieces]
+    if not words:
+        return [s for s, _ in found]
+    cuts, out, at = _cuts(words).tolist(), [], 0
+    for sentence, pieces in found:
+        if not pieces:
             out.append(sentence)
+            continue
+        start = 0
+        for k in range(1, len(pieces)):
+            if cuts[at + k - 1]:
+                out.append("".join(pieces[start:k]))
+                start = k
+        out.append("".join(pieces[start:]))
+        at += len(pieces)
     return out
 
 
@@ -57,6 +83,7 @@ def spans(units: list[str], span: int, min_words: int) -> list[tuple[int, int, i
     """(hash, first unit, unit behind the last); units without words belong to no span."""
     words = [(i, u.lower().split()) for i, u in enumerate(units)]
     words = [(i, " ".join(w), len(w)) for i, w in words if w]
+    joined = [w for _, w, _ in words]
     out, stop, size = [], 0, 0
     for at in range(len(words)):
         while stop < len(words) and (stop - at < span or size < min_words):
@@ -65,8 +92,7 @@ def spans(units: list[str], span: int, min_words: int) -> list[tuple[int, int, i
         if stop - at < span or size < min_words:
             break
         # the cuts between units are not hashed: only the words of the run count
-        run = words[at:stop]
-        out.append((xxhash.xxh64_intdigest(" ".join(w for _, w, _ in run).encode()) - (1 << 63), run[0][0], run[-1][0] + 1))
+        out.append((xxhash.xxh64_intdigest(" ".join(joined[at:stop]).encode()) - (1 << 63), words[at][0], words[stop - 1][0] + 1))
         size -= words[at][2]
     return out
 
