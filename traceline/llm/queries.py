@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceline.llm import chat, decontaminate, lines, packing, sharding, simhash, spans, tokencount, topk, toxicity
+from traceline.llm import chat, decontaminate, divergence, lines, packing, sharding, simhash, spans, tokencount, topk, toxicity
 from traceline.llm.common import ship, table
 
 def tokenizer_file(name: str) -> str:
@@ -96,6 +96,52 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.parse(lines_, model).select(F.col("conv").alias("conv_id"), "turn", "at", "role", "begins", "text", "rendered")
 
 
+@query
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+SQL["op13_source_divergence"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_id, COALESCE(lang, '') AS lang, COALESCE(source, '') AS source,
+         translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents
+), w AS (
+  SELECT row_id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), k AS (
+  SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT row_id) >= 3
+), v AS (
+  SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY lang
+), c AS (
+  SELECT w.lang, w.source, w.term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY ALL
+), g AS (
+  SELECT d.lang, d.source, COALESCE(any_value(t.n), 0) AS n, COALESCE(any_value(v.v), 0) AS v
+  FROM (SELECT DISTINCT lang, source FROM d) d
+  LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL) t USING (lang, source)
+  LEFT JOIN v USING (lang) GROUP BY ALL
+), p AS (
+  SELECT g.lang, g.source, k.term, COALESCE(c.n, 0) AS n,
+         1 + (1000000000 * (CAST(COALESCE(c.n, 0) AS HUGEINT) + 1)) // CAST(g.n + g.v AS HUGEINT) AS p
+  FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), q AS (
+  SELECT k.lang, k.term, 1 + (1000000000 * (CAST(k.n AS HUGEINT) + 1)) // CAST(v.total + v.v AS HUGEINT) AS q FROM k JOIN v USING (lang)
+), pair AS (
+  SELECT a.lang, a.source, b.source AS item, COALESCE(s.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value
+             FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s
+    ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), parts AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pair
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM r WHERE part = 'pair' OR rank <= 200
+"""
+
 SQL["op8_exact_top_k"] = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
