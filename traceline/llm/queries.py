@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceline.llm import chat, decontaminate, divergence, lines, packing, sharding, simhash, spans, tokencount, topk, toxicity
+from traceline.llm import chat, decontaminate, divergence, lines, packing, sharding, simhash, spans, tokencount, topk, toxicity, whitening
 from traceline.llm.common import ship, table
 
 def tokenizer_file(name: str) -> str:
@@ -101,6 +101,11 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 SQL["op13_source_divergence"] = r"""
 WITH d AS (
   SELECT row_number() OVER () AS row_id, COALESCE(lang, '') AS lang, COALESCE(source, '') AS source,
