@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceline.llm import chat, decontaminate, divergence, lines, packing, sharding, simhash, spans, tokencount, topk, toxicity, whitening
+from traceline.llm import chat, decontaminate, divergence, lines, ngramjoin, packing, sharding, simhash, spans, tokencount, topk, toxicity, whitening
 from traceline.llm.common import ship, table
 
 def tokenizer_file(name: str) -> str:
@@ -101,11 +101,45 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.components(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 @query
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
+SQL["op11_ngram_jaccard_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+           translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+           ELSE list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) END) AS grams
+  FROM w
+), n AS (
+  SELECT doc_id, CAST(len(grams) AS BIGINT) AS n FROM s
+), g AS (
+  SELECT doc_id, unnest(grams) AS gram FROM s
+), o AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
+  FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (
+  SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)
+), e AS (
+  SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r AS (
+  SELECT doc_id AS a, doc_id AS b FROM n
+  UNION
+  SELECT r.a, e.b FROM r JOIN e ON e.a = r.b
+)
+SELECT n.doc_id, n.n AS n_shingles, c.component_id
+FROM n JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) c USING (doc_id)
+"""
+
 SQL["op13_source_divergence"] = r"""
 WITH d AS (
   SELECT row_number() OVER () AS row_id, COALESCE(lang, '') AS lang, COALESCE(source, '') AS source,
