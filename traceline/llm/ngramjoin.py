@@ -2,19 +2,22 @@
 
 A text's set has the hashes of its distinct ``size``-word shingles.  The global order of n-grams is that
 of their hashes, and it is cut into ``FRAGMENTS`` equal ranges, so every set falls into as many segments.
-For a pair of sets the overlap is counted fragment by fragment and summed: equal segments are known by a
-name and counted without their n-grams, the others are fetched, segment against segment, and their
-partial counts are added per pair.  A pair that the sizes of its segments rule out is dropped before.
-
-Candidates come from the low end of the order: of two sets with enough in common, the first
-``n - overlap + k`` n-grams of each share ``k`` (``k`` grows with ``n``).  Those that no other set has
-among its first ones are dropped, sets that keep less than ``k`` leave, and of the rest only the rarest
-ones that still must hold a common n-gram are used as keys.  Keys can be shared by large groups of near
-copies, so the holders of a key are not all paired: they are first compared with one holder each, in
-``ROUNDS`` rounds, and grouped; then members outside a key's largest group are paired with members of
-other groups.  Links are lost by none of this; components are those of all links.
-
-Documents with equal sets (a 128-bit digest and the size) are one set throughout.
+For a pair of sets the overlap is counted in each fragment by itself, segment against segment, and summed.
+
+1. Of two sets with enough in common, the first ``n - overlap + k`` n-grams of each share ``k`` (``k``
+   grows with ``n``).  Sets that share less with all others leave; only the rest is read whole.
+2. N-grams that one set alone has count for its size only; sets with less than ``percent`` of others leave.
+   The rarest n-grams, as many as must include a common one, are the keys by which sets meet.
+3. A key may have very many holders (near copies of one text), so they are not all paired.  Each is
+   compared with one holder, the one with the fewest n-grams of its own, and gets a vector of its
+   differences in each fragment.
+4. For two holders, the sum over the fragments of how much these differences differ is at most the
+   difference of the two sets (triangle inequality in each fragment).  Pairs in different components that
+   this bound allows are counted exactly, fragment by fragment.  Holders are laid against each other in
+   blocks of ``BLOCK`` rows, those of a group's largest component only against others.
+
+Links are lost by none of this; components are those of all links.  Documents with equal sets (a 128-bit
+digest and the size) are one set throughout.
 
 Defined cases: null, empty or white texts have an empty set, size 0 and no links; fewer words than
 ``size`` are one shingle; only ASCII letters are folded; repeated rows stay rows; a null id takes part,
@@ -26,6 +29,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -34,9 +38,8 @@ from pyspark.sql import functions as F
 from traceline.llm.common import materialize, text_key
 from traceline.operators.graph import weakly_connected
 
-SIZE, PERCENT = 4, 85
-FRAGMENTS, ROUNDS, AT_ONCE = 32, 2, 1 << 16
-SEED = 42
+SIZE, PERCENT, SEED = 4, 85, 42
+FRAGMENTS, BLOCK, AT_ONCE = 32, 2048, 1 << 16
 
 
 # -- sets -------------------------------------------------------------------------------------------
@@ -58,18 +61,14 @@ def shingle_set(text: bytes | None, size: int = SIZE) -> np.ndarray:
     return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
 
 
-def shared_first(n: int, percent: int) -> int:
-    """The ``k`` of a set with ``n`` n-grams."""
-    return 1 + n // 25
-
-
 def first_ones(n: int, percent: int) -> int:
-    return min(n, n - -(-percent * n // 100) + shared_first(n, percent))
+    """How many of the first n-grams of a set of ``n`` are looked at."""
+    return min(n, n - -(-percent * n // 100) + 1 + n // 10)
 
 
 def _needed(n: Column, percent: int) -> Column:
     """What a set and any partner share of their first ones, at least: the ``k`` of the smallest partner."""
-    return 1 + F.floor(F.ceil(n * percent / 100) / 25)
+    return 1 + F.floor(F.ceil(n * percent / 100) / 10)
 
 
 def _summaries(size: int, percent: int):
@@ -92,117 +91,132 @@ def _summaries(size: int, percent: int):
     return run
 
 
-def _segments(size: int, fragments: int):
-    """(t, n, sizes, names, segments): each set cut at the borders of the fragments."""
-    borders = np.array([(1 << 64) * k // fragments for k in range(1, fragments)], np.uint64)
-
+def _grams(size: int):
+    """(t, grams): whole sets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets, cuts, names = [], [], []
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                s = shingle_set(text, size)
-                at = [0, *np.searchsorted(s, borders).tolist(), len(s)]
-                sets.append(s.view(np.int64))
-                cuts.append(at)
-                names.append([xxhash.xxh64_intdigest(s[a:b].tobytes()) for a, b in zip(at, at[1:])])
-            if not sets:
-                continue
-            cuts, n = np.array(cuts), [len(s) for s in sets]
-            base = np.concatenate(([0], np.cumsum(n)[:-1]))[:, None]
-            inner = pa.ListArray.from_arrays(
-                pa.array(np.append((cuts[:, :-1] + base).ravel(), sum(n)).astype(np.int32)), pa.array(np.concatenate(sets)))
-            each = pa.array((np.arange(len(sets) + 1) * fragments).astype(np.int32))
-            flat = lambda x: pa.ListArray.from_arrays(each, pa.array(x.ravel()))
+            sets = [shingle_set(x, size).view(np.int64) for x in batch.column("text").cast(pa.binary()).to_pylist()]
+            offsets = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
+            values = np.concatenate(sets) if sets else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("t"), pa.array(n, pa.int32()), flat(np.diff(cuts).astype(np.int32)),
-                 flat(np.array(names, np.uint64).view(np.int64)), pa.ListArray.from_arrays(each, inner)],
-                names=["t", "n", "sizes", "names", "segments"])
+                [batch.column("t"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["t", "grams"])
 
     return run
 
 
+def _often(held: DataFrame) -> DataFrame:
+    """(h, df): n-grams of more than one of ``held(t, h)``; written, so that a join with them can split hot ones."""
+    return materialize(held.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "ngram-often")
+
+
+def _may_link(reps: DataFrame, percent: int) -> DataFrame:
+    """(t): sets that share enough of their first n-grams with others."""
+    held = materialize(reps.select("t", "n", F.explode("first").alias("h")), "ngram-first")
+    return held.join(_often(held), "h").groupBy("t", "n").agg(F.count(F.lit(1)).alias("common")) \
+        .filter(F.col("common") >= _needed(F.col("n"), percent)).select("t")
+
+
+def shared_sets(whole: DataFrame, percent: int, fragments: int) -> DataFrame:
+    """(t, n, c, grams, sizes): of ``whole(t, grams)`` the n-grams that others have, rarest first, and the sizes of their segments."""
+    held = materialize(whole.select("t", F.size("grams").alias("n"), F.explode("grams").alias("h")), "ngram-whole")
+    sets = held.join(_often(held), "h").groupBy("t", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("found")) \
+        .filter(100 * F.size("found") >= percent * F.col("n")).select("t", "n", F.size("found").alias("c"), F.col("found.h").alias("grams"))
+    inside = F.transform("grams", lambda h: _fragment(h, fragments))
+    sizes = F.transform(F.sequence(F.lit(0), F.lit(fragments - 1)), lambda k: F.size(F.filter(inside, lambda x: x == k)))
+    return materialize(sets.withColumn("sizes", sizes), "ngram-sets")
+
+
+def _fragment(h: Column, fragments: int) -> Column:
+    """The range of the global order in which a hash lies."""
+    return F.floor(F.shiftrightunsigned(h, 32) * fragments / (1 << 32)).cast("int")
+
+
 # -- links --------------------------------------------------------------------------------------------
 
-def _sizes_allow(a: Column, b: Column, percent: int) -> Column:
-    return (100 * a >= percent * b) & (100 * b >= percent * a)
-
-
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(src, dst): the pairs (a, b) whose overlap, summed over the fragments, is large enough."""
-    side = lambda x: sets.select(F.col("t").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "sizes", "names")])
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    total = F.col("n_a") + F.col("n_b")
-    known = F.aggregate(F.zip_with("sizes_a", F.zip_with("names_a", "names_b", lambda x, y: x == y), lambda n, same: F.when(same, n).otherwise(0)),
-                        F.lit(0), lambda x, y: x + y)
-    most = F.aggregate(F.zip_with("sizes_a", "sizes_b", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
-    other = F.filter(F.transform(F.zip_with("names_a", "names_b", lambda x, y: x != y), lambda other, k: F.when(other, k).otherwise(-1)),
-                     lambda k: k >= 0)
-    enough = lambda x: (100 + percent) * x.cast("bigint") >= percent * total.cast("bigint")
-    tried = materialize(both.filter(enough(most)).select(
-        "a", "b", total.alias("total"), known.alias("known"), F.when(enough(known), F.array().cast("array<int>")).otherwise(other).alias("open")), "ngram-tried")
-    sure = tried.filter(F.size("open") == 0).filter((100 + percent) * F.col("known").cast("bigint") >= percent * F.col("total").cast("bigint"))
-    segments = sets.select("t", F.posexplode("segments").alias("k", "grams"))
+def partial_overlaps(pairs: DataFrame, sets: DataFrame, fragments: int) -> DataFrame:
+    """(a, b, parts): for each of ``pairs(a, b)`` how many n-grams are common in each fragment."""
+    segments = sets.select("t", F.explode("grams").alias("h")).groupBy("t", _fragment(F.col("h"), fragments).alias("k")) \
+        .agg(F.collect_list("h").alias("grams"))
+    segments = materialize(segments, "ngram-segments")
     end = lambda x: segments.select(F.col("t").alias(x), "k", F.col("grams").alias(f"grams_{x}"))
-    counted = tried.select("a", "b", "total", "known", F.explode("open").alias("k")) \
-        .join(end("b"), ["b", "k"]).join(end("a"), ["a", "k"]) \
-        .select("a", "b", "total", "known", F.size(F.array_intersect("grams_a", "grams_b")).alias("common")) \
-        .groupBy("a", "b", "total", "known").agg(F.sum("common").alias("common")) \
-        .filter((100 + percent) * (F.col("known") + F.col("common")) >= percent * F.col("total").cast("bigint"))
-    return sure.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(
-        counted.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    counted = pairs.join(end("b"), "b").join(end("a"), ["a", "k"]).select(
+        "a", "b", "k", F.size(F.array_intersect("grams_a", "grams_b")).alias("common")).filter("common > 0")
+    found = counted.groupBy("a", "b").agg(F.map_from_entries(F.collect_list(F.struct("k", "common"))).alias("m"))
+    none = F.coalesce(F.col("m"), F.create_map().cast("map<int,int>"))
+    parts = F.transform(F.sequence(F.lit(0), F.lit(fragments - 1)), lambda k: F.coalesce(F.element_at(none, k), F.lit(0)))
+    return pairs.join(found, ["a", "b"], "left").select("a", "b", parts.alias("parts"))
 
 
-def _keys(reps: DataFrame, percent: int) -> DataFrame:
-    """(h, t, n): the n-grams by which sets with enough in common meet."""
-    held = materialize(reps.select("t", "n", F.explode("first").alias("h")), "ngram-first")
-    often = materialize(held.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "ngram-often")
-    need = _needed(F.col("n"), percent)
-    kept = held.join(often, "h").groupBy("t", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("found")) \
-        .filter(F.size("found") >= need)
-    return kept.select("t", "n", F.explode(F.slice(F.col("found.h"), F.lit(1), (F.size("found") - need + 1).cast("int"))).alias("h"))
-
-
-def _star(members: DataFrame, turn: int, percent: int) -> DataFrame:
-    """(a, b): each holder of a key with one of them, unless they are in one group."""
-    me = F.struct(F.xxhash64(F.lit(turn), F.col("t")).alias("o"), F.col("t"), F.col("n"), F.col("part"))
-    first = materialize(members.groupBy("h").agg(F.min(me).alias("one"), F.min("part").alias("p"), F.max("part").alias("q"))
-                        .filter("p <> q").select("h", "one"), "ngram-pivots")
-    return members.join(first, "h").filter((F.col("part") != F.col("one.part")) & _sizes_allow(F.col("n"), F.col("one.n"), percent)) \
-        .select(F.least("t", "one.t").alias("a"), F.greatest("t", "one.t").alias("b")).distinct()
-
-
-def _rest(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b): all pairs of a key's holders in different groups; members of its largest group only with others."""
-    sizes = members.groupBy("h", "part").agg(F.count(F.lit(1)).alias("n"))
-    mixed = materialize(sizes.groupBy("h").agg(F.count(F.lit(1)).alias("parts"), F.max_by("part", F.struct("n", "part")).alias("largest"))
-                        .filter("parts > 1").select("h", "largest"), "ngram-mixed")
-    held = materialize(members.join(mixed, "h"), "ngram-held")
-    few = held.filter("part <> largest").select("h", F.col("t").alias("x"), F.col("n").alias("nx"), F.col("part").alias("px"))
-    return few.join(held, "h").filter((F.col("px") != F.col("part")) & _sizes_allow(F.col("nx"), F.col("n"), percent)) \
-        .select(F.least("x", "t").alias("a"), F.greatest("x", "t").alias("b")).distinct()
-
-
-def similar_sets(keys: DataFrame, sets: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
-    """(t, component): sets with links, and the least set of their component."""
-    keys, links, tried, parts = materialize(keys, "ngram-keys"), None, None, None
-    for turn in range(rounds + 1):
-        members = keys.withColumn("part", F.col("t")) if parts is None else \
-            keys.join(parts, "t", "left").select("h", "t", "n", F.coalesce("component", "t").alias("part"))
-        members = materialize(members, "ngram-members")
-        pairs = _rest(members, percent) if turn == rounds else _star(members, turn, percent)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "ngram-pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = materialize(linked(pairs, sets, percent), "ngram-links")
-        links = found if links is None else links.unionByName(found)
-        if turn == 0 or not found.isEmpty():
-            parts = materialize(weakly_connected(links).select(F.col("node").alias("t"), "component"), "ngram-parts")
-    return parts
+def _total(parts: str) -> Column:
+    return F.aggregate(parts, F.lit(0), lambda x, y: x + y)
+
+
+def _linked(overlap: Column, n_a: Column, n_b: Column, percent: int) -> Column:
+    return (100 + percent) * overlap.cast("bigint") >= percent * (n_a.cast("bigint") + n_b)
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int, fragments: int) -> DataFrame:
+    """(a, b, n, c, away, link): b's size, its difference from a in each fragment, and whether they are linked."""
+    side = lambda x: sets.select(F.col("t").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "c", "sizes")])
+    both = partial_overlaps(pairs, sets, fragments).join(side("b"), "b").join(side("a"), "a")
+    away = F.zip_with(F.zip_with("sizes_a", "sizes_b", lambda x, y: x + y), "parts", lambda x, y: x - 2 * y)
+    return both.select("a", "b", F.col("n_b").alias("n"), F.col("c_b").alias("c"), away.alias("away"),
+                       _linked(_total("parts"), F.col("n_a"), F.col("n_b"), percent).alias("link"))
+
+
+def _allowed(percent: int):
+    """Pairs (x of the left side, y of the right side) of one block that may be linked, in different groups."""
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})]
+        if len(left) and len(right):
+            away = np.stack(right["away"].to_numpy()).astype(np.int32)
+            names, n, c, part = (right[x].to_numpy() for x in ("b", "n", "c", "part"))
+            for x in left.itertuples(index=False):
+                least = np.abs(away - np.asarray(x.away, np.int32)).sum(axis=1)
+                most = np.minimum((c + x.c - least) // 2, np.minimum(c, x.c))
+                y = names[((100 + percent) * most >= percent * (n.astype(np.int64) + x.n)) & (part != x.part)]
+                out.append(pd.DataFrame({"a": np.minimum(y, x.b), "b": np.maximum(y, x.b)}))
+        return pd.concat(out)
+
+    return run
+
+
+def _open_pairs(compared: DataFrame, parts: DataFrame, percent: int, block: int) -> DataFrame:
+    """(a, b): pairs of holders that met the same holder, are in different groups and may be linked."""
+    rows = compared.select("a", "b", "n", "c", "away").join(parts.select(F.col("t").alias("b"), F.col("component").alias("part")), "b", "left") \
+        .withColumn("part", F.coalesce("part", "b"))
+    rows = materialize(rows, "ngram-around")
+    groups = rows.groupBy("a", "part").agg(F.count(F.lit(1)).alias("m")).groupBy("a").agg(
+        F.count(F.lit(1)).alias("parts"), F.sum("m").alias("m"), F.max_by("part", F.struct("m", "part")).alias("largest"))
+    blocks = F.ceil(F.col("m") / block).cast("int")
+    groups = materialize(groups.filter("parts > 1").select("a", "largest", blocks.alias("blocks")), "ngram-mixed")
+    rows = materialize(rows.join(groups, "a").withColumn("at", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")), "ngram-around")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    few = rows.filter("part <> largest").select("a", F.col("at").alias("i"), every.alias("j"), "b", "n", "c", "away", "part")
+    all_ = rows.select("a", F.col("at").alias("j"), every.alias("i"), "b", "n", "c", "away", "part")
+    return few.groupBy("a", "i", "j").cogroup(all_.groupBy("a", "i", "j")).applyInPandas(_allowed(percent), "a bigint, b bigint").distinct()
+
+
+def similar_sets(sets: DataFrame, percent: int = PERCENT, fragments: int = FRAGMENTS, block: int = BLOCK) -> DataFrame:
+    """(t, component): of ``shared_sets`` those with links, and the least set of their component."""
+    used = (F.col("c") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
+    keys = materialize(sets.select("t", (F.col("n") - F.col("c")).alias("own"), F.explode(F.slice("grams", F.lit(1), used)).alias("h")), "ngram-keys")
+    first = materialize(keys.groupBy("h").agg(F.min(F.struct("own", "t"))["t"].alias("a"), F.count(F.lit(1)).alias("m"))
+                        .filter("m > 1").select("h", "a"), "ngram-firsts")
+    pairs = materialize(keys.join(first, "h").filter("a <> t").select("a", F.col("t").alias("b")).distinct(), "ngram-pairs")
+    compared = materialize(_compared(pairs, sets, percent, fragments), "ngram-compared")
+    links = compared.filter("link").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    groups = lambda links: materialize(weakly_connected(links).select(F.col("node").alias("t"), "component"), "ngram-parts")
+    parts = groups(links)
+    rest = materialize(_open_pairs(compared, parts, percent, block), "ngram-open")
+    if rest.isEmpty():
+        return parts
+    more = _compared(rest, sets, percent, fragments).filter("link").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    return groups(links.unionByName(materialize(more, "ngram-links")))
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT,
-               fragments: int = FRAGMENTS, rounds: int = ROUNDS) -> DataFrame:
+               fragments: int = FRAGMENTS, block: int = BLOCK) -> DataFrame:
     """(id, n_shingles, component_id) for every row of ``docs``."""
     text = F.col(text_col)
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -211,14 +225,12 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "ngram-rows")
     names = materialize(rows.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("row").alias("t")), "ngram-sets")
     reps = rows.join(names.select(F.col("t").alias("row")), "row", "left_semi").withColumnRenamed("row", "t")
-    keys = materialize(_keys(reps.select("t", "n", "first"), percent), "ngram-keys")
-
-    wanted = rows.select(F.col("row").alias("t"), "k1", "k2").join(keys.select("t").distinct(), "t", "left_semi")
-    wanted = materialize(wanted, "ngram-wanted")
+    some = materialize(_may_link(reps.select("t", "n", "first"), percent), "ngram-some")
+    wanted = materialize(rows.select(F.col("row").alias("t"), "k1", "k2").join(some, "t", "left_semi"), "ngram-wanted")
     texts = named.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).groupBy("t").agg(F.first("text").alias("text"))
-    sets = materialize(texts.mapInArrow(_segments(size, fragments), "t bigint, n int, sizes array<int>, names array<bigint>, segments array<array<bigint>>"), "ngram-segments")
+    whole = texts.mapInArrow(_grams(size), "t bigint, grams array<bigint>")
 
-    parts = similar_sets(keys, sets, percent, rounds)
+    parts = similar_sets(shared_sets(whole, percent, fragments), percent, fragments, block)
     grouped = materialize(names.join(parts, "t", "left").select("n", "s1", "s2", F.coalesce("component", "t").alias("part")), "ngram-grouped")
     placed = materialize(rows.select("id", "n", "s1", "s2").join(grouped, ["n", "s1", "s2"], "left"), "ngram-placed")
     least = materialize(placed.filter("part is not null").groupBy("part").agg(F.min("id").alias("component_id")), "ngram-names")
