@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from traceline.llm.ngramjoin import components, first_ones, shingle_set
+from traceline.llm.ngramjoin import _probably_in, components, first_ones, shingle_set
 
 SCHEMA = "doc_id bigint, text string, id string, n int, t string, part int, h string"
 
@@ -120,3 +120,10 @@ def test_first_ones_hold_a_common_gram():
 def test_shingle_set():
     assert len(shingle_set(b"a b c d e")) == 2 and len(shingle_set(b"a b")) == 1 and len(shingle_set(None)) == 0
     assert shingle_set(b"A\tb").tolist() == shingle_set(b"a b").tolist()
+
+
+def test_bitmap_filter_keeps_every_key(spark):
+    rows = spark.range(5000).withColumnRenamed("id", "k1")
+    keys = rows.filter("k1 % 7 = 0")
+    left = {r.k1 for r in _probably_in(rows, keys, "k1").collect()}
+    assert left >= set(range(0, 5000, 7)) and len(left) < 730

@@ -40,6 +40,7 @@ from traceline.operators.graph import weakly_connected
 
 SIZE, PERCENT, SEED = 4, 85, 42
 FRAGMENTS, BLOCK, AT_ONCE = 32, 2048, 1 << 16
+BITMAPS = 1024  # of 4 KB each: what is broadcast to filter texts never exceeds 4 MB
 
 
 # -- sets -------------------------------------------------------------------------------------------
@@ -119,25 +120,56 @@ def _may_link(reps: DataFrame, percent: int) -> DataFrame:
 def shared_sets(whole: DataFrame, percent: int, fragments: int) -> DataFrame:
     """(t, n, c, grams, sizes): of ``whole(t, grams)`` the n-grams that others have, rarest first, and the sizes of their segments."""
     held = materialize(whole.select("t", F.size("grams").alias("n"), F.explode("grams").alias("h")), "ngram-whole")
-    sets = held.join(_often(held), "h").groupBy("t", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("found")) \
+    df = F.col("df").cast("int").alias("df")
+    sets = held.join(_often(held), "h").groupBy("t", "n").agg(F.array_sort(F.collect_list(F.struct(df, "h"))).alias("found")) \
         .filter(100 * F.size("found") >= percent * F.col("n")).select("t", "n", F.size("found").alias("c"), F.col("found.h").alias("grams"))
-    inside = F.transform("grams", lambda h: _fragment(h, fragments))
-    sizes = F.transform(F.sequence(F.lit(0), F.lit(fragments - 1)), lambda k: F.size(F.filter(inside, lambda x: x == k)))
-    return materialize(sets.withColumn("sizes", sizes), "ngram-sets")
+    cut = sets.mapInArrow(_segments(fragments), "t bigint, n int, c int, grams array<bigint>, sizes array<int>, segments array<array<bigint>>")
+    return materialize(cut, "ngram-sets")
 
 
-def _fragment(h: Column, fragments: int) -> Column:
-    """The range of the global order in which a hash lies."""
-    return F.floor(F.shiftrightunsigned(h, 32) * fragments / (1 << 32)).cast("int")
+def _segments(fragments: int):
+    """Adds (sizes, segments): a set cut at the borders of equal ranges of the global order."""
+    borders = np.array([(1 << 64) * k // fragments for k in range(1, fragments)], np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            grams = batch.column("grams")
+            ends = np.cumsum(grams.value_lengths().to_numpy())
+            sets = [np.sort(x.view(np.uint64)) for x in np.split(grams.flatten().to_numpy(), ends[:-1])]
+            cuts = np.array([[0, *np.searchsorted(x, borders), len(x)] for x in sets])
+            starts = (cuts[:, :-1] + np.concatenate(([0], ends[:-1]))[:, None]).ravel()
+            inner = pa.ListArray.from_arrays(pa.array(np.append(starts, ends[-1]).astype(np.int32)), pa.array(np.concatenate(sets).view(np.int64)))
+            each = pa.array((np.arange(len(sets) + 1) * fragments).astype(np.int32))
+            sizes = pa.ListArray.from_arrays(each, pa.array(np.diff(cuts).astype(np.int32).ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, sizes, pa.ListArray.from_arrays(each, inner)],
+                                             names=[*batch.schema.names, "sizes", "segments"])
+
+    return run
+
+
+def _probably_in(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """``rows`` without most of those whose ``name`` is not among the ``keys``; never without one that is.
+
+    A bitmap of fixed size, so that it can be broadcast however many keys there are; with very many keys
+    it lets all rows pass, which the join behind it then drops.
+    """
+    bits = BITMAPS * (1 << 15)
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1
+    maps = keys.select(place(F.col(name)).alias("_at")).groupBy(F.bitmap_bucket_number("_at").alias("_map")) \
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bits"))
+    at = F.bitmap_bit_position("_at")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.withColumn("_at", place(F.col(name))).withColumn("_map", F.bitmap_bucket_number("_at")) \
+        .join(F.broadcast(maps), "_map").filter(F.getbit(byte, (at % 8).cast("int")) == 1).drop("_at", "_map", "_bits")
 
 
 # -- links --------------------------------------------------------------------------------------------
 
 def partial_overlaps(pairs: DataFrame, sets: DataFrame, fragments: int) -> DataFrame:
     """(a, b, parts): for each of ``pairs(a, b)`` how many n-grams are common in each fragment."""
-    segments = sets.select("t", F.explode("grams").alias("h")).groupBy("t", _fragment(F.col("h"), fragments).alias("k")) \
-        .agg(F.collect_list("h").alias("grams"))
-    segments = materialize(segments, "ngram-segments")
+    segments = sets.select("t", F.posexplode("segments").alias("k", "grams")).filter(F.size("grams") > 0)
     end = lambda x: segments.select(F.col("t").alias(x), "k", F.col("grams").alias(f"grams_{x}"))
     counted = pairs.join(end("b"), "b").join(end("a"), ["a", "k"]).select(
         "a", "b", "k", F.size(F.array_intersect("grams_a", "grams_b")).alias("common")).filter("common > 0")
@@ -227,7 +259,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     reps = rows.join(names.select(F.col("t").alias("row")), "row", "left_semi").withColumnRenamed("row", "t")
     some = materialize(_may_link(reps.select("t", "n", "first"), percent), "ngram-some")
     wanted = materialize(rows.select(F.col("row").alias("t"), "k1", "k2").join(some, "t", "left_semi"), "ngram-wanted")
-    texts = named.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).groupBy("t").agg(F.first("text").alias("text"))
+    texts = _probably_in(named.select("k1", "k2", "text"), wanted, "k1").join(wanted, ["k1", "k2"]).groupBy("t").agg(F.first("text").alias("text"))
     whole = texts.mapInArrow(_grams(size), "t bigint, grams array<bigint>")
 
     parts = similar_sets(shared_sets(whole, percent, fragments), percent, fragments, block)
