@@ -96,6 +96,45 @@ def test_acyclic_graphs_have_no_cycle_and_a_back_edge_makes_one(spark):
     assert not gr.cycles(df.union(spark.createDataFrame([(b, a)], df.schema))).isEmpty()
 
 
+def strong(edges):
+    nodes = {n for e in edges for n in e}
+    reach = {n: {b for a, b in edges if a == n} for n in nodes}
+    for k in nodes:
+        for n in nodes:
+            if k in reach[n]:
+                reach[n] |= reach[k]
+    return {n: min([m for m in nodes if m in reach[n] and n in reach[m]]) for n in nodes if n in reach[n]}
+
+
+@pytest.mark.parametrize("seed,nodes,n", [(1, 12, 14), (3, 25, 27), (4, 40, 120)])
+def test_strong_components_of_random_graphs(spark, seed, nodes, n):
+    rng = random.Random(seed)
+    edges = {(f"n{rng.randrange(nodes):02d}", f"n{rng.randrange(nodes):02d}") for _ in range(n)}
+    got = gr.strong_components(spark.createDataFrame(sorted(edges), "src string, dst string")).collect()
+    assert len(got) == len({r.node for r in got}) and {r.node: r.component for r in got} == strong(edges)
+
+
+def test_strong_components_of_chains_loops_and_tails(spark):
+    ring = [(f"r{i:03d}", f"r{(i + 1) % 200:03d}") for i in range(200)]
+    chain = [(f"t{i:02d}", f"t{i + 1:02d}") for i in range(50)]
+    edges = [*ring, *chain, ("t50", "r007"), ("r100", "r020"), ("s", "s"), ("s", "t00"), ("r003", "r003"),
+             ("x", "a"), ("a", "b"), ("b", "x"), ("x", "p"), ("p", "q"), ("q", "x"), ("u", "x"), ("q", "z")]
+    got = {r.node: r.component for r in gr.strong_components(spark.createDataFrame(edges, "src string, dst string")).collect()}
+    assert got == strong(set(edges))
+
+
+def test_a_long_ring_takes_few_rounds(spark, monkeypatch):
+    n, written = 100_000, []
+    plain = gr.materialize
+    monkeypatch.setattr(gr, "materialize", lambda df, label="step": written.append(label) or plain(df, label))
+    order = spark.range(n).select(F.col("id"), F.format_string("n%06d", (F.col("id") * 7919) % n).alias("src"),
+                                  F.format_string("n%06d", ((F.col("id") + 1) % n * 7919) % n).alias("dst"))
+    path, = (r.path for r in gr.cycles(order.select("src", "dst")).collect())
+    assert len(written) < 90
+    at = [int(x[1:]) for x in path]
+    assert len(at) == n and at[0] == 0 and all((b - a) % n == 7919 for a, b in zip(at, at[1:]))
+
+
 def test_weakly_connected(spark):
     rng = random.Random(9)
     edges = [(f"n{rng.randrange(60):02d}", f"n{rng.randrange(60):02d}") for _ in range(45)]

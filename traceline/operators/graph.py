@@ -251,22 +251,120 @@ def task_positions(components: DataFrame) -> DataFrame:
 
 # -- cycles -----------------------------------------------------------------------------------
 
-def cyclic_core(edges: DataFrame) -> DataFrame:
-    """Edges left after repeatedly dropping nodes without an incoming or an outgoing edge."""
-    core = materialize(edges.select("src", "dst").distinct(), "core")
-    size = core.count()
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, component): every node on a cycle of ``edges(src, dst)`` and the least node of its component.
+
+    Nodes without an edge in or out are dropped, and chains (one edge in, one out) are replaced by one
+    edge, in turns, so trees, tails and long cycles vanish in a logarithmic number of rounds.  On what is
+    left, every node takes the least node that reaches it as its colour; where a node keeps its own, those
+    of its colour that reach it back are its component.  Components found leave, and the rest starts over.
+    """
+    links = materialize(edges.select("src", "dst").distinct(), "scc")
+    loops = [links.filter("src = dst").select(F.col("src").alias("node"))]
+    links, chains, found = links.filter("src <> dst"), [], []
+    while True:
+        links = _without_tails_and_chains(links, loops, chains, found)
+        if links.isEmpty():
+            break
+        part = _rooted_components(links)
+        several = part.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component")
+        found.append(materialize(part.join(several, "component").select("node", "component"), "scc-found"))
+        gone = part.select("node")  # a root that nothing reaches back is on no cycle and leaves, too
+        links = materialize(links.join(gone.withColumnRenamed("node", "src"), "src", "left_anti")
+                            .join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"), "scc")
+    named = loops[0].limit(0).withColumn("component", F.col("node"))
+    for part in found:
+        named = named.unionByName(part)
+    named = materialize(named, "scc-named")
+    for chain in reversed(chains):  # a chain is on a cycle if its two ends are, or are one node
+        start, end = (named.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}")) for x in ("u", "w"))
+        inside = chain.join(start, "u", "left").join(end, "w", "left").filter("u = w or c_u = c_w") \
+            .select("node", F.coalesce("c_u", "u").alias("component"))
+        named = materialize(named.unionByName(inside), "scc-named")
+    alone = loops[0]
+    for more in loops[1:]:
+        alone = alone.unionByName(more)
+    alone = alone.distinct().join(named.select("node"), "node", "left_anti")
+    named = materialize(named.unionByName(alone.withColumn("component", F.col("node"))), "scc-named")
+    least = materialize(named.groupBy("component").agg(F.min("node").alias("least")), "scc-least")
+    return named.join(least, "component").select("node", F.col("least").alias("component"))
+
+
+def _without_tails_and_chains(links: DataFrame, loops: list[DataFrame], chains: list[DataFrame], found: list[DataFrame]) -> DataFrame:
+    """The edges left when no node lacks an edge in or out and none has just one of both.
+
+    Adds to ``loops`` (node) the ends of chains that return to their start, to ``chains`` (node, u, w) the
+    nodes replaced and the ends of their chain, to ``found`` (node, component) cycles that are chains as a whole.
+    """
+    size = links.count()
     while size:
-        srcs = core.select(F.col("src").alias("n")).distinct()
-        dsts = core.select(F.col("dst").alias("n")).distinct()
-        live = srcs.join(dsts, "n", "left_semi")
-        smaller = core.join(live.withColumnRenamed("n", "src"), "src", "left_semi") \
-            .join(live.withColumnRenamed("n", "dst"), "dst", "left_semi")
-        core = materialize(smaller, "core")
-        left = core.count()
-        if left == size:
+        into = links.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n_in"), F.min("src").alias("before"))
+        out = links.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n_out"), F.min("dst").alias("after"))
+        nodes = materialize(into.join(out, "node"), "scc-nodes")
+        live = nodes.select("node")
+        kept = materialize(links.join(live.withColumnRenamed("node", "src"), "src", "left_semi")
+                           .join(live.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"), "scc")
+        left = kept.count()
+        if left == size:  # the degrees hold
+            inner = materialize(nodes.filter("n_in = 1 and n_out = 1").select("node", "before", "after"), "scc-inner")
+            n = inner.count()
+            if not n:
+                break
+            ahead = _jump(inner.select("node", F.col("after").alias("to")), n)
+            behind = _jump(inner.select("node", F.col("before").alias("to")), n)
+            found.append(ahead.filter("open").select("node", F.col("low").alias("component")))
+            ends = materialize(ahead.filter("not open").select("node", F.col("to").alias("w"))
+                               .join(behind.filter("not open").select("node", F.col("to").alias("u")), "node"), "scc-ends")
+            chains.append(ends)
+            across = ends.select("u", "w").distinct()
+            loops.append(across.filter("u = w").select(F.col("u").alias("node")))
+            name = inner.select("node")
+            direct = kept.join(name.withColumnRenamed("node", "src"), "src", "left_anti") \
+                .join(name.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
+            kept = materialize(direct.union(across.filter("u <> w")).distinct(), "scc")
+            left = kept.count()
+        links, size = kept, left
+    return links
+
+
+def _jump(pointers: DataFrame, n: int) -> DataFrame:
+    """(node, to, low, open): pointers doubled until they leave the ``n`` nodes; ``open`` where they never do.
+
+    ``low`` is the least node passed, for an open pointer the least of its cycle.
+    """
+    now = pointers.withColumn("low", F.col("node")).withColumn("open", F.lit(True))
+    for _ in range(n.bit_length() + 1):
+        ahead = now.select(F.col("node").alias("to"), F.col("to").alias("next"), F.col("low").alias("low_next"))
+        now = materialize(now.join(ahead, "to", "left").select(
+            "node", F.coalesce("next", "to").alias("to"), F.least("low", "low_next").alias("low"), F.col("next").isNotNull().alias("open")), "jump")
+        if now.filter("open").isEmpty():
+            break
+    return now
+
+
+def _rooted_components(links: DataFrame) -> DataFrame:
+    """(node, component): the strong components whose least node is reached by no lesser node."""
+    nodes = links.select(F.col("src").alias("node")).union(links.select("dst")).distinct()
+    colours = materialize(nodes.withColumn("colour", F.col("node")), "scc-colours")
+    fresh = colours
+    while not fresh.isEmpty():
+        sent = links.join(fresh.select(F.col("node").alias("src"), "colour"), "src") \
+            .groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("sent"))
+        better = materialize(sent.join(colours, "node").filter("sent < colour").select("node", F.col("sent").alias("colour")), "scc-better")
+        if better.isEmpty():
             break
-        size = left
-    return core
+        colours = materialize(colours.join(better.withColumnRenamed("colour", "lower"), "node", "left")
+                              .select("node", F.coalesce("lower", "colour").alias("colour")), "scc-colours")
+        fresh = better
+    side = lambda x: colours.select(F.col("node").alias(x), F.col("colour").alias(f"c_{x}"))
+    same = materialize(links.join(side("src"), "src").join(side("dst"), "dst").filter("c_src = c_dst").select("src", "dst"), "scc-same")
+    fresh = materialize(colours.filter("node = colour"), "scc-back")
+    reached = fresh
+    while not fresh.isEmpty():
+        back = same.join(fresh.select(F.col("node").alias("dst"), "colour"), "dst").select(F.col("src").alias("node"), "colour").distinct()
+        fresh = materialize(back.join(reached, "node", "left_anti"), "scc-back")
+        reached = materialize(reached.unionByName(fresh), "scc-reached")
+    return reached.withColumnRenamed("colour", "component")
 
 
 def cycles(edges: DataFrame) -> DataFrame:
@@ -275,9 +373,39 @@ def cycles(edges: DataFrame) -> DataFrame:
     For every edge u -> v that closes a cycle whose least node is v, the shortest such cycle is
     given, ties going to the least path.  Disjoint simple cycles are thus listed exactly once each,
     a graph has none exactly when it is acyclic, and every cycle's least node is named.
-    The search runs on the cyclic core only and advances all starts together.
+    A strong component that is one ring is read off by pointer doubling.  Only in entangled ones are paths
+    walked, all starts together and each inside its own component.
     """
-    core = cyclic_core(edges)
+    links = materialize(edges.select("src", "dst").distinct(), "cycle-edges")
+    part = materialize(strong_components(links), "cycle-parts")
+    ends = lambda x: part.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
+    inner = materialize(links.join(ends("src"), "src").join(ends("dst"), "dst").filter("c_src = c_dst")
+                        .select("src", "dst", F.col("c_src").alias("component")), "cycle-inner")
+    counts = part.groupBy("component").agg(F.count(F.lit(1)).alias("nodes")).join(
+        inner.groupBy("component").agg(F.count(F.lit(1)).alias("links")), "component")
+    kinds = materialize(counts.withColumn("ring", F.col("nodes") == F.col("links")), "cycle-kinds")
+    rings = _rings(inner.join(kinds.filter("ring").select("component", "nodes"), "component"))
+    core = inner.join(kinds.filter("not ring").select("component"), "component", "left_semi").select("src", "dst")
+    return rings.unionByName(_walked_cycles(materialize(core, "core"))).distinct()
+
+
+def _rings(inner: DataFrame) -> DataFrame:
+    """(path): of edges that form one ring per component, the nodes from the least one on."""
+    inner = materialize(inner, "rings")
+    starts = inner.filter("src = component").select(F.col("src").alias("node"), "component", F.lit(0).cast("bigint").alias("at"))
+    now = inner.filter("src <> component").select(F.col("src").alias("node"), F.col("dst").alias("to"), F.lit(1).cast("bigint").alias("d"), "component", "nodes")
+    now, moved = materialize(now, "ring"), True
+    while moved:
+        ahead = now.select(F.col("node").alias("to"), F.col("to").alias("next"), F.col("d").alias("more"))
+        now = materialize(now.join(ahead, "to", "left").select(
+            "node", F.coalesce("next", "to").alias("to"), (F.col("d") + F.coalesce("more", F.lit(0))).alias("d"), "component", "nodes",
+            F.col("next").isNotNull().alias("moved")), "ring")
+        moved = not now.filter("moved").isEmpty()
+    placed = starts.unionByName(now.select("node", "component", (F.col("nodes") - F.col("d")).alias("at")))
+    return placed.groupBy("component").agg(F.array_sort(F.collect_list(F.struct("at", "node")))["node"].alias("path")).select("path")
+
+
+def _walked_cycles(core: DataFrame) -> DataFrame:
     heads = core.filter("dst <= src").select(F.col("dst").alias("head")).distinct()
     hop = core.select(F.col("src").alias("at"), F.col("dst").alias("to"))
     frontier = materialize(
