@@ -149,6 +149,22 @@ fn empty() {}
 """
 
 
+def test_rust_annotations_in_comments_and_strings_are_none(spark):
+    test = '#[test]\n#[verifies("d#{}")]\nfn {}() {{}}\n'
+    hidden = [
+        "/* " + test.format("a", "a") + "*/\n", "/* x /* " + test.format("b", "b") + " */ " + test.format("c", "c") + "*/\n",
+        "".join("// " + x + "\n" for x in test.format("e", "e").splitlines()),
+        'const A: &str = r#"\n' + test.format("f", "f") + '"#;\n', 'const B: &str = "' + test.format("g", "g").replace('"', '\\"') + '";\n',
+        "const Q: char = '\"'; const R: char = '\\''; fn life<'a>(x: &'a str) -> &'a str { x } // it's /* no comment\n"]
+    seen = "".join(x + test.format(f"s{i}", f"seen{i}") for i, x in enumerate(hidden)) + "/* open\n" + test.format("z", "z")
+    between = '#[test] // why\n/* and */ #[verifies("d#t")]\nfn with_comment() { let s = "/* fn \\" #[test]"; }\n'
+    files = spark.createDataFrame([("x.rs", seen), ("y.rs", between)], "path string, text string")
+    found = an.scan_rust_annotations(files)[0].collect()
+    assert {(r.test.name, r.targets[0].target_id) for r in found} == {*((f"seen{i}", f"s{i}") for i in range(len(hidden))), ("with_comment", "t")}
+    assert all(seen.splitlines()[r.line - 1].startswith("#[test]") for r in found if r.file == "x.rs")
+    assert len(an.mask_rust(seen)) == len(seen)
+
+
 def test_rust_annotations(spark):
     files = spark.createDataFrame([("t.rs", RUST)], "path string, text string")
     found, problems = an.scan_rust_annotations(files)

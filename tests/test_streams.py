@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from traceline.operators import evidence as ev
+from traceline.plans.queries import affected
 from traceline.plans.evidence_sources import EvidenceSource, run_sources
 from traceline.schema import EVIDENCE_RAW
 from traceline.streaming import streams as st
@@ -26,6 +27,19 @@ def test_evidence_merge_and_coverage(spark, tmp_path):
     assert {tuple(r) for r in st.coverage_stream(live, crit).collect()} == {("d", 2, 3), ("e", 0, 1)}
 
 
+def test_changed_documents_over_several_batches(spark, tmp_path):
+    """Files are counted over all batches, each once, and a direct hit in any batch wins."""
+    rows = [("src/a/1.rs", 0), ("src/a/2.rs", 1), ("src/a/1.rs", 2), ("src/b/1.rs", 3), ("none", 4)]
+    batch, live = files(spark, tmp_path, rows, "path string, ord long", parts=5)
+    globs = spark.createDataFrame([("d", "src/a/*.rs"), ("d", "src/*/1.rs"), ("e", "src/b/**")], "doc_id string, glob string")
+    edges = spark.createDataFrame([("e", "d"), ("f", "e"), ("g", "f")], "src string, dst string").withColumn(
+        "kind", F.lit("references")).withColumn("fragment", F.lit(None).cast("string"))
+    view = lambda df: {(r.doc_id, r.n_files, r.transitive_from) for r in df.collect()}
+    got = view(st.changed_documents_stream(live, globs, edges))
+    assert got == {("d", 3, None), ("e", 1, None), ("f", 0, "e")}
+    assert got == view(affected(globs, batch.select("path"), edges)[0])
+
+
 def test_latest_versions(spark, tmp_path):
     rows = [("k" + str(i % 3), f"v{i}", i, i == 17, i) for i in range(18)]
     _, live = files(spark, tmp_path, rows, "id string, v string, version long, deleted boolean, ord long")

@@ -53,14 +53,33 @@ def depends_edges(c: Corpus) -> DataFrame:
                        F.lit("depends-on").alias("kind"), F.lit(None).cast("string").alias("fragment"))
 
 
-def cyclic_edges(c: Corpus) -> DataFrame:
-    """The dependencies plus an edge back from every part whose number is a multiple of 97."""
+def _back_edges(c: Corpus, every: int, up: int) -> DataFrame:
+    """An edge back from each part whose number is a multiple of ``every``, from the part ``up`` times less."""
     pk = F.col("p_partkey")
-    back = c.table("part").filter((pk > 0) & (pk % 97 == 0)).select(
-        F.concat(F.lit("part/"), F.floor(pk / 2).cast("bigint").cast("string"), F.lit("/req")).alias("src"),
+    return c.table("part").filter((pk > 0) & (pk % every == 0)).select(
+        F.concat(F.lit("part/"), F.floor(pk / up).cast("bigint").cast("string"), F.lit("/req")).alias("src"),
         F.concat(F.lit("part/"), pk.cast("string"), F.lit("/req")).alias("dst"),
         F.lit("depends-on").alias("kind"), F.lit(None).cast("string").alias("fragment"))
-    return depends_edges(c).unionByName(back)
+
+
+def cyclic_edges(c: Corpus) -> DataFrame:
+    """The dependencies plus an edge back from every part whose number is a multiple of 97."""
+    return depends_edges(c).unionByName(_back_edges(c, 97, 2))
+
+
+def entangled_edges(c: Corpus) -> DataFrame:
+    """The dependencies plus edges back over several levels, so that cycles share parts."""
+    return cyclic_edges(c).unionByName(_back_edges(c, 89, 8)).unionByName(_back_edges(c, 31, 4)).unionByName(_back_edges(c, 101, 1))
+
+
+def tasks_in_rings(c: Corpus) -> DataFrame:
+    """Tasks in which the first one of every fiftieth order waits for its last."""
+    last = c.tasks.groupBy("doc_id").agg(F.max(F.substring_index("comp_id", "-", -1).cast("bigint")).alias("last"))
+    order = F.split_part(F.col("doc_id"), F.lit("/"), F.lit(2)).cast("bigint")
+    rest = F.map_filter("attrs", lambda k, _: k != "depends")
+    closed = F.map_concat(rest, F.create_map(F.lit("depends"), F.concat(F.lit("task-"), F.col("last").cast("string"))))
+    return c.tasks.join(last, "doc_id").withColumn(
+        "attrs", F.when((F.col("comp_id") == "task-1") & (order % 50 == 0), closed).otherwise(F.col("attrs"))).select(*c.tasks.columns)
 
 
 def merged(c: Corpus) -> DataFrame:

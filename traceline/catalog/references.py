@@ -234,6 +234,34 @@ def _(c):
     return gr.document_cycles(v.cyclic_edges(c)).select(F.array_join("path", " > ").alias("cycle"))
 
 
+@query("G2_document_cycles_entangled", "cycle:s",
+       """WITH RECURSIVE e AS (
+            SELECT doc_id AS src, raw AS dst FROM dep
+            UNION SELECT concat('part/', p_partkey // up, '/req'), concat('part/', p_partkey, '/req')
+                  FROM part, (VALUES (97, 2), (89, 8), (31, 4), (101, 1)) AS b(every, up)
+                  WHERE p_partkey > 0 AND p_partkey % every = 0),
+          walk AS (
+            SELECT dst AS head, dst AS spot, [dst] AS path, 0 AS hops FROM e WHERE dst <= src
+            UNION
+            SELECT w.head, e.dst, list_append(w.path, e.dst), w.hops + 1 FROM walk w JOIN e ON e.src = w.spot
+            WHERE e.dst > w.head AND NOT list_contains(w.path, e.dst)),
+          best AS (SELECT head, spot, path, row_number() OVER (PARTITION BY head, spot ORDER BY hops, path) AS rn
+                   FROM walk)
+          SELECT DISTINCT array_to_string(b.path, ' > ') AS cycle
+          FROM best b JOIN e ON e.src = b.spot AND e.dst = b.head WHERE b.rn = 1""")
+def _(c):
+    return gr.document_cycles(v.entangled_edges(c)).select(F.array_join("path", " > ").alias("cycle"))
+
+
+@query("G3_task_cycles_closed", "doc_id:s cycle:s",
+       """WITH k AS (SELECT doc_id, CAST(replace(comp_id, 'task-', '') AS BIGINT) AS k FROM task),
+          n AS (SELECT doc_id, max(k) AS n, count(DISTINCT k) AS m FROM k GROUP BY 1)
+          SELECT doc_id, array_to_string(list_prepend('task-1', list_transform(range(n, 1, -1), lambda i: concat('task-', i))), ' > ') AS cycle
+          FROM n WHERE n = m AND CAST(split_part(doc_id, '/', 2) AS BIGINT) % 50 = 0""")
+def _(c):
+    return gr.task_cycles(v.tasks_in_rings(c)).select("doc_id", F.array_join("path", " > ").alias("cycle"))
+
+
 @query("G3_task_cycles", "doc_id:s cycle:s raw:s reason:s",
        """SELECT t.doc_id, NULL AS cycle, t.depends AS raw, 'not_a_sibling' AS reason
           FROM task t WHERE t.depends IS NOT NULL AND NOT EXISTS (

@@ -335,7 +335,16 @@ def affected(tracked_globs: DataFrame, changed: DataFrame, edges: DataFrame
     ``/``.  They are not joined to documents times files: files are counted once for each different set of
     globs, however many documents have it.
     """
-    hits = materialize(match_globs(tracked_globs, changed, separator_literal=False), "glob-hits")
+    return affected_by(tracked_globs, materialize(glob_hits(tracked_globs, changed), "glob-hits"), edges)
+
+
+def glob_hits(tracked_globs: DataFrame, changed: DataFrame) -> DataFrame:
+    """(glob, path): which changed files a tracked glob matches."""
+    return match_globs(tracked_globs, changed, separator_literal=False)
+
+
+def affected_by(tracked_globs: DataFrame, hits: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``affected`` for the distinct ``hits(glob, path)``, a written table."""
     doc_globs = tracked_globs.select("doc_id", "glob").distinct().join(hits.select("glob").distinct(), "glob", "left_semi")
     # As long as the globs of one document.
     sets = materialize(doc_globs.groupBy("doc_id").agg(F.array_sort(F.collect_set("glob")).alias("globs")), "glob-sets")

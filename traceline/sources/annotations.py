@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from traceline.operators import blocks
 from traceline.schema import PROVENANCE
@@ -18,6 +22,12 @@ RUST_TOKEN = (
 VERIFIES = r"""(?s)#\[(?:\w+::)?verifies(?:\(((?:"[^"]*"|[^)"])*)\))?\s*\]"""
 STRING = r'"([^"]*)"'
 
+#: What hides code from the patterns: comments, raw and plain strings, characters (but not lifetimes).
+RUST_HIDING = re.compile(r'''(?s)//[^\n]*|/\*|(?<![\w'])b?r(#*)".*?(?:"\1|\Z)|b?"(?:\\.|[^"\\])*(?:"|\Z)|b?'(?:\\[^'\n]+|\\'|[^'\\\n])[']''')
+COMMENT_EDGE = re.compile(r"/\*|\*/")
+#: In a string: what the patterns would take for code.
+CODE_LIKE = re.compile(r"#\[|\bfn\s|proptest!|^\}", re.M)
+
 JS_NAME = r"""(?:'((?:\\.|[^'\\])*)'|"((?:\\.|[^"\\])*)"|`((?:\\.|[^`\\])*)`)"""
 JS_TOKEN = (
     rf"(?s)\bdescribe\(\s*{JS_NAME}\s*,[^{{}}]*?\{{"
@@ -27,6 +37,33 @@ JS_TOKEN = (
 )
 
 
+def mask_rust(text: str) -> str:
+    """``text`` with blanks for comments, which may be nested, and for strings that look like code; lines and places stay."""
+    out, at = [], 0
+    while found := RUST_HIDING.search(text, at):
+        start, end = found.span()
+        token = found.group()
+        if token == "/*":
+            depth, end = 1, len(text)
+            for edge in COMMENT_EDGE.finditer(text, found.end()):
+                depth += 1 if edge.group() == "/*" else -1
+                if not depth:
+                    end = edge.end()
+                    break
+        hide = token.startswith(("//", "/*")) or CODE_LIKE.search(token)
+        out += [text[at:start], re.sub(r"[^\n]", " ", text[start:end]) if hide else text[start:end]]
+        at = end
+    return "".join([*out, text[at:]])
+
+
+def _code_only(text: str) -> Column:
+    @F.pandas_udf(StringType())
+    def masked(texts: pd.Series) -> pd.Series:
+        return texts.map(mask_rust, na_action="ignore")
+
+    return masked(text)
+
+
 def _targets(refs: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(refs, lambda r: F.struct(
         F.substring_index(r, "#", 1).alias("doc_id"), F.substring_index(r, "#", -1).alias("target_id")))))
@@ -69,10 +106,11 @@ def scan_rust_annotations(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Kinds: async for an async framework or function, snapshot for a snapshot assertion in the body,
     property inside a property-test macro, unit otherwise.  A helper without a test attribute is
-    skipped.
+    skipped.  Comments, nested ones too, and strings that hold code are no code.
     """
     g = lambda i: F.regexp_extract("token", RUST_TOKEN, i)
-    rows = _tokens(files, RUST_TOKEN).select(
+    code = files.filter(F.col("text").contains("verifies")).withColumn("text", _code_only("text"))
+    rows = _tokens(code, RUST_TOKEN).select(
         "path", "pos", "line", F.when(g(2) != "", "macro").when(g(5) != "", "fn").otherwise("end").alias("what"),
         F.when(g(2) != "", g(1)).otherwise(g(3)).alias("attributes"), g(4).alias("is_async"), g(5).alias("test_name"),
         g(6).alias("body"))

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from traceline.operators import blocks
 from traceline.operators.evidence import normalize_targets
-from traceline.plans.queries import affected
-from traceline.storage import scratch_path
+from traceline.plans.queries import affected_by, glob_hits
+from traceline.storage import materialize, scratch_path
 
 
 def write_batches(stream: DataFrame, path: str, mode: str = "append",
@@ -48,18 +48,17 @@ def last_versions(batches: DataFrame, keys: list[str]) -> DataFrame:
 
 # -- C3 ------------------------------------------------------------------------------------
 
-def changed_documents(batch: DataFrame, tracked_globs: DataFrame, edges: DataFrame) -> DataFrame:
-    """Affected documents of one batch of file events ``(path)``; the hop runs per batch."""
-    return affected(tracked_globs, batch.select("path").distinct(), edges)[0]
-
-
 def changed_documents_stream(file_events: DataFrame, tracked_globs: DataFrame, edges: DataFrame) -> DataFrame:
+    """Affected documents of all file events ``(path)`` so far.
+
+    A batch writes which globs its files match.  Files are counted and the hop is made over the distinct
+    hits of all batches: two files of one document in two batches count twice, one file in two batches
+    counts once, and a document that is hit directly in any batch is direct.
+    """
     out = run_available(file_events.select("path"), "changed-documents",
-                        each=lambda batch: changed_documents(batch, tracked_globs, edges))
-    # Transitive rows of one batch give way to a direct hit in any batch.
-    return out.groupBy("doc_id").agg(F.max("n_files").alias("n_files"), F.count_if(
-        F.col("transitive_from").isNull()).alias("direct"), F.min("transitive_from").alias("via")).select(
-        "doc_id", "n_files", F.when(F.col("direct") == 0, F.col("via")).alias("transitive_from"))
+                        each=lambda batch: glob_hits(tracked_globs, batch.select("path").distinct()))
+    hits = materialize(out.select("glob", "path").distinct(), "changed-hits")
+    return affected_by(tracked_globs, hits, edges)[0]
 
 
 # -- C4 ------------------------------------------------------------------------------------
