@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from traceline.functions.refs import list_items, list_items_lenient, list_is_void, ref_doc
 from traceline.operators.blocks import global_order
 from traceline.schema import EDGE_COMPONENTS
-from traceline.storage import materialize
+from traceline.storage import materialize, materialize_counted
 
 
 def all_edges(resolved: DataFrame) -> DataFrame:
@@ -296,48 +296,49 @@ def _without_tails_and_chains(links: DataFrame, loops: list[DataFrame], chains:
     Adds to ``loops`` (node) the ends of chains that return to their start, to ``chains`` (node, u, w) the
     nodes replaced and the ends of their chain, to ``found`` (node, component) cycles that are chains as a whole.
     """
-    size = links.count()
+    links, size = materialize_counted(links, "scc")
     while size:
+        srcs, dsts = links.select(F.col("src").alias("n")).distinct(), links.select(F.col("dst").alias("n")).distinct()
+        kept, left = materialize_counted(
+            links.join(dsts.withColumnRenamed("n", "src"), "src", "left_semi")
+            .join(srcs.withColumnRenamed("n", "dst"), "dst", "left_semi").select("src", "dst"), "scc")
+        if left < size:
+            links, size = kept, left
+            continue
         into = links.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n_in"), F.min("src").alias("before"))
         out = links.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n_out"), F.min("dst").alias("after"))
-        nodes = materialize(into.join(out, "node"), "scc-nodes")
-        live = nodes.select("node")
-        kept = materialize(links.join(live.withColumnRenamed("node", "src"), "src", "left_semi")
-                           .join(live.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"), "scc")
-        left = kept.count()
-        if left == size:  # the degrees hold
-            inner = materialize(nodes.filter("n_in = 1 and n_out = 1").select("node", "before", "after"), "scc-inner")
-            n = inner.count()
-            if not n:
-                break
-            ahead = _jump(inner.select("node", F.col("after").alias("to")), n)
-            behind = _jump(inner.select("node", F.col("before").alias("to")), n)
-            found.append(ahead.filter("open").select("node", F.col("low").alias("component")))
-            ends = materialize(ahead.filter("not open").select("node", F.col("to").alias("w"))
-                               .join(behind.filter("not open").select("node", F.col("to").alias("u")), "node"), "scc-ends")
-            chains.append(ends)
-            across = ends.select("u", "w").distinct()
-            loops.append(across.filter("u = w").select(F.col("u").alias("node")))
-            name = inner.select("node")
-            direct = kept.join(name.withColumnRenamed("node", "src"), "src", "left_anti") \
-                .join(name.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
-            kept = materialize(direct.union(across.filter("u <> w")).distinct(), "scc")
-            left = kept.count()
-        links, size = kept, left
+        inner, n = materialize_counted(
+            into.filter("n_in = 1").join(out.filter("n_out = 1"), "node").select("node", "before", "after"), "scc-inner")
+        if not n:
+            break
+        both = _jump(inner.select("node", F.explode(F.array(*[F.struct(F.lit(way).alias("way"), F.col(to).alias("to")) for way, to in enumerate(("after", "before"))]))
+                                  .alias("p")).select("node", "p.*"), n)
+        ahead, behind = both.filter("way = 0"), both.filter("way = 1")
+        found.append(ahead.filter("open").select("node", F.col("low").alias("component")))
+        ends = materialize(ahead.filter("not open").select("node", F.col("to").alias("w"))
+                           .join(behind.filter("not open").select("node", F.col("to").alias("u")), "node"), "scc-ends")
+        chains.append(ends)
+        across = ends.select("u", "w").distinct()
+        loops.append(across.filter("u = w").select(F.col("u").alias("node")))
+        name = inner.select("node")
+        direct = links.join(name.withColumnRenamed("node", "src"), "src", "left_anti") \
+            .join(name.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
+        links, size = materialize_counted(direct.union(across.filter("u <> w")).distinct(), "scc")
     return links
 
 
 def _jump(pointers: DataFrame, n: int) -> DataFrame:
-    """(node, to, low, open): pointers doubled until they leave the ``n`` nodes; ``open`` where they never do.
+    """(way, node, to, low, open): the pointers of each way doubled until they leave its ``n`` nodes; ``open`` where they never do.
 
     ``low`` is the least node passed, for an open pointer the least of its cycle.
     """
-    now = pointers.withColumn("low", F.col("node")).withColumn("open", F.lit(True))
+    now = pointers.withColumn("low", F.col("node"))
     for _ in range(n.bit_length() + 1):
-        ahead = now.select(F.col("node").alias("to"), F.col("to").alias("next"), F.col("low").alias("low_next"))
-        now = materialize(now.join(ahead, "to", "left").select(
-            "node", F.coalesce("next", "to").alias("to"), F.least("low", "low_next").alias("low"), F.col("next").isNotNull().alias("open")), "jump")
-        if now.filter("open").isEmpty():
+        ahead = now.select("way", F.col("node").alias("to"), F.col("to").alias("next"), F.col("low").alias("low_next"))
+        now, moved = materialize_counted(now.join(ahead, ["way", "to"], "left").select(
+            "way", "node", F.coalesce("next", "to").alias("to"), F.least("low", "low_next").alias("low"),
+            F.col("next").isNotNull().alias("open")), "jump", F.count_if("open"))
+        if not moved:
             break
     return now
 
@@ -347,22 +348,22 @@ def _rooted_components(links: DataFrame) -> DataFrame:
     nodes = links.select(F.col("src").alias("node")).union(links.select("dst")).distinct()
     colours = materialize(nodes.withColumn("colour", F.col("node")), "scc-colours")
     fresh = colours
-    while not fresh.isEmpty():
+    while True:
         sent = links.join(fresh.select(F.col("node").alias("src"), "colour"), "src") \
             .groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("sent"))
-        better = materialize(sent.join(colours, "node").filter("sent < colour").select("node", F.col("sent").alias("colour")), "scc-better")
-        if better.isEmpty():
+        better, n = materialize_counted(sent.join(colours, "node").filter("sent < colour").select("node", F.col("sent").alias("colour")), "scc-better")
+        if not n:
             break
         colours = materialize(colours.join(better.withColumnRenamed("colour", "lower"), "node", "left")
                               .select("node", F.coalesce("lower", "colour").alias("colour")), "scc-colours")
         fresh = better
     side = lambda x: colours.select(F.col("node").alias(x), F.col("colour").alias(f"c_{x}"))
     same = materialize(links.join(side("src"), "src").join(side("dst"), "dst").filter("c_src = c_dst").select("src", "dst"), "scc-same")
-    fresh = materialize(colours.filter("node = colour"), "scc-back")
+    fresh, n = materialize_counted(colours.filter("node = colour"), "scc-back")
     reached = fresh
-    while not fresh.isEmpty():
+    while n:
         back = same.join(fresh.select(F.col("node").alias("dst"), "colour"), "dst").select(F.col("src").alias("node"), "colour").distinct()
-        fresh = materialize(back.join(reached, "node", "left_anti"), "scc-back")
+        fresh, n = materialize_counted(back.join(reached, "node", "left_anti"), "scc-back")
         reached = materialize(reached.unionByName(fresh), "scc-reached")
     return reached.withColumnRenamed("colour", "component")
 
@@ -394,13 +395,12 @@ def _rings(inner: DataFrame) -> DataFrame:
     inner = materialize(inner, "rings")
     starts = inner.filter("src = component").select(F.col("src").alias("node"), "component", F.lit(0).cast("bigint").alias("at"))
     now = inner.filter("src <> component").select(F.col("src").alias("node"), F.col("dst").alias("to"), F.lit(1).cast("bigint").alias("d"), "component", "nodes")
-    now, moved = materialize(now, "ring"), True
+    now, moved = materialize_counted(now, "ring")
     while moved:
         ahead = now.select(F.col("node").alias("to"), F.col("to").alias("next"), F.col("d").alias("more"))
-        now = materialize(now.join(ahead, "to", "left").select(
+        now, moved = materialize_counted(now.join(ahead, "to", "left").select(
             "node", F.coalesce("next", "to").alias("to"), (F.col("d") + F.coalesce("more", F.lit(0))).alias("d"), "component", "nodes",
-            F.col("next").isNotNull().alias("moved")), "ring")
-        moved = not now.filter("moved").isEmpty()
+            F.col("next").isNotNull().alias("moved")), "ring", F.count_if("moved"))
     placed = starts.unionByName(now.select("node", "component", (F.col("nodes") - F.col("d")).alias("at")))
     return placed.groupBy("component").agg(F.array_sort(F.collect_list(F.struct("at", "node")))["node"].alias("path")).select("path")
 
@@ -408,13 +408,13 @@ def _rings(inner: DataFrame) -> DataFrame:
 def _walked_cycles(core: DataFrame) -> DataFrame:
     heads = core.filter("dst <= src").select(F.col("dst").alias("head")).distinct()
     hop = core.select(F.col("src").alias("at"), F.col("dst").alias("to"))
-    frontier = materialize(
+    frontier, n = materialize_counted(
         heads.select("head", F.col("head").alias("at"), F.array("head").alias("path")), "walk")
     seen, walks = frontier, frontier
-    while not frontier.isEmpty():
+    while n:
         ahead = frontier.join(hop, "at").filter("to > head").groupBy("head", F.col("to").alias("at")) \
             .agg(F.min(F.concat("path", F.array("to"))).alias("path"))
-        frontier = materialize(ahead.join(seen.select("head", "at"), ["head", "at"], "left_anti"), "walk")
+        frontier, n = materialize_counted(ahead.join(seen.select("head", "at"), ["head", "at"], "left_anti"), "walk")
         walks = walks.unionByName(frontier)
         seen = walks
     closing = core.filter("dst <= src").select(F.col("src").alias("at"), F.col("dst").alias("head"))

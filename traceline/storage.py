@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,6 +52,15 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_counted(df: DataFrame, label: str = "step", what: Column | None = None) -> tuple[DataFrame, int]:
+    """``materialize`` and the number of rows, or another aggregate, which the writing job finds on its way."""
+    seen = Observation()
+    what = F.count(F.lit(1)) if what is None else what
+    table = materialize(df.observe(seen, what.alias("n")), label)
+    n = seen.get.get("n")  # missing where the plan turned out to be empty
+    return table, table.agg(what).first()[0] if n is None else n
+
+
 def clean_up(spark: SparkSession) -> None:
     """Delete this application's intermediate tables; call it when its results have been written."""
     path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
