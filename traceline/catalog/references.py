@@ -76,9 +76,10 @@ def _(c):
 
 
 @query("J13_linked_decisions", "target_doc:s doc_id:s comp_id:s body_text:s",
-       """SELECT r.raw AS target_doc, d.doc_id, d.comp_id, d.body_text
+       """WITH e AS MATERIALIZED (SELECT DISTINCT src, dst FROM edges WHERE kind = 'references' AND fragment IS NULL)
+          SELECT r.raw AS target_doc, d.doc_id, d.comp_id, d.body_text
           FROM refc r JOIN decision d ON d.doc_id = r.doc_id
-          JOIN edges e ON e.src = r.doc_id AND e.dst = r.raw AND e.kind = 'references'""")
+          JOIN e ON e.src = r.doc_id AND e.dst = r.raw""")
 def _(c):
     return gr.linked_decisions(c.components, v.edges(c))
 
@@ -322,12 +323,12 @@ def _(c):
 
 
 @query("G9_isolated_documents", "doc_id:s",
-       """SELECT doc_id FROM docs d
-          WHERE NOT EXISTS (SELECT 1 FROM ref_items r WHERE r.doc_id = d.doc_id)
-            AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.dst = d.doc_id
-                            AND (e.kind <> 'references' OR e.fragment IS NULL))
-            AND NOT EXISTS (SELECT 1 FROM task_impl t WHERE t.doc_id = d.doc_id AND t.target_doc <> t.doc_id)
-            AND NOT EXISTS (SELECT 1 FROM task_impl t WHERE t.target_doc = d.doc_id AND t.target_doc <> t.doc_id)""")
+       """WITH across AS MATERIALIZED (SELECT DISTINCT doc_id, target_doc FROM task_impl WHERE target_doc <> doc_id),
+          linked AS MATERIALIZED (
+            SELECT doc_id FROM ref_items
+            UNION SELECT dst FROM edges WHERE kind <> 'references' OR fragment IS NULL
+            UNION SELECT doc_id FROM across UNION SELECT target_doc FROM across)
+          SELECT d.doc_id FROM docs d ANTI JOIN linked l ON l.doc_id = d.doc_id""")
 def _(c):
     return gr.isolated_documents(c.documents, c.components, v.edges(c), v.task_implements(c))
 
