@@ -71,16 +71,21 @@ R8 = """
      OR (d.doc_type = 'requirements' AND d.status <> 'implemented')"""
 
 R9 = """
+  WITH bad_refs AS MATERIALIZED (SELECT doc_id, raw, reason, target_doc FROM refs_checked WHERE reason IS NOT NULL),
+  bad_impl AS MATERIALIZED (SELECT doc_id, raw, reason, target_doc FROM impl_checked WHERE reason IS NOT NULL),
+  tasks AS MATERIALIZED (SELECT doc_id, comp_id, depends, implements, second_ref FROM task),
+  siblings AS MATERIALIZED (SELECT DISTINCT doc_id, comp_id FROM tasks),
+  named AS MATERIALIZED (SELECT doc_id, comp_id, name FROM comps WHERE comp_id IS NOT NULL),
+  twice AS MATERIALIZED (SELECT doc_id, comp_id FROM named WHERE name IN ('Criterion', 'Task', 'Decision', 'Alternative')
+    GROUP BY 1, 2 HAVING count(*) > 1)
   SELECT doc_id, raw AS subject, CASE WHEN reason = 'document_not_found' AND starts_with(target_doc, 'parts/')
          THEN replace(raw, 'parts/', 'part/') END AS suggestion FROM (
-    SELECT doc_id, raw, reason, target_doc FROM refs_checked WHERE reason IS NOT NULL
-    UNION ALL SELECT doc_id, raw, reason, target_doc FROM impl_checked WHERE reason IS NOT NULL
-    UNION ALL SELECT doc_id, implements, 'empty_list_item', NULL FROM task WHERE second_ref = ''
-    UNION ALL SELECT doc_id, depends, 'not_a_sibling', NULL FROM task t WHERE depends IS NOT NULL AND NOT EXISTS (
-      SELECT 1 FROM task o WHERE o.doc_id = t.doc_id AND o.comp_id = t.depends)
-    UNION ALL SELECT c.doc_id, c.comp_id, 'duplicate', NULL FROM comps c JOIN (
-      SELECT doc_id, comp_id FROM comps WHERE name IN ('Criterion', 'Task', 'Decision', 'Alternative')
-      GROUP BY 1, 2 HAVING count(*) > 1) n ON n.doc_id = c.doc_id AND n.comp_id = c.comp_id)"""
+    SELECT * FROM bad_refs
+    UNION ALL SELECT * FROM bad_impl
+    UNION ALL SELECT doc_id, implements, 'empty_list_item', NULL FROM tasks WHERE second_ref = ''
+    UNION ALL SELECT t.doc_id, t.depends, 'not_a_sibling', NULL FROM tasks t
+      ANTI JOIN siblings o ON o.doc_id = t.doc_id AND o.comp_id = t.depends WHERE t.depends IS NOT NULL
+    UNION ALL SELECT c.doc_id, c.comp_id, 'duplicate', NULL FROM named c JOIN twice n ON n.doc_id = c.doc_id AND n.comp_id = c.comp_id)"""
 
 NONE = "CAST(NULL AS VARCHAR)"
 
@@ -155,10 +160,12 @@ RULES = {
                    WHERE doc_id NOT IN (SELECT doc_id FROM rationale WHERE parent_name = 'Decision')""",
         lambda c: rules.incomplete_decision(c.components)),
     "orphan_decision": (
-        "R18", f"""SELECT doc_id, comp_id AS subject, {NONE} AS suggestion FROM decision d
-                   WHERE NOT standalone AND doc_id NOT IN (SELECT doc_id FROM refc)
-                   AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.kind = 'references' AND e.dst = d.doc_id
-                                   AND e.fragment = d.comp_id)""",
+        "R18", f"""WITH refers AS MATERIALIZED (SELECT DISTINCT doc_id FROM refc),
+                   referred AS MATERIALIZED (SELECT DISTINCT dst, fragment FROM edges WHERE kind = 'references' AND fragment IS NOT NULL)
+                   SELECT d.doc_id, d.comp_id AS subject, {NONE} AS suggestion FROM decision d
+                   ANTI JOIN refers r ON r.doc_id = d.doc_id
+                   ANTI JOIN referred e ON e.dst = d.doc_id AND e.fragment = d.comp_id
+                   WHERE NOT d.standalone""",
         lambda c: rules.orphan_decision(c.components, v.edges(c))),
     "missing_decision_coverage": (
         "R19", f"""SELECT doc_id, {NONE} AS subject, {NONE} AS suggestion FROM docs
