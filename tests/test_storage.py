@@ -25,3 +25,16 @@ def test_clean_up(spark):
     assert table.count() == 5
     clean_up(spark)
     assert not os.path.exists(run_dir(spark).removeprefix("file:"))
+
+
+def test_counting_while_writing(spark):
+    from pyspark.sql import functions as F
+
+    from traceline.storage import materialize_counted
+
+    rows = spark.range(10)
+    table, n = materialize_counted(rows)
+    assert n == 10 and table.count() == 10
+    assert materialize_counted(rows, "step", F.count_if("id > 6"))[1] == 3
+    assert materialize_counted(rows.filter("id > 99"))[1] == 0
+    assert materialize_counted(rows.filter("false"), "step", F.count_if("id > 6"))[1] == 0
