@@ -35,6 +35,6 @@ def test_counting_while_writing(spark):
     rows = spark.range(10)
     table, n = materialize_counted(rows)
     assert n == 10 and table.count() == 10
-    assert materialize_counted(rows, "step", F.count_if("id > 6"))[1] == 3
+    assert materialize_counted(rows, "step", F.count_if(F.col("id") > 6))[1] == 3
     assert materialize_counted(rows.filter("id > 99"))[1] == 0
-    assert materialize_counted(rows.filter("false"), "step", F.count_if("id > 6"))[1] == 0
+    assert materialize_counted(rows.filter("false"), "step", F.count_if(F.col("id") > 6))[1] == 0
