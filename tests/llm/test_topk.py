@@ -44,6 +44,19 @@ def test_against_all_products(spark, dim, hot):
     assert run(spark, rows, bucket_rows=100, block_rows=4) == plain(rows)
 
 
+def test_large_components(spark):
+    """Products beyond 53 and 63 bits; the best scores fit a long, others need not."""
+    rng = random.Random(3)
+    rows = [(i, [rng.choice([-1, 1]) * rng.uniform(0.5, 1) * 2.0 ** rng.choice([3, 14, 17]) for _ in range(16)]) for i in range(400)]
+    assert max(abs(s) for _, _, _, s in plain(rows)) > 2 ** 55
+    assert run(spark, rows, bucket_rows=64, block_rows=2) == plain(rows)
+    below = [(0, [1e6] * 16), (1, [-1e6] * 16), (2, [1.0] * 16), (3, [2.0] * 16)]
+    assert run(spark, below, k=2) == plain(below, k=2)
+    for beyond in ([(0, [1e6] * 16), (1, [1e6] * 16)], [(0, [3e38]), (1, [1.0])]):
+        with pytest.raises(Exception, match="does not fit a long"):
+            run(spark, beyond)
+
+
 def test_few_and_none(spark):
     rows = [(0, [1.0, 2.0]), (1, [3.0, 1.0]), (2, [3.0, 1.0]), (100, [0.0, 0.0])]
     assert run(spark, rows) == plain(rows)

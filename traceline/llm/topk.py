@@ -14,7 +14,8 @@ lengths do not rule out is one task; queries and vectors are sent to the tasks t
 Defined cases: vectors that are null or hold null or non-finite components take no part, nor do those
 with a null id; only vectors of one dimension are compared; a vector is no candidate of a query with
 the same id; fewer candidates than k are all returned; ties go to the smaller id; empty vectors score
-0.  Components times the scale must fit 31 bits.
+0.  Products and sums are exact whatever their size; a component or one of the k best scores that does
+not fit a long is an error.
 """
 
 from __future__ import annotations
@@ -33,21 +34,26 @@ from traceline.operators.blocks import global_order
 SCALE, K = 1024, 10
 BUCKET_ROWS, BLOCK_ROWS = 4096, 4096
 HIGH_COSINE, FOCUS, MARGIN = 0.8, 4, 1e-9
+TOO_LARGE = 1 << 63
 RESULT = "query_id bigint, vec_id bigint, score bigint"
 
 
 def whole(vector: Column, scale: int = SCALE) -> Column:
     """floor(scale * x) of each component; null unless all are finite."""
     usable = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
-    return F.when(usable, F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("bigint")))
+    fits = F.forall(vector, lambda x: F.abs(x.cast("double") * scale) < float(TOO_LARGE))
+    scaled = F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("bigint"))
+    return F.when(usable & ~fits, F.raise_error(F.lit("a scaled component does not fit a long")).cast("array<bigint>")).when(usable, scaled)
 
 
 def products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Exact integer products; by float arithmetic where that is exact."""
+    """Exact integer products: by floats or longs where those are exact, else by Python's integers."""
     top = np.abs(queries).max(initial=0).astype(float) * np.abs(vectors).max(initial=0) * max(1, queries.shape[1])
     if top < 2 ** 53:
         return (queries.astype(float) @ vectors.astype(float).T).astype(np.int64)
-    return queries @ vectors.T
+    if top < TOO_LARGE / 2:
+        return queries @ vectors.T
+    return queries.astype(object) @ vectors.astype(object).T
 
 
 def _candidates(query: np.ndarray, threshold: float, unit: np.ndarray, norm: np.ndarray) -> np.ndarray:
@@ -88,7 +94,7 @@ def best(query_ids, queries, thresholds, ids, vectors, k) -> Iterator[tuple[int,
         near = _candidates(queries[i], thresholds[i], unit, norm)
         if len(near):
             scores = products(queries[i:i + 1], vectors[near])[0]
-            keep = scores >= thresholds[i]
+            keep = scores.astype(float) >= thresholds[i]  # both rounded alike, so none that ties is lost
             if keep.any():
                 yield query_ids[i], *_first(ids[near][keep], scores[keep], query_ids[i], k)
 
@@ -96,6 +102,11 @@ def best(query_ids, queries, thresholds, ids, vectors, k) -> Iterator[tuple[int,
 def _first(ids, scores, own, k):
     other = ids != own
     ids, scores = ids[other], scores[other]
+    if scores.dtype == object:
+        order = sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[:k]
+        if any(not -TOO_LARGE <= scores[i] < TOO_LARGE for i in order):
+            raise OverflowError("a score does not fit a long")
+        return ids[order], scores[order].astype(np.int64)
     if len(ids) > 4 * k:
         least = np.partition(scores, len(scores) - k)[len(scores) - k]
         keep = scores >= least
