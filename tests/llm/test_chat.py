@@ -66,6 +66,20 @@ def test_ranges_give_the_same_as_whole_conversations(spark):
     assert parse(ranged_lines(df.limit(0), C("conv_id"), C("turn"), C("text"), C("role"), 7), model).collect() == []
 
 
+def test_large_ids_beside_nulls(spark):
+    """Conversations and turns above 2^53 stay apart, whatever nulls share their batch."""
+    big = 2 ** 60 + 1
+    rows = [*transcript(5, big), *transcript(4, big + 1), *transcript(3, None), (big + 2, big, "user", "User: a"), (big + 2, None, "user", "User: b"),
+            (big + 2, big + 1, "assistant", "Assistant: c")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    for size in (1000, 4):
+        lines = ranged_lines(df, C("conv_id"), C("turn"), C("text"), C("role"), size)
+        got = parse(lines, fit(lines, F.lit(True))).collect()
+        assert {r.conv for r in got} == {big, big + 1, big + 2, None}
+        assert {(r.conv, r.turn) for r in got} <= {(r[0], r[1]) for r in rows}
+        assert {r.turn for r in got if r.conv == big + 2} >= {None, big, big + 1}
+
+
 def test_held_out_accuracy(spark):
     """Most marked turns, and a part of the unmarked ones, of which a reader of markers finds none."""
     conversations = table(spark, "/root/testdata/sf0.1", "conversations")

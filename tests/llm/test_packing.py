@@ -49,6 +49,9 @@ def test_cuts():
 def test_ties_nulls_and_empty(spark):
     path = tokenizer_file("word_bpe_49k.json")
     df = spark.createDataFrame([(1, "a b", "k", 1, 2), (1, "a b", "k", 1, 2), (None, "c", "k", 1, 2)], SCHEMA)
+    large = [2 ** 60 + 1, None, 2 ** 60 + 2, -(2 ** 60) - 1]
+    ids = pack(spark.createDataFrame([(i, "a b", "k", 1, 2) for i in large], SCHEMA).coalesce(1), path).select("id").distinct().collect()
+    assert {r.id for r in ids} == set(large)
     got = pack(df, path).collect()
     assert sorted((str(r.id), r.doc_tokens) for r in got) == [("1", 3)] * 4 + [("None", 2)]
     assert pack(df.limit(0), path).collect() == []

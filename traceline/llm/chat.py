@@ -101,12 +101,19 @@ def ranged_lines(transcripts: DataFrame, conv: Column, turn: Column, text: Colum
     return materialize(lines.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "chat-ranges")
 
 
+def _exact(lines: DataFrame) -> DataFrame:
+    """Nulls of ``conv`` and ``turn`` as flags, as pandas would make floats of all numbers beside them."""
+    for c in ("conv", "turn"):
+        lines = lines.withColumn(f"has_{c}", F.col(c).isNotNull()).withColumn(c, F.coalesce(c, F.lit(0)))
+    return lines
+
+
 def _sorted(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pdf.sort_values(["conv", "turn", "row", "at"], na_position="first", ignore_index=True)
+    return pdf.sort_values(["has_conv", "conv", "has_turn", "turn", "row", "at"], ignore_index=True)
 
 
 def _runs(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    for _, run in pdf.groupby("conv", sort=False, dropna=False):
+    for _, run in pdf.groupby(["has_conv", "conv"], sort=False):
         yield run
 
 
@@ -130,7 +137,7 @@ def fit(lines: DataFrame, known: Column) -> Model:
                     table[state * n + value] += 1
         return pd.DataFrame({"counts": [np.concatenate(total)]})
 
-    parts = lines.filter(known).groupBy("part").applyInPandas(count, "counts array<bigint>")
+    parts = _exact(lines.filter(known)).groupBy("part").applyInPandas(count, "counts array<bigint>")
     summed = parts.select(F.posexplode("counts").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect()  # one row for each count
     flat = np.zeros(sum(sizes))
     for r in summed:
@@ -150,7 +157,8 @@ def _borders(lines: DataFrame, model: Model) -> DataFrame:
         pdf = _sorted(pdf)
         begins = bool(pdf["part"].iloc[0] == pdf["low"].iloc[0])
         best = model.transfer(pdf["line"].tolist(), begins)
-        return pd.DataFrame({"conv": pdf["conv"].iloc[:1], "part": pdf["part"].iloc[:1], "best": [best.ravel()]})
+        conv = pdf["conv"].iloc[:1] if pdf["has_conv"].iloc[0] else pd.Series([None], dtype="Int64")
+        return pd.DataFrame({"conv": conv, "part": pdf["part"].iloc[:1], "best": [best.ravel()]})
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("part", ignore_index=True)
@@ -166,7 +174,7 @@ def _borders(lines: DataFrame, model: Model) -> DataFrame:
         last.reverse()
         return pd.DataFrame({"conv": pdf["conv"], "part": pdf["part"], "before": [-1, *last[:-1]], "last": last})
 
-    matrices = cut.groupBy("conv", "part").applyInPandas(transfer, "conv bigint, part int, best array<double>")
+    matrices = _exact(cut).groupBy("has_conv", "conv", "part").applyInPandas(transfer, "conv bigint, part int, best array<double>")
     return matrices.groupBy("conv").applyInPandas(chain, "conv bigint, part int, before int, last int")
 
 
@@ -182,7 +190,9 @@ def parse(lines: DataFrame, model: Model) -> DataFrame:
             before, last = run["before"].iloc[0], run["last"].iloc[0]
             states = model.decode(run["line"].tolist(), None if pd.isna(before) or before < 0 else int(before), None if pd.isna(last) else int(last))
             open_turn = None
-            for (conv, turn, row, at, line), state in zip(run[["conv", "turn", "row", "at", "line"]].itertuples(index=False, name=None), states):
+            fields = ["has_conv", "conv", "has_turn", "turn", "row", "at", "line"]
+            for (has_conv, conv, has_turn, turn, row, at, line), state in zip(run[fields].itertuples(index=False, name=None), states):
+                conv, turn = conv if has_conv else None, turn if has_turn else None
                 role, first = STATES[state]
                 text = MARKER.sub("", line, count=1) if first else line
                 if first or open_turn is None:
@@ -196,12 +206,12 @@ def parse(lines: DataFrame, model: Model) -> DataFrame:
             rows.append((conv, turn, row, at, role, begins, text, (f"<|{role}|>\n" if begins else "") + text + "\n"))
         frame = pd.DataFrame(rows, columns=["conv", "turn", "row", "at", "role", "begins", "text", "rendered"])
         for c in ("conv", "turn"):
-            frame[c] = frame[c].astype("Int64")
+            frame[c] = pd.array([r[0 if c == "conv" else 1] for r in rows], "Int64")
         for c in ("role", "text", "rendered"):
             frame[c] = frame[c].astype(object)
         return frame
 
-    return given.groupBy("part").applyInPandas(
+    return _exact(given).groupBy("part").applyInPandas(
         decode, "conv bigint, turn bigint, row bigint, at int, role string, begins boolean, text string, rendered string")
 
 

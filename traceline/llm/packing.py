@@ -24,7 +24,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -126,11 +126,11 @@ def cuts(tokens: int, capacity: int) -> list[int]:
 def _pieces(path: str, capacity: int, end: int):
     last = np.array([end], "<u4").tobytes()
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = [0] * capacity.bit_length()
         worker = TaskContext.get().partitionId()
-        for pdf in batches:
-            texts, rows = pdf["text"].tolist(), []
+        for batch in batches:
+            texts, rows = batch.column(1).to_pylist(), []
             for who, encoded in enumerate(x for at in range(0, len(texts), TEXTS_AT_ONCE) for x in encoder(path)(texts[at:at + TEXTS_AT_ONCE])):
                 encoded += last
                 view, start, total = memoryview(encoded), 0, len(encoded) // 4
@@ -140,9 +140,12 @@ def _pieces(path: str, capacity: int, end: int):
                     counts[kind] += 1
                     start += length
             if rows:
-                out = pd.DataFrame(rows, columns=["id", "start", "length", "ids_crc32", "doc_tokens", "kind", "number"])
-                out["id"], out["worker"] = pdf["id"].iloc[out["id"]].to_numpy(), worker
-                yield out
+                who, *columns, kinds, numbers = zip(*rows)
+                ids = batch.column(0).take(pa.array(who))  # not by way of floats, whatever nulls stand beside them
+                yield pa.RecordBatch.from_arrays(
+                    [ids, *(pa.array(c, pa.int64()) for c in columns), pa.array(kinds, pa.int32()), pa.array(numbers, pa.int64()),
+                     pa.array([worker] * len(who), pa.int32())],
+                    names=["id", "start", "length", "ids_crc32", "doc_tokens", "kind", "number", "worker"])
 
     return cut
 
@@ -153,7 +156,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     if capacity & (capacity - 1):
         raise ValueError("the capacity must be a power of two")
     given = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    pieces = materialize(given.mapInPandas(
+    pieces = materialize(given.mapInArrow(
         _pieces(tokenizer, capacity, end),
         "id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, kind int, number bigint, worker int"), "pieces")
 
