@@ -26,14 +26,16 @@ def plain(rows):
                 first.setdefault(line, t)
     ids = {}
     code = lambda line: ids.setdefault(line, 2 * len(ids) + 2 + long(line)) if line else 0
-    out = []
+    out, nameless = [], set()
     for doc, text in rows:
         if not text:
             out.append((doc, text))
             continue
-        if (doc if doc is not None else (1 << 63) - 1) > texts[text]:
+        if (doc if doc is not None else (1 << 63) - 1) > texts[text] or (doc is None and text in nameless):
             out.append((doc, ""))
             continue
+        if doc is None:
+            nameless.add(text)
         lines, gone = norm(text), set()
         for partner in {first[x] for x in lines if long(x)} - {text}:
             gone |= set(common_blocks([code(x) for x in norm(partner)], [code(x) for x in lines]))
@@ -85,6 +87,13 @@ def test_passage_in_later_document(spark):
     assert run(spark, rows) == [(1, rows[0][1]), (2, "own words stay here"), (3, rows[2][1])]
 
 
+def test_copies_without_ids(spark):
+    text, other, largest = "a line of words\nanother line of words", "a line of words\nand one more line", (1 << 63) - 1
+    assert run(spark, [(None, text)] * 3) == sorted([(None, text), (None, ""), (None, "")], key=str)
+    assert run(spark, [(None, text), (largest, text)]) == sorted([(None, ""), (largest, text)], key=str)
+    assert run(spark, [(None, text), (None, text), (4, other)]) == sorted([(None, "another line of words"), (None, ""), (4, other)], key=str)
+
+
 def test_empty(spark):
     assert run(spark, []) == []
 

@@ -9,14 +9,14 @@ SCHEMA = "doc_id bigint, text string, row string, rank int, h string, later int,
 
 def plain(rows):
     first = {}
-    key = lambda d: d if d is not None else (1 << 63) - 1
-    for doc, text in rows:
+    key = lambda i, d: (d is None, i if d is None else d)
+    for i, (doc, text) in enumerate(rows):
         for h, _, _ in spans(sentences(text or ""), SPAN, MIN_WORDS):
-            first[h] = min(first.get(h, key(doc)), key(doc))
+            first[h] = min(first.get(h, key(i, doc)), key(i, doc))
     out = []
-    for doc, text in rows:
+    for i, (doc, text) in enumerate(rows):
         units = sentences(text or "")
-        gone = removed(units, {h for h, _, _ in spans(units, SPAN, MIN_WORDS) if first[h] < key(doc)}, SPAN, MIN_WORDS)
+        gone = removed(units, {h for h, _, _ in spans(units, SPAN, MIN_WORDS) if first[h] < key(i, doc)}, SPAN, MIN_WORDS)
         out.append((doc, text if not gone else "".join(u for i, u in enumerate(units) if i not in gone), len(units), len(gone)))
     return sorted(out, key=str)
 
@@ -39,6 +39,16 @@ def test_against_plain(spark):
     assert run(spark, []) == []
 
 
+def test_copies_without_ids(spark):
+    rng = random.Random(12)
+    text = " ".join(sentence(rng, 9) for _ in range(8))
+    got = run(spark, [(None, text)] * 3)
+    assert sorted(t == text for _, t, _, _ in got) == [False, False, True] and all(t == text or len(t) < len(text) / 5 for _, t, _, _ in got)
+    largest = (1 << 63) - 1
+    got = run(spark, [(None, text), (largest, text), (0, "other words"), (None, "no span")])
+    assert {(d, t == text) for d, t, _, _ in got if t not in ("other words", "no span")} == {(None, False), (largest, True)}
+
+
 def test_units_are_the_text():
     rng = random.Random(8)
     for _ in range(200):

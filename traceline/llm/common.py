@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from traceline.storage import materialize
 
-__all__ = ["lower_ascii", "materialize", "ship", "table", "text_key"]
+__all__ = ["keyed", "lower_ascii", "materialize", "ship", "table", "text_key"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -47,3 +47,14 @@ def lower_ascii(text: Column) -> Column:
 def text_key(text: Column) -> tuple[Column, Column]:
     """Two independent 64-bit hashes that together name a text; null has a key of its own."""
     return F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text, F.length(text)).alias("k2")
+
+
+def keyed(docs: DataFrame, id_col: str, label: str) -> DataFrame:
+    """(row, id, number): the rows as structs, with their ids as bigint; a row without one gets a number instead.
+
+    Only the rows without an id are written, so that their numbers stay the same in every later reading.
+    """
+    own = F.col(id_col).cast("bigint")
+    rows = docs.select(F.struct("*").alias("row"), own.alias("id"), F.lit(None).cast("bigint").alias("number"))
+    without = docs.filter(own.isNull()).select(F.struct("*").alias("row"), own.alias("id"), F.monotonically_increasing_id().alias("number"))
+    return rows.filter("id is not null").unionByName(materialize(without, label))

@@ -13,8 +13,8 @@ Documents are ordered by id.  A line's first holder keeps it, so every line stay
 of one text are a single document whose first row stays and whose later rows lose every line.
 
 Defined cases: a null text stays null with no lines; an empty text has one blank line and stays; null
-ids come last and are alike; rows with the same id and text are treated alike; of different texts
-with the same id, one counts as earlier by a hash.  A text that loses all lines becomes empty.
+ids come last, in any order, and are a document each; rows with the same id and text are treated alike;
+of different texts with the same id, or without one, one counts as earlier by a hash.  A text that loses all lines becomes empty.
 Columns of the input are kept in the struct ``row`` and cannot clash.
 """
 
@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceline.llm.common import materialize, text_key
+from traceline.llm.common import keyed, materialize, text_key
 
 MIN_WORDS = 3
 LAST = (1 << 63) - 1
@@ -156,14 +156,15 @@ def _line_hashes(text):
     return F.transform(F.split(F.regexp_replace(text, "[\t\r]", " "), "\n", -1), of)
 
 
-def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(k1, k2, rank, kept): texts of which lines go, each once, with the ranges of lines that stay in
-    its first rows; rows whose id is above ``rank`` are copies of those."""
-    text = F.col(text_col)
-    rank = F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST))
-    given = docs.filter(text.isNotNull() & (text != "")).select(*text_key(text), rank.alias("rank"), _line_hashes(text).alias("lines"))
-    texts = materialize(given.groupBy("k1", "k2").agg(
-        F.min("rank").alias("rank"), F.max("rank").alias("top"), F.first("lines").alias("lines")), "lines")
+def duplicate_lines(rows: DataFrame, text_col: str = "text") -> DataFrame:
+    """(k1, k2, first_id, first_number, kept): texts of which lines go, each once, with the ranges of lines
+    that stay in its first rows; rows behind those are copies of them.  ``rows`` is made by ``keyed``."""
+    text = F.col("row").getField(text_col)
+    given = rows.filter(text.isNotNull() & (text != "")).select("id", "number", *text_key(text), _line_hashes(text).alias("lines"))
+    texts = given.groupBy("k1", "k2").agg(
+        F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.min("number").alias("first_number"),
+        F.max("number").alias("last_number"), F.first("lines").alias("lines"))
+    texts = materialize(texts.withColumn("rank", F.coalesce("first_id", F.lit(LAST))), "lines")
 
     held = texts.select("k1", "k2", "rank", F.explode(F.array_distinct(F.filter("lines", lambda h: h % 2 != 0))).alias("line"))
     shared = materialize(held.groupBy("line").agg(F.min(F.struct("rank", "k1", "k2")).alias("first"), F.count(F.lit(1)).alias("n"))
@@ -175,22 +176,23 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gone = both.select("k1", "k2", "lines", "first_lines").mapInPandas(_align_pairs, "k1 bigint, k2 bigint, gone array<int>")
     gone = materialize(gone.select("k1", "k2", F.explode("gone").alias("at")).groupBy("k1", "k2")
                        .agg(F.array_sort(F.collect_set("at")).alias("gone")), "lines-gone")
-    found = texts.select("k1", "k2", "rank", "top", F.size("lines").alias("n")).join(gone, ["k1", "k2"], "left") \
-        .filter("gone is not null or top > rank")
+    found = texts.select("k1", "k2", "first_id", "last_id", "first_number", "last_number", F.size("lines").alias("n")).join(gone, ["k1", "k2"], "left") \
+        .filter("gone is not null or last_id > first_id or last_number > first_number or (first_id is not null and first_number is not null)")
     stays = F.filter(F.transform(F.sequence(F.lit(0), F.size("gone")), lambda j: F.struct(
         F.when(j == 0, F.lit(0)).otherwise(F.get("gone", j - 1) + 1).alias("start"),
         F.coalesce(F.get("gone", j), F.col("n")).alias("stop"))), lambda r: r.start < r.stop)
-    return found.select("k1", "k2", "rank", F.when(F.col("gone").isNotNull(), stays).alias("kept"))
+    return found.select("k1", "k2", "first_id", "first_number", F.when(F.col("gone").isNotNull(), stays).alias("kept"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, text, n_lines, n_deleted) for every row of ``docs``: the row as it was and the text that stays."""
-    found = materialize(duplicate_lines(docs, id_col, text_col), "lines-kept")
-    text = F.col(text_col)
-    given = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)).alias("_rank"), *text_key(text))
-    text = F.col("row").getField(text_col)  # from the row, so that it is shuffled once
+    rows = keyed(docs, id_col, "lines-without-id")
+    found = materialize(duplicate_lines(rows, text_col), "lines-kept")
+    text = F.col("row").getField(text_col)
+    given = rows.select("row", "id", "number", *text_key(text))
+    copy = F.expr("id > first_id or number > first_number or (number is not null and first_id is not null)")
     joined = given.join(found, ["k1", "k2"], "left").select(
-        "row", "kept", text.alias("_text"), (F.col("_rank") > F.col("rank")).alias("copy"), F.split(text, "\n", -1).alias("lines"))
+        "row", "kept", text.alias("_text"), copy.alias("copy"), F.split(text, "\n", -1).alias("lines"))
     edited = F.array_join(F.flatten(F.transform("kept", lambda r: F.slice(F.col("lines"), r.start + 1, r.stop - r.start))), "\n")
     left = F.aggregate("kept", F.lit(0), lambda n, r: n + r.stop - r.start)
     n = F.coalesce(F.size("lines"), F.lit(0))

@@ -13,9 +13,9 @@ one document.
 Only pairs of a document and a different span are shuffled; the counts per span combine before the
 shuffle, and what a document loses is a list of its own spans.
 
-Defined cases: a null text stays null; an empty one stays; documents are ordered by id, null ids come
-last and are alike; rows that share an id count as one document, whose rows do not deduplicate each
-other.  A text that loses everything becomes empty.  The input's columns are kept in ``row``.
+Defined cases: a null text stays null; an empty one stays; documents are ordered by id; rows with null
+ids come last, in any order, and are a document each; rows that share an id count as one document, whose
+rows do not deduplicate each other.  A text that loses everything becomes empty.  The input's columns are kept in ``row``.
 """
 
 from __future__ import annotations
@@ -31,10 +31,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceline.llm.common import materialize
+from traceline.llm.common import keyed, materialize
 
 SPAN, MIN_WORDS, WINDOW = 3, 25, 7
-LAST = (1 << 63) - 1
 SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+")
 PIECE = re.compile(r"\s*\S+\s*")
 
@@ -111,26 +110,34 @@ def removed(units: list[str], later: set[int], span: int, min_words: int) -> set
 def _emit(span: int, min_words: int):
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ids, hashes = [], []
-            for rank, text in zip(pdf["rank"], pdf["text"]):
+            keys, numbered, hashes = [], [], []
+            for key, is_number, text in zip(pdf["key"], pdf["numbered"], pdf["text"]):
                 found = {h for h, _, _ in spans(sentences(text), span, min_words)}
                 hashes += found
-                ids += [rank] * len(found)
-            yield pd.DataFrame({"rank": pd.Series(ids, dtype="int64"), "h": pd.Series(hashes, dtype="int64")})
+                keys += [key] * len(found)
+                numbered += [is_number] * len(found)
+            yield pd.DataFrame({"key": pd.Series(keys, dtype="int64"), "numbered": pd.Series(numbered, dtype="bool"),
+                                "h": pd.Series(hashes, dtype="int64")})
 
     return emit
 
 
 def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
     """(row, text, n_sentences, n_removed) for every row of ``docs``."""
-    text, rank = F.col(text_col), F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST))
-    held = docs.filter(text.isNotNull()).select(rank.alias("rank"), text.alias("text")) \
-        .mapInPandas(_emit(span, min_words), "rank bigint, h bigint")
-    held = materialize(held, "spans")  # sixteen bytes for each span
-    repeated = materialize(held.groupBy("h").agg(F.min("rank").alias("first"), F.max("rank").alias("last"))
-                           .filter("first < last").select("h", "first"), "spans-repeated")
-    later = held.join(repeated, "h").filter("rank <> first").groupBy("rank").agg(F.collect_set("h").alias("later"))
-    later = materialize(later, "spans-later")
+    given = keyed(docs, id_col, "spans-without-id").select(
+        "row", F.coalesce("id", "number").alias("key"), F.col("number").isNotNull().alias("numbered"))
+    text = F.col("row").getField(text_col)
+    held = given.filter(text.isNotNull()).select("key", "numbered", text.alias("text")) \
+        .mapInPandas(_emit(span, min_words), "key bigint, numbered boolean, h bigint")
+    held = materialize(held, "spans")  # seventeen bytes for each span
+    of_id, of_number = (F.when(c, F.col("key")) for c in (~F.col("numbered"), F.col("numbered")))
+    repeated = held.groupBy("h").agg(F.min(of_id).alias("first"), F.max(of_id).alias("last"),
+                                     F.min(of_number).alias("first_number"), F.max(of_number).alias("last_number"))
+    repeated = repeated.filter("first < last or first_number < last_number or (first is not null and first_number is not null)")
+    repeated = materialize(repeated.select("h", F.coalesce("first", "first_number").alias("first_key"),
+                                           F.col("first").isNull().alias("first_numbered")), "spans-repeated")
+    later = held.join(repeated, "h").filter("key <> first_key or numbered <> first_numbered")
+    later = materialize(later.groupBy("key", "numbered").agg(F.collect_set("h").alias("later")), "spans-later")
 
     @F.pandas_udf("text string, n_sentences bigint, n_removed bigint")
     def cut(texts: pd.Series, lists: pd.Series) -> pd.DataFrame:
@@ -143,6 +150,5 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         frame["text"] = frame["text"].astype(object)
         return frame
 
-    given = docs.select(F.struct("*").alias("row"), rank.alias("rank")).join(later, "rank", "left")
-    done = given.select("row", cut(F.col("row").getField(text_col), "later").alias("cut"))
+    done = given.join(later, ["key", "numbered"], "left").select("row", cut(F.col("row").getField(text_col), "later").alias("cut"))
     return done.select("row", "cut.text", "cut.n_sentences", "cut.n_removed")
