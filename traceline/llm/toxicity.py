@@ -16,9 +16,9 @@ isolated words.
 
 Learning uses at most ``fit_rows`` labelled rows of each class, those with the least hash of the id,
 and never a held-out one.  Near copies share one unit of weight, so that words peculiar to a much copied
-text do not pass for insults.  The at most ``max_terms`` terms that separate the classes best are
-kept.  Everything sent to the driver is bounded by these two parameters.  Scoring reads every whole
-text once and needs no shuffle.
+text do not pass for insults.  Every term that separates the classes clearly (``MIN_GAIN``, ``MIN_SHARE``,
+``MIN_RATIO``) is kept, and paths are counted without a limit.  Everything sent to the driver comes from
+that sample alone.  Scoring reads every whole text once and needs no shuffle.
 
 Defined cases: a null or empty text scores like a text without any match; a null id is not held out
 and has no label; rows with null labels are ignored; an id labelled twice counts as toxic if it is so
@@ -43,9 +43,9 @@ from pyspark.sql.window import Window
 
 from traceline.llm.common import materialize
 
-FIT_ROWS, MAX_TERMS = 15_000, 1_000
+FIT_ROWS = 15_000
 MIN_GAIN, MIN_SHARE, MIN_RATIO = 25.0, 0.003, 5.0
-PREFIXES, NEGATION_REACH, COUNT_CAP, LONG_WORD, THRESHOLD = (3, 4, 5, 6, 7, 8), 3, 6, 8, 0.3
+PREFIXES, NEGATION_REACH, LONG_WORD, THRESHOLD = (3, 4, 5, 6, 7, 8), 3, 8, 0.3
 
 WORD, CLAUSE_END = re.compile(r"\w+"), re.compile(r"[.!?;\n]+")
 THREATS = frozenset("kill hurt shoot stab beat punch destroy töten schlagen erschießen tuer frapper matar golpear".split())
@@ -89,7 +89,7 @@ class Grammar:
         return next((word[:n] for n in PREFIXES if word[:n] + "*" in self.terms), None)
 
     def read(self, text: str | None) -> tuple[int, ...]:
-        """Counts of PATHS, each at most COUNT_CAP."""
+        """Counts of PATHS."""
         text = (text or "").lower()
         counts, seen, done = dict.fromkeys(PATHS, 0), set(), -1
         for at in self._find(text):
@@ -104,7 +104,7 @@ class Grammar:
             self._clause(WORD.findall(text[start:done]), counts, seen)
             done = max(done, at + 1)
         counts["different"] = len(seen)
-        return tuple(min(counts[p], COUNT_CAP) for p in PATHS)
+        return tuple(counts[p] for p in PATHS)
 
     def _clause(self, words: list[str], counts: dict[str, int], seen: set[str]) -> None:
         """One run of the composed transducers."""
@@ -177,10 +177,15 @@ def _gain(pos: Column, neg: Column, n_pos: float, n_neg: float) -> Column:
 def _choose(found: list) -> frozenset[str]:
     """Best first; of terms that begin alike only the best, of equals the longest and most exact."""
     chosen: list[str] = []
+    stems: set[str] = set()
+    beginnings: set[str] = set()
     for row in sorted(found, key=lambda r: (-round(r.gain, 6), -len(r.term.rstrip("*")), r.term.endswith("*"), r.term)):
         stem = row.term.rstrip("*")
-        if not any(stem.startswith(c) or c.startswith(stem) for c in (c.rstrip("*") for c in chosen)):
+        own = {stem[:n] for n in range(1, len(stem) + 1)}
+        if stem not in beginnings and not own & stems:
             chosen.append(row.term)
+            stems.add(stem)
+            beginnings |= own
     return frozenset(chosen)
 
 
@@ -200,7 +205,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        fit_rows: int = FIT_ROWS, max_terms: int = MAX_TERMS) -> Grammar:
+        fit_rows: int = FIT_ROWS) -> Grammar:
     known = labels.filter(~held_out(F.col(id_col)) & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()) \
         .groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))
     known = materialize(known, "toxic-labels")
@@ -225,15 +230,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     terms = train.mapInPandas(_count_terms, "term string, neg double, pos double").groupBy("term") \
         .agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
     strong = terms.filter((F.col("pos") >= max(2.5, MIN_SHARE * n[1])) & (F.col("pos") / n[1] >= MIN_RATIO * F.col("neg") / n[0])) \
-        .withColumn("gain", _gain(F.col("pos"), F.col("neg"), n[1], n[0])).filter(F.col("gain") >= MIN_GAIN) \
-        .orderBy(F.desc("gain"), "term").limit(max_terms)
+        .withColumn("gain", _gain(F.col("pos"), F.col("neg"), n[1], n[0])).filter(F.col("gain") >= MIN_GAIN)
     grammar = Grammar(_choose(strong.collect()))
 
     @F.pandas_udf("array<int>")
     def paths(texts: pd.Series) -> pd.Series:
         return pd.Series([list(grammar.read(t)) for t in texts])
 
-    # Capped counts: a bounded number of different vectors.
+    # At most one vector for each of the 2 * fit_rows rows.
     vectors = train.select(paths("text").alias("x"), "toxic", "weight").groupBy("x", "toxic").agg(F.sum("weight").alias("n")).collect()
     x, y = np.log1p(np.array([r.x for r in vectors], float)), np.array([r.toxic for r in vectors], float)
     each = np.array([r.n * of_class[r.toxic] / n[r.toxic] for r in vectors])
