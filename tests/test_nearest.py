@@ -2,7 +2,9 @@
 
 import random
 
-from traceline.operators.nearest import nearest_names
+from pyspark.sql import functions as F
+
+from traceline.operators.nearest import damerau_levenshtein, far_pairs, nearest_names
 
 
 def distance(a, b):
@@ -41,3 +43,30 @@ def test_against_exhaustive_search(spark):
         spark.createDataFrame([(w,) for w in wanted], "target_doc string"),
         spark.createDataFrame(names, "name string, path string")).collect()}
     assert got == {w: b for w in wanted if (b := best(w, names))}
+
+
+def test_distance(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcé☃") for _ in range(rng.randrange(0, 9)))
+    rows = [(word(), word()) for _ in range(400)] + [("", ""), ("ca", "abc"), ("ab", "ba"), ("a" * 40, "b" * 30), (None, "a"), ("a", None)]
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", damerau_levenshtein(F.col("a"), F.col("b")).alias("d")).collect()
+    assert [(r.a, r.b, r.d) for r in got] == [(a, b, None if a is None or b is None else distance(a, b)) for a, b in rows]
+
+
+def test_no_python_in_the_plan(spark):
+    wanted, known = spark.createDataFrame([("a/b",), ("xyz",)], "target_doc string"), spark.createDataFrame([("a/bcdef", "p")], "name string, path string")
+    plan = nearest_names(wanted, known)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_far_pairs_with_a_common_prefix(spark):
+    """None within the allowed edits is lost, and places keep most of the others apart."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    names = sorted({"team/" + word(rng.randrange(9, 16)) for _ in range(400)})
+    wanted = sorted({"".join(rng.choice([c, c, c, c, c, "", word(1)]) for c in rng.choice(names)) for _ in range(60)})
+    got = {(r.target_doc, r.name) for r in far_pairs(
+        spark.createDataFrame([(w,) for w in wanted], "target_doc string"),
+        spark.createDataFrame([(n, "p") for n in names], "name string, path string"), 0.6).collect()}
+    close = {(w, n) for w in wanted for n in names if 1 - distance(w, n) / max(len(w), len(n)) >= 0.6}
+    assert len(close) >= 40 and close <= got
