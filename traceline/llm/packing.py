@@ -33,7 +33,7 @@ from pyspark.sql.window import Window
 from traceline.llm.common import materialize
 
 CAPACITY, END = 4096, 2
-REMEMBERED, LONGEST_REMEMBERED, TOGETHER, TEXTS_AT_ONCE, PUNCTUATION = 200_000, 64, 256, 256, ".,!?;:"
+REMEMBERED, LONGEST_REMEMBERED, TOGETHER, CHARACTERS_AT_ONCE, PUNCTUATION = 250_000, 64, 256, 1 << 22, ".,!?;:"
 
 
 class Encoder:
@@ -117,6 +117,18 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def together(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Runs of the texts with at most ``CHARACTERS_AT_ONCE`` characters, or one text each."""
+    start, size = 0, 0
+    for at, text in enumerate(texts):
+        size += len(text or "")
+        if size > CHARACTERS_AT_ONCE and at > start:
+            yield texts[start:at]
+            start, size = at, len(text or "")
+    if start < len(texts):
+        yield texts[start:]
+
+
 def cuts(tokens: int, capacity: int) -> list[int]:
     """Lengths of the pieces: whole sequences, then the binary digits of the rest."""
     rest = tokens % capacity
@@ -131,7 +143,7 @@ def _pieces(path: str, capacity: int, end: int):
         worker = TaskContext.get().partitionId()
         for batch in batches:
             texts, rows = batch.column(1).to_pylist(), []
-            for who, encoded in enumerate(x for at in range(0, len(texts), TEXTS_AT_ONCE) for x in encoder(path)(texts[at:at + TEXTS_AT_ONCE])):
+            for who, encoded in enumerate(x for some in together(texts) for x in encoder(path)(some)):
                 encoded += last
                 view, start, total = memoryview(encoded), 0, len(encoded) // 4
                 for length in cuts(total, capacity):
