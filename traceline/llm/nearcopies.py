@@ -1,0 +1,46 @@
+"""Near copies for the pipeline's near-duplicate stage: SimHash, and the links that its bits cannot see.
+
+Documents are linked in two ways, both over shingles of ``SHINGLE`` = 5 words:
+
+1. by operator 1, fingerprints that differ in at most three bits, found by the binary trie self-join;
+2. by a Jaccard similarity of ``PERCENT`` = 80 % or more of their sets of shingles.  Such sets differ in about
+   ten of 64 bits, and no trie can prune with a budget that keeps nearly all of them apart from chance;
+   so these links are found exactly, by the n-gram join.
+
+A group is a connected component of both kinds of links together.
+
+Defined cases: texts without words (null, empty, white space) have fingerprint zero and are one group;
+fewer than five words are one shingle; only ASCII letters are folded; the first of a group is the row with
+the least id, ids that are null come last; rows equal in id and text are the same document and leave one row.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from traceline.llm import ngramjoin, simhash
+from traceline.llm.common import materialize, text_key
+from traceline.operators.graph import weakly_connected
+
+SHINGLE, PERCENT = 5, 80
+
+
+def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE,
+                    percent: int = PERCENT) -> DataFrame:
+    """One row of ``docs`` for each group, all columns: that of the least id."""
+    last = F.lit((1 << 63) - 1)
+    me = F.struct(F.coalesce(docs[id_col].cast("bigint"), last).alias("rank"), *text_key(docs[text_col]))
+    named = docs.select(me.alias("me"), docs[text_col].alias("text"))
+    found = (simhash.near_duplicates(named, "me", "text", size), ngramjoin.components(named, "me", "text", size, percent))
+    links = [x.filter("id <> component_id").select(F.col("id").alias("src"), F.col("component_id").alias("dst")) for x in found]
+    links = materialize(links[0].unionByName(links[1]).distinct(), "near-links")  # each document to the first of its group
+    later = materialize(weakly_connected(links).filter("node <> component").select(F.col("node").alias("_later")), "near-later")
+    kept = docs.join(later, me == F.col("_later"), "left_anti")
+    # Rows equal in id and text are not told apart so far; there are none where ids are unique.
+    twice = docs.groupBy(me.alias("_twice")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_twice")
+    twice = materialize(twice, "near-twice")
+    if twice.isEmpty():
+        return kept
+    again = kept.join(twice, me == F.col("_twice"), "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(twice, me == F.col("_twice"), "left_anti").unionByName(again)

@@ -239,5 +239,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     task_rows: int = TASK_ROWS) -> DataFrame:
     """(id, fp, component_id) for every row of ``docs``; ``component_id`` is the least id of the group."""
     rows = materialize(_groups(docs, id_col, text_col, shingle, task_rows), "simhash-groups")
-    names = rows.groupBy("part").agg(F.min("id").alias("component_id"))
+    # Written, so that the join knows the size of either side and may split a group with very many rows.
+    names = materialize(rows.groupBy("part").agg(F.min("id").alias("component_id")), "simhash-names")
     return rows.join(names, "part").select("id", "fp", "component_id")
