@@ -1,8 +1,12 @@
 """Span deduplication against a plain version, and planted passages."""
 
 import random
+import re
+import zlib
 
-from traceline.llm.spans import MIN_WORDS, SPAN, dedup_spans, removed, sentences, spans
+import xxhash
+
+from traceline.llm.spans import MIN_WORDS, SPAN, Text, dedup_spans, sentences, spans
 
 SCHEMA = "doc_id bigint, text string, row string, rank int, h string, later int, cut int"
 
@@ -11,12 +15,15 @@ def plain(rows):
     first = {}
     key = lambda i, d: (d is None, i if d is None else d)
     for i, (doc, text) in enumerate(rows):
-        for h, _, _ in spans(sentences(text or ""), SPAN, MIN_WORDS):
+        for h, _, _ in spans(text or "", SPAN, MIN_WORDS):
             first[h] = min(first.get(h, key(i, doc)), key(i, doc))
     out = []
     for i, (doc, text) in enumerate(rows):
         units = sentences(text or "")
-        gone = removed(units, {h for h, _, _ in spans(units, SPAN, MIN_WORDS) if first[h] < key(i, doc)}, SPAN, MIN_WORDS)
+        gone, seen = set(), set()
+        for h, start, stop in spans(text or "", SPAN, MIN_WORDS):
+            gone |= set(range(start, stop)) if h in seen or first[h] < key(i, doc) else set()
+            seen.add(h)
         out.append((doc, text if not gone else "".join(u for i, u in enumerate(units) if i not in gone), len(units), len(gone)))
     return sorted(out, key=str)
 
@@ -56,6 +63,47 @@ def test_units_are_the_text():
         assert "".join(sentences(text)) == text
 
 
+def plain_units(text):
+    """Sentences by one pattern, these after every word whose checksum is least in a window of seven."""
+    found = [(s, re.findall(r"\s*\S+\s*", s)) for s in re.findall(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+", text)]
+    sums = [zlib.crc32(w.strip().lower().encode()) for _, words in found for w in words]
+    windows = [sums[i:i + 7] for i in range(max(1, len(sums) - 6))]
+    out, at = [], 0
+    for sentence, words in found:
+        unit = "" if words else sentence
+        for k, word in enumerate(words):
+            unit += word
+            if k + 1 < len(words) and any(min(x) == sums[at] for x in windows[max(0, at - 6):at + 1]):
+                out.append(unit)
+                unit = ""
+            at += 1
+        out.append(unit)
+    return out
+
+
+def plain_spans(units):
+    words = [(i, u.lower().split()) for i, u in enumerate(units)]
+    words = [(i, w) for i, w in words if w]
+    out = []
+    for a in range(len(words)):
+        for b in range(a + SPAN, len(words) + 1):
+            run = [w for _, ws in words[a:b] for w in ws]
+            if len(run) >= MIN_WORDS:
+                out.append((xxhash.xxh64_intdigest(" ".join(run).encode()) - (1 << 63), words[a][0], words[b - 1][0] + 1))
+                break
+    return out
+
+
+def test_units_and_spans_against_patterns():
+    rng = random.Random(18)
+    kinds = ["a", "Bc ", ".", "! ", "\n", " ", "é?", "?.", " \n", "x.y", "\t", "\u00a0", "word " * 9]
+    for _ in range(5000):
+        text = "".join(rng.choice(kinds) for _ in range(rng.randrange(25)))
+        assert sentences(text) == plain_units(text), text
+        assert spans(text, SPAN, MIN_WORDS) == plain_spans(plain_units(text)), text
+        assert Text(text).n_units == len(plain_units(text))
+
+
 def test_long_passages_go_from_later_documents_only(spark):
     rng = random.Random(9)
     passages = [" ".join(sentence(rng, 9) for _ in range(6)), sentence(rng, 90)]  # the second has no end inside
@@ -70,7 +118,7 @@ def test_long_passages_go_from_later_documents_only(spark):
 
 def test_every_passage_of_50_words_holds_a_span():
     rng = random.Random(10)
-    found = lambda text: {h for h, _, _ in spans(sentences(text), SPAN, MIN_WORDS)}
+    found = lambda text: {h for h, _, _ in spans(text, SPAN, MIN_WORDS)}
     text = lambda n, kinds, ends: " ".join(f"w{rng.randrange(kinds)}" + rng.choice(ends) for _ in range(n))
     for k in range(3000):
         passage = text(50, rng.choice([2, 5, 5000]), rng.choice([[""], [""] * 12 + [".", "?"], [""] * 20 + ["!"]]))

@@ -34,73 +34,101 @@ from pyspark.sql import functions as F
 from traceline.llm.common import keyed, materialize
 
 SPAN, MIN_WORDS, WINDOW = 3, 25, 7
-SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+")
-PIECE = re.compile(r"\s*\S+\s*")
+#: A word up to the stops that follow it, and the white space behind.
+WORD = re.compile(r"([^\s.!?]+[.!?]*|[.!?]+)(\s*)")
+LEADING = re.compile(r"\s*")
+STOPS = (".", "!", "?")
 
 
 @lru_cache(1 << 16)
-def _word_hash(piece: str) -> int:
-    return zlib.crc32(piece.strip().lower().encode())
+def _word_hash(word: str) -> int:
+    return zlib.crc32(word.encode())
 
 
-def _cuts(pieces: list[str]) -> np.ndarray:
+def _cuts(words: list[str]) -> np.ndarray:
     """Whether a cut follows each word: if its hash is the least of ``WINDOW`` consecutive words with it."""
-    hashes = np.array([_word_hash(p) for p in pieces], np.uint32)
-    window = min(WINDOW, len(pieces))
-    starts = len(pieces) - window + 1
+    hashes = np.fromiter(map(_word_hash, words), np.uint32, len(words))
+    window = min(WINDOW, len(words))
+    starts = len(words) - window + 1
     least = hashes[:starts].copy()
     for k in range(1, window):
         np.minimum(least, hashes[k:k + starts], out=least)
-    top = np.zeros(len(pieces), np.uint32)
+    top = np.zeros(len(words), np.uint32)
     for k in range(window):
         np.maximum(top[k:k + starts], least, out=top[k:k + starts])
     return hashes == top
 
 
+def _goes_on(gap: str, stopped: bool, following: str) -> bool:
+    """Whether a sentence's end goes on behind ``gap``: line feeds alone stand between it and further stops."""
+    tail = gap if stopped else gap[gap.index("\n"):]
+    return following.startswith(STOPS) and tail.strip("\n") == ""
+
+
+class Text:
+    """The words of a text in lower case and its units; a unit ends with a sentence or at a cut."""
+
+    def __init__(self, text: str):
+        lead = LEADING.match(text).end()
+        found = WORD.findall(text, lead)
+        self.lead, self.found = text[:lead], found
+        self.words = [w.lower() for w, _ in found]
+        ends = np.zeros(len(found), bool)
+        if found:
+            ends |= _cuts(self.words)
+            for k, (word, gap) in enumerate(found):
+                stopped = word.endswith(STOPS)
+                if stopped or "\n" in gap:
+                    ends[k] |= not (gap and k + 1 < len(found) and _goes_on(gap, stopped, found[k + 1][0]))
+            ends[-1] = True
+        #: First word of each unit, and the number of words behind the last one.
+        self.borders = np.concatenate(([0], np.flatnonzero(ends) + 1))
+        #: White space that holds a line feed is a unit of its own at the beginning of a text.
+        self.alone = int(bool(lead) and (not found or ("\n" in self.lead and not _goes_on(self.lead, False, found[0][0]))))
+
+    @property
+    def n_units(self) -> int:
+        return self.alone + len(self.borders) - 1
+
+    def units(self) -> list[str]:
+        borders = self.borders.tolist()
+        out = ["".join([w + gap for w, gap in self.found[a:b]]) for a, b in zip(borders, borders[1:])]
+        if self.alone:
+            return [self.lead, *out]
+        return [self.lead + out[0], *out[1:]] if out else out
+
+    def spans(self, span: int, min_words: int) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """Hashes, first units and units behind the last; only words count, not the cuts between units."""
+        borders = self.borders
+        starts = borders[:-1]
+        stops = np.maximum(np.searchsorted(borders, starts + min_words), np.arange(len(starts)) + span)
+        first = np.flatnonzero(stops < len(borders))
+        if not len(first):
+            return [], first, first
+        stops = stops[first]
+        encoded = [w.encode() for w in self.words]
+        at = np.concatenate(([0], np.cumsum([len(w) + 1 for w in encoded])))
+        joined = b" ".join(encoded)
+        digest = xxhash.xxh64_intdigest
+        hashes = [digest(joined[a:b]) - (1 << 63) for a, b in zip(at[starts[first]].tolist(), (at[borders[stops]] - 1).tolist())]
+        return hashes, first + self.alone, stops + self.alone
+
+
 def sentences(text: str) -> list[str]:
     """Units whose concatenation is the text."""
-    found = [(s, PIECE.findall(s)) for s in SENTENCE.findall(text)]
-    words = [p for _, pieces in found for p in pieces]
-    if not words:
-        return [s for s, _ in found]
-    cuts, out, at = _cuts(words).tolist(), [], 0
-    for sentence, pieces in found:
-        if not pieces:
-            out.append(sentence)
-            continue
-        start = 0
-        for k in range(1, len(pieces)):
-            if cuts[at + k - 1]:
-                out.append("".join(pieces[start:k]))
-                start = k
-        out.append("".join(pieces[start:]))
-        at += len(pieces)
-    return out
-
-
-def spans(units: list[str], span: int, min_words: int) -> list[tuple[int, int, int]]:
+    return Text(text).units()
+
+
+def spans(text: str, span: int, min_words: int) -> list[tuple[int, int, int]]:
     """(hash, first unit, unit behind the last); units without words belong to no span."""
-    words = [(i, u.lower().split()) for i, u in enumerate(units)]
-    words = [(i, " ".join(w), len(w)) for i, w in words if w]
-    joined = [w for _, w, _ in words]
-    out, stop, size = [], 0, 0
-    for at in range(len(words)):
-        while stop < len(words) and (stop - at < span or size < min_words):
-            size += words[stop][2]
-            stop += 1
-        if stop - at < span or size < min_words:
-            break
-        # the cuts between units are not hashed: only the words of the run count
-        out.append((xxhash.xxh64_intdigest(" ".join(joined[at:stop]).encode()) - (1 << 63), words[at][0], words[stop - 1][0] + 1))
-        size -= words[at][2]
-    return out
-
-
-def removed(units: list[str], later: set[int], span: int, min_words: int) -> set[int]:
+    return [(h, a, b) for h, a, b in zip(*Text(text).spans(span, min_words))]
+
+
+def removed(text: Text, later: set[int], span: int, min_words: int) -> set[int]:
     """Units covered by spans of ``later`` or by further places of a span."""
     gone: set[int] = set()
     seen: set[int] = set()
-    for h, start, stop in spans(units, span, min_words):
+    for h, start, stop in zip(*text.spans(span, min_words)):
         if h in later or h in seen:
             gone.update(range(start, stop))
         seen.add(h)
@@ -112,7 +140,7 @@ def _emit(span: int, min_words: int):
         for pdf in batches:
             keys, numbered, hashes = [], [], []
             for key, is_number, text in zip(pdf["key"], pdf["numbered"], pdf["text"]):
-                found = {h for h, _, _ in spans(sentences(text), span, min_words)}
+                found = set(Text(text).spans(span, min_words)[0])
                 hashes += found
                 keys += [key] * len(found)
                 numbered += [is_number] * len(found)
@@ -143,9 +171,9 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def cut(texts: pd.Series, lists: pd.Series) -> pd.DataFrame:
         out = []
         for t, found in zip(texts, lists):
-            units = sentences(t or "")
-            gone = removed(units, set() if found is None else set(found.tolist()), span, min_words)
-            out.append((t if not gone else "".join(u for i, u in enumerate(units) if i not in gone), len(units), len(gone)))
+            cut_up = Text(t or "")
+            gone = removed(cut_up, set() if found is None else set(found.tolist()), span, min_words)
+            out.append((t if not gone else "".join(u for i, u in enumerate(cut_up.units()) if i not in gone), cut_up.n_units, len(gone)))
         frame = pd.DataFrame(out, columns=["text", "n_sentences", "n_removed"])
         frame["text"] = frame["text"].astype(object)
         return frame
