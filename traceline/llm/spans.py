@@ -76,10 +76,9 @@ class Text:
         ends = np.zeros(len(found), bool)
         if found:
             ends |= _cuts(self.words)
-            for k, (word, gap) in enumerate(found):
-                stopped = word.endswith(STOPS)
-                if stopped or "\n" in gap:
-                    ends[k] |= not (gap and k + 1 < len(found) and _goes_on(gap, stopped, found[k + 1][0]))
+            for k in [k for k, (word, gap) in enumerate(found) if word[-1] in ".!?" or (gap != " " and "\n" in gap)]:
+                word, gap = found[k]
+                ends[k] |= not (gap and k + 1 < len(found) and _goes_on(gap, word[-1] in ".!?", found[k + 1][0]))
             ends[-1] = True
         #: First word of each unit, and the number of words behind the last one.
         self.borders = np.concatenate(([0], np.flatnonzero(ends) + 1))
