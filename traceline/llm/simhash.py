@@ -235,6 +235,14 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, task_rows
     return rows.join(parts, "fp", "left").select("id", "k1", "k2", "fp", F.coalesce("component", "fp").alias("part"))
 
 
+def text_groups(docs: DataFrame, text_col: str = "text", shingle: int = 3, task_rows: int = TASK_ROWS) -> DataFrame:
+    """(t, part): the groups of ``near_duplicates`` as groups of the texts with words, named by ``xxhash64``."""
+    text = F.col(text_col)
+    words = docs.filter(text.rlike(r"[^ \t\n\x0B\f\r]"))
+    return _groups(words.withColumn("_none", F.lit(None).cast("bigint")), "_none", text_col, shingle, task_rows) \
+        .select(F.col("k1").alias("t"), "part").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                     task_rows: int = TASK_ROWS) -> DataFrame:
     """(id, fp, component_id) for every row of ``docs``; ``component_id`` is the least id of the group."""
