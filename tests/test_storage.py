@@ -4,8 +4,10 @@ import os
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
-from traceline.storage import clean_up, materialize, run_dir, shared_dir
+from traceline.sources.model import Corpus
+from traceline.storage import clean_up, materialize, run_dir, shared_dir, spread
 
 
 def stand_in(master, named=None):
@@ -38,3 +40,16 @@ def test_counting_while_writing(spark):
     assert materialize_counted(rows, "step", F.count_if(F.col("id") > 6))[1] == 3
     assert materialize_counted(rows.filter("id > 99"))[1] == 0
     assert materialize_counted(rows.filter("false"), "step", F.count_if(F.col("id") > 6))[1] == 0
+
+
+def test_rows_of_a_small_file_are_dealt(spark, tmp_path):
+    """A file of few bytes is one task by itself; dealt, no task has many more rows than asked for, and none is lost."""
+    path = str(tmp_path / "part.parquet")
+    spark.range(40_000).selectExpr("id p_partkey").coalesce(1).write.parquet(path)
+    sizes = lambda df: [r.n for r in df.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    table = Corpus(spark, str(tmp_path)).table("part")
+    assert sizes(table) == [40_000]
+    dealt = Corpus(spark, str(tmp_path)).dealt("part")
+    assert max(sizes(dealt)) < 12_000 and sum(sizes(dealt)) == 40_000
+    assert dealt.distinct().count() == 40_000
+    assert sizes(spread(table.limit(5), "p_partkey", 10)) == [5]
