@@ -50,6 +50,14 @@ def read_corpus_bytes(spark: SparkSession, paths: str | list[str], file_glob: st
             raw.filter(~ok).select("path"))
 
 
+def read_packed_corpus(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, text) of a corpus packed into Parquet tables ``(path, content)``, where a file of its own for each text would
+    cost a listing and an opening each; texts that are not UTF-8 are left out as in ``read_corpus``, absent ones stay null."""
+    raw = spark.read.schema("path string, content binary").parquet(*([paths] if isinstance(paths, str) else paths))
+    text = F.col("content").cast("string")
+    return raw.filter(F.coalesce(F.is_valid_utf8(text), F.lit(True))).select("path", text.alias("text"))
+
+
 def normalize_text(files: DataFrame) -> DataFrame:
     """Without byte order mark, with line feeds only; a lone carriage return stays."""
     return files.withColumn(
