@@ -135,6 +135,23 @@ def test_a_long_ring_takes_few_rounds(spark, monkeypatch):
     assert len(at) == n and at[0] == 0 and all((b - a) % n == 7919 for a, b in zip(at, at[1:]))
 
 
+def test_many_short_rings_take_rounds_by_their_length(spark, monkeypatch):
+    written, plain = [], gr.materialize_counted
+    monkeypatch.setattr(gr, "materialize_counted", lambda df, label="step", *a: written.append(label) or plain(df, label, *a))
+    edges = spark.range(900).select(F.format_string("n%04d", "id").alias("src"), F.format_string(
+        "n%04d", F.col("id") - F.col("id") % 3 + (F.col("id") + 1) % 3).alias("dst"))
+    got = {r.node: r.component for r in gr.strong_components(edges).collect()}
+    assert got == {f"n{i:04d}": f"n{i - i % 3:04d}" for i in range(900)}
+    assert written.count("jump") <= 5  # 11 if all doublings that a ring of 900 may need are made
+
+
+def test_tasks_that_point_one_way_are_not_searched_for_cycles(spark):
+    rows = [("up", "a", "b"), ("up", "b", "c"), ("down", "b", "a"), ("mixed", "a", "b"), ("mixed", "b", "a"), ("loop", "a", "a")]
+    edges = spark.createDataFrame(rows, "doc_id string, before_comp_id string, after_comp_id string") \
+        .withColumn("parent_path", F.array().cast("array<bigint>"))
+    assert {r.doc_id for r in gr._two_way_groups(edges).collect()} == {"mixed", "loop"}
+
+
 def test_weakly_connected(spark):
     rng = random.Random(9)
     edges = [(f"n{rng.randrange(60):02d}", f"n{rng.randrange(60):02d}") for _ in range(45)]
