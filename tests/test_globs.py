@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from traceline.functions.paths import glob_to_regex, is_glob
+from traceline.operators import globs as gl
 from traceline.operators.globs import _matches, match_globs
 
 
@@ -40,3 +41,15 @@ def test_pairs_tested_are_near_to_matches(spark, shape):
     tested, matched = tested.count(), matched.count()
     # "name_12*" is found by eight characters, so by "name_12", "name_120" and so on at most.
     assert 0 < matched <= tested <= 12 * matched + 20_000
+
+
+def test_globs_and_paths_are_dealt_to_tasks_by_rows(spark, monkeypatch):
+    tasks, plain = {}, gl.spread
+    monkeypatch.setattr(gl, "ROWS_PER_TASK", 10)
+    monkeypatch.setattr(gl, "spread", lambda df, key, rows: tasks.setdefault(key, plain(df, key, rows)))
+    n = spark.range(35)
+    globs = n.select(F.format_string("src/d%02d/*.rs", "id").alias("glob"))
+    files = n.select(F.format_string("src/d%02d/x.rs", "id").alias("path"))
+    got = {(r.glob, r.path) for r in gl.match_globs(globs, files).collect()}
+    assert got == {(f"src/d{i:02d}/*.rs", f"src/d{i:02d}/x.rs") for i in range(35)}
+    assert {k: df.rdd.getNumPartitions() for k, df in tasks.items()} == {"glob": 4, "path": 4}
