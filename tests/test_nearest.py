@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from traceline.operators import nearest as nn
 from traceline.operators.nearest import damerau_levenshtein, far_pairs, nearest_names
 
 
@@ -70,3 +71,13 @@ def test_far_pairs_with_a_common_prefix(spark):
         spark.createDataFrame([(n, "p") for n in names], "name string, path string"), 0.6).collect()}
     close = {(w, n) for w in wanted for n in names if 1 - distance(w, n) / max(len(w), len(n)) >= 0.6}
     assert len(close) >= 40 and close <= got
+
+
+def test_known_names_are_dealt_to_tasks_by_rows(spark, monkeypatch):
+    tasks, plain = [], nn.spread
+    monkeypatch.setattr(nn, "ROWS_PER_TASK", 10)
+    monkeypatch.setattr(nn, "spread", lambda df, key, rows: tasks.append(plain(df, key, rows)) or tasks[-1])
+    known = spark.range(25).select(F.format_string("part/%d/req", "id").alias("name"), F.lit("p").alias("path"))
+    got = nn.nearest_names(spark.createDataFrame([("parts/7/req",)], "target_doc string"), known.union(known)).collect()
+    assert [(r.target_doc, r.nearest, r.distance) for r in got] == [("parts/7/req", "part/7/req", 1)]
+    assert [df.rdd.getNumPartitions() for df in tasks] == [5]
