@@ -53,3 +53,11 @@ def test_rows_of_a_small_file_are_dealt(spark, tmp_path):
     assert max(sizes(dealt)) < 12_000 and sum(sizes(dealt)) == 40_000
     assert dealt.distinct().count() == 40_000
     assert sizes(spread(table.limit(5), "p_partkey", 10)) == [5]
+
+
+def test_components_are_written_in_one_folder_per_name(spark):
+    rows = spark.createDataFrame([("d", "Task", 1), ("d", "Decision", 2), ("e", "Task", 3)], "doc_id string, name string, ord int")
+    table = materialize(rows, "components", "name")
+    assert table.schema == rows.schema and sorted(table.collect()) == sorted(rows.collect())
+    tasks = table.filter("name = 'Task'").inputFiles()
+    assert table.filter("name = 'Decision'").count() == 1 and any("name=Task" in f for f in tasks)
