@@ -70,3 +70,16 @@ def test_global_order(spark):
     rows, df = frame(spark)
     got = [r.at for r in blocks.global_order(df, ["k", "ord"], "at").orderBy("k", "ord").collect()]
     assert got == list(range(len(rows)))
+
+
+def test_keys_of_one_block_need_no_carry_table(spark):
+    df = spark.createDataFrame([(k, i, (i * 7 + k) % 5 or None) for k in range(3) for i in range(20)], "k int, at int, v int")
+    assert blocks.block_size(df, "at", 20) is None and blocks.block_size(df, "at", 19) == 19
+    assert blocks.block_size(df.withColumn("at", F.col("at") - 1), "at", 20) == 20
+    ops = [lambda s: blocks.running_sums(df, ["k"], ["at"], {"x": F.coalesce("v", F.lit(0)), "y": F.lit(1)}, s),
+           lambda s: blocks.lag(df, ["k"], ["at"], ["v"], "prev", s), lambda s: blocks.carry_forward(df, ["k"], ["at"], {"c": F.col("v")}, s),
+           lambda s: blocks.carry_forward(df, ["k"], ["at"], {"c": F.col("v")}, s, exclusive=True)]
+    for op in ops:
+        got, want = op(None), op(4)
+        assert sorted(map(repr, got.select(*want.columns).collect())) == sorted(map(repr, want.collect()))
+        assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()

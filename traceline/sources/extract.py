@@ -124,26 +124,42 @@ def extract_front_matter(files: DataFrame, namespace: str = NAMESPACE) -> DataFr
 
 # -- S4, W9 ------------------------------------------------------------------------------------
 
-def _part(*groups: int) -> Column:
-    return F.concat(*[F.regexp_extract("piece", PIECE, g) for g in groups])
+def _taken_apart(rows: DataFrame) -> DataFrame:
+    """The parts of each ``piece``: before, opening, info, content, closing, comment.
+
+    ``PIECE`` runs once, for the text before; behind it a comment block or a fence begins, whose opening is its
+    first line and whose closing, if any, is its last.
+    """
+    # Inlined, so that it is found once: a filter on what follows from it would be pushed down with copies of it.
+    rows = rows.select("*", F.inline(F.array(F.struct(F.regexp_extract("piece", PIECE, 1).alias("before")))))
+    rows = rows.withColumn("_rest", F.col("piece").substr(F.length("before") + 1, F.length("piece")))
+    is_comment = F.col("_rest").rlike(r"\A {0,3}<!--")
+    rows = rows.withColumn("comment", F.when(is_comment, F.col("_rest")).otherwise("")) \
+        .withColumn("opening", F.when(is_comment, "").otherwise(F.regexp_extract("_rest", r"\A[^\n]*\n?", 0)))
+    rows = rows.withColumn("_inner", F.when(is_comment, "").otherwise(
+        F.col("_rest").substr(F.length("opening") + 1, F.length("_rest"))))
+    lines = F.when(F.col("_inner").endswith("\n"), F.col("_inner").substr(F.lit(1), F.length("_inner") - 1)).otherwise(F.col("_inner"))
+    last = F.substring_index(lines, "\n", -1)
+    closed = last.rlike(r"\A {0,3}(?:`{3,}|~{3,})[ \t]*\z") & F.ltrim(last).startswith(F.regexp_extract("opening", "`{3,}|~{3,}", 0))
+    rows = rows.withColumn("content", F.when(closed, F.col("_inner").substr(
+        F.lit(1), F.length(lines) - F.length(last))).otherwise(F.col("_inner")))
+    return rows.withColumn("closing", F.col("_inner").substr(F.length("content") + 1, F.length("_inner"))) \
+        .withColumn("info", F.regexp_extract("opening", r"\A {0,3}(?:`{3,}+|~{3,}+)([^\n]*)", 1)).drop("_rest", "_inner")
 
 
 def text_pieces(docs: DataFrame) -> DataFrame:
     """Pieces of each ``body`` with byte offset and line number of their start.
 
-    Pieces cover the body without gaps, so both are running sums over the pieces before.
+    Pieces cover the body without gaps, so both are running sums over the pieces before.  The pieces are
+    written, and taken apart behind the sums, so that no pattern looks at a text twice.
     """
-    raw = docs.select(
+    raw = materialize(docs.select(
         "path", "body_offset", "body_line", F.posexplode(F.regexp_extract_all("body", F.lit(PIECE), F.lit(0)))
-        .alias("piece_no", "piece")).filter("piece <> ''")
-    cut = raw.select(
-        "path", "body_offset", "body_line", "piece_no", "piece", _part(1).alias("before"), _part(2, 7).alias("opening"),
-        _part(4, 9).alias("info"), _part(5, 10).alias("content"), _part(6, 11).alias("closing"),
-        _part(12).alias("comment"))
+        .alias("piece_no", "piece")).filter("piece <> ''"), "pieces")
     size = F.octet_length("piece")
     lines = _newlines("piece")
-    summed = blocks.running_sums(cut, ["path"], ["piece_no"], {"_end": size, "_lines": lines})
-    return summed.select(
+    summed = blocks.running_sums(raw, ["path"], ["piece_no"], {"_end": size, "_lines": lines}, blocks.block_size(raw, "piece_no"))
+    return _taken_apart(summed).select(
         "path", "piece_no", "before", "opening", F.trim("info").alias("info"), "content", "closing", "comment",
         (F.col("body_offset") + F.col("_end") - size).alias("start"),
         (F.col("body_line") + F.col("_lines") - lines + 1).alias("line"))
@@ -184,15 +200,18 @@ def line_state(docs: DataFrame) -> DataFrame:
 
 def tag_tokens(fences: DataFrame) -> DataFrame:
     """Tags, comments and text of every fence in order, with byte offset, line and column."""
-    raw = fences.select("path", "fence_no", "content_start", "line", F.posexplode(
-        F.regexp_extract_all("content", F.lit(TOKEN), F.lit(0))).alias("pos", "token"))
+    raw = materialize(fences.select("path", "fence_no", "content_start", "line", F.posexplode(
+        F.regexp_extract_all("content", F.lit(TOKEN), F.lit(0))).alias("pos", "token")), "tokens-raw")
     size = F.octet_length("token")
     nl = _newlines("token")
     keys, order = ["path", "fence_no"], ["pos"]
-    rows = materialize(blocks.running_sums(raw, keys, order, {"_end": size, "_nl": nl}), "tokens-at")
+    block = blocks.block_size(raw, "pos")
+    rows = blocks.running_sums(raw, keys, order, {"_end": size, "_nl": nl}, block)
+    if block:
+        rows = materialize(rows, "tokens-at")
     tail = F.octet_length(F.substring_index("token", "\n", -1))
     rows = blocks.carry_forward(rows, keys, order, {
-        "_last": F.when(nl > 0, F.col("_end") - tail)})
+        "_last": F.when(nl > 0, F.col("_end") - tail)}, block)
     before = F.when(nl > 0, F.lit(None)).otherwise(F.col("_last"))
     is_tag = F.col("token").rlike(r"^</?[A-Za-z]")
     closing, selfclosing = F.col("token").startswith("</"), F.col("token").endswith("/>")
@@ -209,12 +228,14 @@ def tag_tokens(fences: DataFrame) -> DataFrame:
 
 
 def nesting_errors(tokens: DataFrame) -> DataFrame:
-    """(path, error) of documents whose fences are not well nested."""
+    """(path, error) of documents whose fences are not well nested; ``tokens`` is a written table."""
     keys, order = ["path", "fence_no"], ["pos"]
     step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
-    tags = materialize(blocks.running_sum(tokens.filter("kind in ('open', 'close')"), keys, order, step, "depth"), "tags")
+    block = blocks.block_size(tokens, "pos")
+    tags = materialize(blocks.running_sum(
+        tokens.filter("kind in ('open', 'close')"), keys, order, step, "depth", block), "tags")
     leveled = tags.withColumn("level", F.when(F.col("kind") == "open", F.col("depth")).otherwise(F.col("depth") + 1))
-    pairs = blocks.lag(leveled, [*keys, "level"], order, ["name", "kind"], "prev")
+    pairs = blocks.lag(leveled, [*keys, "level"], order, ["name", "kind"], "prev", block)
     wrong = pairs.filter((F.col("kind") == "close") & ~F.coalesce(
         (F.col("prev.kind") == "open") & (F.col("prev.name") == F.col("name")), F.lit(False)))
     open_end = tags.groupBy(*keys).agg(F.sum(step).alias("total")).filter("total <> 0")
@@ -247,13 +268,14 @@ def extract_components(fences: DataFrame, defs: DataFrame) -> tuple[DataFrame, D
     """
     tokens = materialize(tag_tokens(fences), "tokens")
     bad = materialize(nesting_errors(tokens), "nesting")
+    block = blocks.block_size(tokens, "pos")
     sound = tokens.join(bad.select("path").distinct(), "path", "left_anti")
     known = defs.select("name", F.lit(True).alias("known"))
     rows = sound.filter("kind <> 'comment'").join(known, "name", "left") \
         .filter("kind = 'text' or known")
     keys, order = ["path", "fence_no"], ["pos"]
     step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
-    deep = materialize(blocks.running_sum(rows, keys, order, step, "depth"), "depths")
+    deep = materialize(blocks.running_sum(rows, keys, order, step, "depth", block), "depths")
     deep = deep.withColumn("level", F.when(F.col("kind") == "empty", F.col("depth") + 1).otherwise(F.col("depth")))
     heads = deep.filter("kind in ('open', 'empty')")
     texts = deep.filter("kind = 'text' and depth > 0")
@@ -267,7 +289,7 @@ def extract_components(fences: DataFrame, defs: DataFrame) -> tuple[DataFrame, D
     ask_texts = texts.select("path", "fence_no", F.col("level").alias("at"), "pos", nul.alias("owner"))
     told = blocks.carry_forward(
         said.unionByName(ask_heads).unionByName(ask_texts), ["path", "fence_no", "at"], ["pos"],
-        {"parent_pos": F.col("owner")}).filter("owner is null").select("path", "fence_no", "pos", "parent_pos")
+        {"parent_pos": F.col("owner")}, block).filter("owner is null").select("path", "fence_no", "pos", "parent_pos")
     nodes = heads.join(told, ["path", "fence_no", "pos"], "left")
     body = texts.join(told, ["path", "fence_no", "pos"]).groupBy(
         "path", "fence_no", F.col("parent_pos").alias("pos")).agg(F.array_join(F.transform(F.array_sort(
@@ -282,7 +304,7 @@ def extract_components(fences: DataFrame, defs: DataFrame) -> tuple[DataFrame, D
     nodes = materialize(blocks.row_number(nodes, ["path"], ["seq"], "ord", 1 << 32), "ordered")
     nodes = nodes.withColumn("family", F.when(F.col("parent_pos").isNull(), F.lit(-1).cast("bigint"))
                              .otherwise(F.col("fence_no") * F.lit(1 << 32) + F.col("parent_pos")))
-    nodes = blocks.row_number(nodes, ["path", "family"], ["ord"], "nth")
+    nodes = blocks.row_number(nodes, ["path", "family"], ["ord"], "nth", blocks.block_size(nodes, "ord"))
     nodes = materialize(nodes.select("path", "fence_no", "pos", "seq", "family", "nth", "ord", "name", "token", "level",
                                      "byte_offset", "line", "col"), "nodes")
     depth = nodes.agg(F.max("level")).first()[0] or 0
@@ -335,5 +357,6 @@ def component_fence(components: DataFrame, fences: DataFrame) -> DataFrame:
                           F.struct("fence_no", "start", "end").alias("fence"), nul.cast("bigint").alias("ord"))
     asks = components.select("path", F.col("byte_offset").alias("at"), F.lit(1).alias("rank"),
                              nul.cast(marks.schema["fence"].dataType).alias("fence"), F.col("ord").cast("bigint"))
-    told = blocks.carry_forward(marks.unionByName(asks), ["path"], ["at", "rank", "ord"], {"inside": F.col("fence")})
+    rows = marks.unionByName(asks)
+    told = blocks.carry_forward(rows, ["path"], ["at", "rank", "ord"], {"inside": F.col("fence")}, blocks.block_size(rows, "at"))
     return told.filter("rank = 1 and at < inside.end").select("path", "ord", "inside.fence_no", "inside.start", "inside.end")
