@@ -219,3 +219,30 @@ def test_corpus_query_writes_no_file_per_document(spark, tmp_path):
     made = set(Path(run_dir(spark).replace("file:", "")).glob("corpus-*")) - before
     assert len(got) == 500 and {r.n_chars for r in got} == {2, None}
     assert len(made) == 1 and len(list(next(iter(made)).rglob("*.parquet"))) < 10
+
+
+def test_pieces_are_taken_apart_as_their_pattern_does(spark):
+    fences = ["```a b\nx\n```\n", "````\n```\n`````  \nrest", "~~~ t\n```\n~~~~\n", "  ```\n\n", "```", "```\n", "~~~x~\ny", "```\n```",
+              "```\n``\n    ```\n ```\t\n", "~~~\n```\n", "<!-- a\n```\n--> b\n", " <!-- open\n", "```a`b\nno\n```\n", "\u00e9\n```\n\U0001f600\n```\nz"]
+    texts = ["", "\n", "text", *fences, *[a + b for a in fences for b in fences], *["w\r\n" + a + "end\n" + a for a in fences]]
+    docs = spark.createDataFrame([(str(i), t, 0, 0) for i, t in enumerate(texts)], "path string, body string, body_offset long, body_line long")
+    pieces = docs.select(F.explode(F.regexp_extract_all("body", F.lit(ex.PIECE), F.lit(0))).alias("piece")).filter("piece <> ''")
+    group = lambda *gs: F.concat(*[F.regexp_extract("piece", ex.PIECE, g) for g in gs])
+    want = {"before": (1,), "opening": (2, 7), "info": (4, 9), "content": (5, 10), "closing": (6, 11), "comment": (12,)}
+    rows = ex._taken_apart(pieces).select("piece", *want, *[group(*gs).alias(f"want_{k}") for k, gs in want.items()]).collect()
+    assert len(rows) > len(texts)
+    for row in rows:
+        assert {k: row[k] for k in want} == {k: row[f"want_{k}"] for k in want}, row["piece"]
+
+
+def test_texts_are_taken_apart_with_one_window_and_without_a_second_reading(spark):
+    docs = spark.createDataFrame([("a", "t\n```traceline-xml\n<A/>\n```\n", 0, 0)], "path string, body string, body_offset long, body_line long")
+    plan = ex.text_pieces(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Window") == 1 and "regexp_extract_all" not in plan
+
+
+def test_rename_plan_looks_at_each_text_once(spark):
+    from traceline.catalog import REGISTRY
+
+    plan = REGISTRY["B1_rename_component_plan"].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "p_partkey" not in plan and "piece_no" not in plan  # neither texts nor their pieces are made for the plan itself
