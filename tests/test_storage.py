@@ -61,3 +61,17 @@ def test_components_are_written_in_one_folder_per_name(spark):
     assert table.schema == rows.schema and sorted(table.collect()) == sorted(rows.collect())
     tasks = table.filter("name = 'Task'").inputFiles()
     assert table.filter("name = 'Decision'").count() == 1 and any("name=Task" in f for f in tasks)
+
+
+def test_shuffles_are_cut_into_more_parts_as_rows_grow(spark, tmp_path):
+    from traceline.storage import PARTS, bound_tasks
+
+    path = str(tmp_path / "rows")
+    spark.range(1000).write.parquet(path)
+    bound_tasks(spark)
+    assert spark.conf.get(PARTS, None) is None
+    for rows_per_task, parts in ((500, None), (10, "100"), (5, "200"), (20, "200")):
+        spread(spark.read.parquet(path), "id", rows_per_task)
+        assert spark.conf.get(PARTS, None) == parts
+    bound_tasks(spark)  # the next corpus begins anew
+    assert spark.conf.get(PARTS, None) is None

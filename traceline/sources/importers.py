@@ -65,7 +65,7 @@ def parse_requirements(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(glossary, F.struct(nothing.cast("int").alias("line"), nothing.cast("string").alias("number"),
                                 nothing.cast("string").alias("title"))),
     }
-    rows = materialize(blocks.carry_forward(lines, ["file"], ["line"], marks), "requirement-lines")
+    rows = materialize(blocks.carry_forward(lines, ["file"], ["line"], marks, blocks.block_size(lines, "line")), "requirement-lines")
     left = (F.col("_section") == "glossary") & (F.col("_h2_line") > F.col("_section_line"))
     rows = rows.withColumn("_section", F.when(~F.coalesce(left, F.lit(False)), F.col("_section"))) \
         .filter("_req.line is not null")
@@ -102,7 +102,7 @@ def parse_tasks(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = blocks.carry_forward(lines, ["file"], ["line"], {
         "_in_tasks": F.when(h2, F.lower(F.trim(_x(r"^## (.+)$", 1))) == "tasks"), "_owner": owner,
         "_section_line": F.when(h2, F.col("line")),
-        "_task_line": F.when(is_task, F.col("line"))}).filter("_in_tasks")
+        "_task_line": F.when(is_task, F.col("line"))}, blocks.block_size(lines, "line")).filter("_in_tasks")
     # An owner from an earlier section does not count, nor does a sub-task without a task.
     rows = materialize(rows.filter("_owner.line > _section_line and _task_line > _section_line"), "task-lines")
     tasks = rows.filter(is_task | is_sub).select(
@@ -136,10 +136,13 @@ def code_state(lines: DataFrame) -> DataFrame:
     toggle = text == "```"
     opens = text.rlike(r"^```\w+$")
     closes = (F.ltrim(text) == "```") & ~toggle
-    rows = materialize(blocks.running_sum(lines, ["file"], ["line"], toggle.cast("int"), "_n"), "toggles")
+    block = blocks.block_size(lines, "line")
+    rows = blocks.running_sum(lines, ["file"], ["line"], toggle.cast("int"), "_n", block)
+    if block:
+        rows = materialize(rows, "toggles")
     before = F.col("_n") - toggle.cast("int")
     rows = blocks.carry_forward(rows, ["file"], ["line"], {
-        "_set": F.when(opens | closes, F.struct(opens.cast("int").alias("v"), F.col("_n").alias("n")))}, exclusive=True)
+        "_set": F.when(opens | closes, F.struct(opens.cast("int").alias("v"), F.col("_n").alias("n")))}, block, exclusive=True)
     last = F.col("_set")
     state = (F.coalesce(last["v"], F.lit(0)) + before - F.coalesce(last["n"], F.lit(0))) % 2 == 1
     return rows.withColumn("in_code", state).withColumn(
@@ -155,7 +158,7 @@ def parse_design_validates(lines: DataFrame) -> tuple[DataFrame, DataFrame, Data
     rows = blocks.carry_forward(rows, ["file"], ["line"], {
         "section": F.when(outside & text.rlike(DESIGN_HEADING), F.struct(
             F.trim(_x(DESIGN_HEADING, 2)).alias("heading"), F.length(_x(DESIGN_HEADING, 1)).alias("level"))),
-        "_block": F.when(opening, F.struct(F.col("line").alias("line"), _x(CODE_OPEN, 1).alias("lang")))})
+        "_block": F.when(opening, F.struct(F.col("line").alias("line"), _x(CODE_OPEN, 1).alias("lang")))}, blocks.block_size(rows, "line"))
     named = rows.filter(outside & text.rlike(VALIDATES)).select(
         "file", "line", F.coalesce("section.heading", F.lit("")).alias("heading"),
         F.coalesce("section.level", F.lit(0)).alias("level"), F.trim(_x(VALIDATES, 1)).alias("raw"))
