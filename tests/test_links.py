@@ -1,4 +1,4 @@
-"""Resolved links without places and the work of ordered tasks."""
+"""Resolved links without places, shared fingerprints and the work of ordered tasks."""
 
 import glob
 
@@ -6,10 +6,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_rules import COMPONENTS, comp, corpus  # noqa: F401
+from traceline.operators import changes as ch
 from traceline.operators import graph as gr
 from traceline.operators import resolve as rs
 from traceline.storage import run_dir
 
+COVERAGE = "doc_id string, comp_id string, test_count long"
+EDGES = "src string, dst string, kind string, fragment string"
+
 
 def rows(df):
     return sorted((tuple(r) for r in df.collect()), key=str)
@@ -40,6 +44,20 @@ def test_task_links_are_what_resolves(corpus, spark):  # noqa: F811
     assert {r.comp_id for r in got.collect()} == {"t1", "t2", "t3"}
 
 
+def test_fingerprints_tell_attributes_and_missing_values_apart(corpus, spark):  # noqa: F811
+    docs = corpus[0].limit(1)
+    doc = docs.first()["doc_id"]
+    edges, seen = spark.createDataFrame([], EDGES), spark.createDataFrame([(doc, "c", 1)], COVERAGE)
+
+    def of(*args, **kw):
+        return ch.fingerprint_documents(docs, spark.createDataFrame([comp(doc, *args, **kw)], COMPONENTS), edges, seen).first()[1]
+
+    states = [of([0], 0, "Task", {"a": "b=c"}), of([0], 0, "Task", {"a=b": "c"}), of([0], 0, "Task", {"a": None, "b": "c"}),
+              of([0], 0, "Task", {"a": "b", "c": None}), of([0], 0, "Task", {}), of([0, 1], 0, "Task", {})]
+    assert len(set(states)) == len(states)
+    assert of([0], 0, "Task", {"x": "1", "y": "2"}) == of([0], 5, "Task", {"y": "2", "x": "1"})
+
+
 def test_a_chain_is_written_once_over_all_rounds(spark):
     n = 20
     before = set(glob.glob(f"{run_dir(spark)}/topo*"))

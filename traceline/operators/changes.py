@@ -8,33 +8,51 @@ from pyspark.sql import functions as F
 from traceline.operators.reports import diff_snapshots
 
 
-def _hash_sum(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
-    """Order-free hash of all rows of a key: two independent sums and the count.
+def _hash(values: list[Column]) -> list[Column]:
+    """Two independent hashes of the values, in halves of 32 bits so that their sums stay plain numbers.
+
+    ``xxhash64`` passes over nulls, so which values are null is hashed as well.
+    """
+    nulls = [v.isNull() for v in values]
+    whole = [F.xxhash64(*nulls, *values), F.xxhash64(F.lit("second"), *values, *nulls)]
+    return [half for h in whole for half in (F.shiftright(h, 32), F.shiftright(F.shiftleft(h, 32), 32))]
+
+
+def _hash_sums(df: DataFrame, what: str, values: list[Column]) -> DataFrame:
+    """(doc_id, what, n, s0..s3): order-free hash of the rows of a document, as the sums of their hashes and their count.
 
     Sums combine before the shuffle, so a document with any number of rows is no hot group.
     """
-    h1, h2 = F.xxhash64(value), F.xxhash64(F.lit("second"), value)
-    return df.groupBy(*keys).agg(
-        F.sum(h1.cast("decimal(20,0)")).alias("s1"), F.sum(h2.cast("decimal(20,0)")).alias("s2"),
-        F.count(F.lit(1)).alias("n")).select(*keys, F.xxhash64("s1", "s2", "n").alias("h"))
+    rows = df.select("doc_id", *[h.alias(f"s{i}") for i, h in enumerate(_hash(values))])
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(4)]) \
+        .select("doc_id", F.lit(what).alias("what"), F.xxhash64("n", "s0", "s1", "s2", "s3").alias("h"))
+
+
+def document_parts(components: DataFrame, edges: DataFrame, coverage: DataFrame) -> DataFrame:
+    """(doc_id, hc, he, hv): hashes of the components, outgoing edges and evidence of each document that has some."""
+    # Entries in the order of their keys; the text tells where an entry ends and which values are missing.
+    entries = F.sort_array(F.map_entries("attrs"))
+    comps = _hash_sums(components, "hc", [F.size("comp_path"), F.col("comp_path"), F.col("name"), F.col("comp_id"), F.size("attrs"),
+                                          entries, entries.cast("string"), F.col("body_text")])
+    out = _hash_sums(edges.select(F.col("src").alias("doc_id"), "dst", "kind", "fragment").distinct(), "he",
+                     [F.col("dst"), F.col("kind"), F.col("fragment")])
+    seen = _hash_sums(coverage, "hv", [F.col("comp_id"), F.col("test_count")])
+    both = comps.unionByName(out).unionByName(seen)
+    return both.groupBy("doc_id").agg(*[F.max(F.when(F.col("what") == x, F.col("h"))).alias(x) for x in ("hc", "he", "hv")])
+
+
+def document_fingerprints(documents: DataFrame, parts: DataFrame) -> DataFrame:
+    """(doc_id, fingerprint) over a document's own content and its ``document_parts``."""
+    zero = F.lit(0).cast("bigint")
+    own = [F.col(c) for c in ("doc_type", "status", "title", "path", "project")]
+    return documents.select("doc_id", F.xxhash64(*[v.isNull() for v in own], *own).alias("hd")).join(parts, "doc_id", "left").select(
+        "doc_id", F.xxhash64("hd", *[F.coalesce(x, zero) for x in ("hc", "he", "hv")]).alias("fingerprint"))
 
 
 def fingerprint_documents(documents: DataFrame, components: DataFrame, edges: DataFrame, coverage: DataFrame
                           ) -> DataFrame:
     """(doc_id, fingerprint) over content, components, outgoing edges and evidence."""
-    entry = F.transform(F.array_sort(F.map_entries("attrs")), lambda e: F.concat_ws("=", e["key"], e["value"]))
-    comps = _hash_sum(components, ["doc_id"], F.to_json(F.struct(
-        "comp_path", "name", "comp_id", entry.alias("attrs"), "body_text"))).withColumnRenamed("h", "hc")
-    out = _hash_sum(edges.select(F.col("src").alias("doc_id"), "dst", "kind", "fragment").distinct(), ["doc_id"],
-                    F.to_json(F.struct("dst", "kind", "fragment"))).withColumnRenamed("h", "he")
-    seen = _hash_sum(coverage.select("doc_id", "comp_id", "test_count"), ["doc_id"],
-                     F.to_json(F.struct("comp_id", "test_count"))).withColumnRenamed("h", "hv")
-    own = documents.select("doc_id", F.xxhash64(F.to_json(F.struct(
-        "doc_type", "status", "title", "path", "project"))).alias("hd"))
-    rows = own.join(comps, "doc_id", "left").join(out, "doc_id", "left").join(seen, "doc_id", "left")
-    zero = F.lit(0).cast("bigint")
-    return rows.select("doc_id", F.xxhash64("hd", F.coalesce("hc", zero), F.coalesce("he", zero), F.coalesce("hv", zero))
-                       .alias("fingerprint"))
+    return document_fingerprints(documents, document_parts(components, edges, coverage))
 
 
 def diff_documents(previous: DataFrame, current: DataFrame) -> DataFrame:
