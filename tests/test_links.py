@@ -1,4 +1,4 @@
-"""Resolved links without places, shared fingerprints and the work of ordered tasks."""
+"""Resolved links without places, shared fingerprints, exports and the work of ordered tasks."""
 
 import glob
 
@@ -9,6 +9,7 @@ from tests.test_rules import COMPONENTS, comp, corpus  # noqa: F401
 from traceline.operators import changes as ch
 from traceline.operators import graph as gr
 from traceline.operators import resolve as rs
+from traceline.sources import sinks
 from traceline.storage import run_dir
 
 COVERAGE = "doc_id string, comp_id string, test_count long"
@@ -58,6 +59,13 @@ def test_fingerprints_tell_attributes_and_missing_values_apart(corpus, spark):
     assert of([0], 0, "Task", {"x": "1", "y": "2"}) == of([0], 5, "Task", {"y": "2", "x": "1"})
 
 
+def test_export_marks_criteria_only(corpus, spark):  # noqa: F811
+    docs, _, _, _ = corpus
+    comps = spark.createDataFrame([comp("p1/req", [0], 0, "Criterion", {"id": "c-1"}), comp("p1/req", [0], 1, "Rationale", {})], COMPONENTS)
+    got = sinks.export_rows(docs, comps, spark.createDataFrame([("p1/req", "c-1", 2)], COVERAGE), spark.createDataFrame([], EDGES))
+    assert rows(got.select("kind", "outcome")) == [("Criterion", "verified"), ("Rationale", None)]
+
+
 def test_a_chain_is_written_once_over_all_rounds(spark):
     n = 20
     before = set(glob.glob(f"{run_dir(spark)}/topo*"))

@@ -24,8 +24,9 @@ def write_graph_json(documents: DataFrame, components: DataFrame, edges: DataFra
 
 def export_rows(documents: DataFrame, components: DataFrame, coverage: DataFrame, edges: DataFrame) -> DataFrame:
     """Component rows with verification state and outgoing edges per document, one row per part."""
-    crit = ev.evidence_outcome(components, coverage).select("doc_id", "comp_path", "outcome")
-    parts = components.join(crit, ["doc_id", "comp_path"], "left").select(
+    # Only criteria meet the coverage; other components go past it.
+    rest = components.filter("name <> 'Criterion' or comp_id is null").withColumn("outcome", F.lit(None).cast("string"))
+    parts = rest.unionByName(ev.evidence_outcome(components, coverage).drop("test_count")).select(
         "doc_id", F.lit("component").alias("part"), F.col("name").alias("kind"),
         F.array_join(F.transform("comp_path", lambda x: x.cast("string")), ",").alias("at"), "comp_id", "outcome",
         F.when(F.col("name") == "VerifiedBy", verified_by_label(F.col("attrs"))).alias("detail"))
