@@ -4,9 +4,10 @@ import random
 import re
 import zlib
 
+import pandas as pd
 import xxhash
 
-from traceline.llm.spans import MIN_WORDS, SPAN, Text, dedup_spans, sentences, spans
+from traceline.llm.spans import MIN_WORDS, SPAN, Text, _emit, dedup_spans, sentences, spans
 
 SCHEMA = "doc_id bigint, text string, row string, rank int, h string, later int, cut int"
 
@@ -124,3 +125,16 @@ def test_every_passage_of_50_words_holds_a_span():
         passage = text(50, rng.choice([2, 5, 5000]), rng.choice([[""], [""] * 12 + [".", "?"], [""] * 20 + ["!"]]))
         a, b = (f"{text(rng.randrange(60), 5000, [''] * 9 + ['.'])} {passage} {text(rng.randrange(60), 5000, [''])}" for _ in "ab")
         assert found(a) & found(b), (k, passage)
+
+
+def test_texts_that_lose_nothing_are_not_cut_up_again(spark):
+    plain = " ".join(f"w{i}." for i in range(60))
+    twice = f"{plain} And then again. {plain}"
+    (found,) = _emit(SPAN, MIN_WORDS)(iter([pd.DataFrame({"key": [1, 2], "numbered": [False] * 2, "text": [plain, twice]})]))
+    told = found[found["h"].isna()].set_index("key")["units"]
+    assert told[1] == 60 and pd.isna(told[2])
+    docs = spark.createDataFrame([(1, plain.upper().replace("W", "x")), (1, None), (2, plain), (3, twice)], "doc_id long, text string")
+    got = {(r.row.doc_id, r.row.text): (r.text, r.n_sentences, r.n_removed) for r in dedup_spans(docs).collect()}
+    for text in (plain.upper().replace("W", "x"), plain):
+        assert got[2 if text == plain else 1, text] == (text, 60, 0)
+    assert got[1, None] == (None, 0, 0) and got[3, twice][2] > 60

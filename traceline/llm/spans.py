@@ -135,16 +135,21 @@ def removed(text: Text, later: set[int], span: int, min_words: int) -> set[int]:
 
 
 def _emit(span: int, min_words: int):
+    """Rows (key, numbered, h) for the different spans of a text, and one without ``h`` that tells its ``units`` if no span
+    of it stands twice: such a text loses nothing by itself and need not be cut up again unless an earlier one holds a span."""
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keys, numbered, hashes = [], [], []
+            keys, numbered, hashes, units = [], [], [], []
             for key, is_number, text in zip(pdf["key"], pdf["numbered"], pdf["text"]):
-                found = set(Text(text).spans(span, min_words)[0])
-                hashes += found
-                keys += [key] * len(found)
-                numbered += [is_number] * len(found)
+                cut_up = Text(text)
+                places = cut_up.spans(span, min_words)[0]
+                found = set(places)
+                hashes += [None, *found]
+                units += [cut_up.n_units if len(found) == len(places) else None, *[None] * len(found)]
+                keys += [key] * (len(found) + 1)
+                numbered += [is_number] * (len(found) + 1)
             yield pd.DataFrame({"key": pd.Series(keys, dtype="int64"), "numbered": pd.Series(numbered, dtype="bool"),
-                                "h": pd.Series(hashes, dtype="int64")})
+                                "h": pd.Series(hashes, dtype="Int64"), "units": pd.Series(units, dtype="Int64")})
 
     return emit
 
@@ -155,8 +160,12 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "row", F.coalesce("id", "number").alias("key"), F.col("number").isNotNull().alias("numbered"))
     text = F.col("row").getField(text_col)
     held = given.filter(text.isNotNull()).select("key", "numbered", text.alias("text")) \
-        .mapInPandas(_emit(span, min_words), "key bigint, numbered boolean, h bigint")
+        .mapInPandas(_emit(span, min_words), "key bigint, numbered boolean, h bigint, units bigint")
     held = materialize(held, "spans")  # seventeen bytes for each span
+    # Rows that share an id are not told apart here, so they are cut up again.
+    whole = held.filter("h is null").groupBy("key", "numbered").agg(F.count(F.lit(1)).alias("rows"), F.max("units").alias("units")) \
+        .filter("rows = 1 and units is not null").drop("rows")
+    held = held.filter("h is not null").drop("units")
     of_id, of_number = (F.when(c, F.col("key")) for c in (~F.col("numbered"), F.col("numbered")))
     repeated = held.groupBy("h").agg(F.min(of_id).alias("first"), F.max(of_id).alias("last"),
                                      F.min(of_number).alias("first_number"), F.max(of_number).alias("last_number"))
@@ -167,9 +176,12 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     later = materialize(later.groupBy("key", "numbered").agg(F.collect_set("h").alias("later")), "spans-later")
 
     @F.pandas_udf("text string, n_sentences bigint, n_removed bigint")
-    def cut(texts: pd.Series, lists: pd.Series) -> pd.DataFrame:
+    def cut(texts: pd.Series, lists: pd.Series, units: pd.Series) -> pd.DataFrame:
         out = []
-        for t, found in zip(texts, lists):
+        for t, found, n in zip(texts, lists, units):
+            if found is None and t is not None and not pd.isna(n):  # a null text may share its id
+                out.append((t, int(n), 0))
+                continue
             cut_up = Text(t or "")
             gone = removed(cut_up, set() if found is None else set(found.tolist()), span, min_words)
             out.append((t if not gone else "".join(u for i, u in enumerate(cut_up.units()) if i not in gone), cut_up.n_units, len(gone)))
@@ -177,5 +189,7 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         frame["text"] = frame["text"].astype(object)
         return frame
 
-    done = given.join(later, ["key", "numbered"], "left").select("row", cut(F.col("row").getField(text_col), "later").alias("cut"))
+    facts = whole.join(later, ["key", "numbered"], "full")
+    done = given.join(facts, ["key", "numbered"], "left").select(
+        "row", cut(F.col("row").getField(text_col), "later", "units").alias("cut"))
     return done.select("row", "cut.text", "cut.n_sentences", "cut.n_removed")
