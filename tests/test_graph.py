@@ -123,6 +123,15 @@ def test_strong_components_of_chains_loops_and_tails(spark):
     assert got == strong(set(edges))
 
 
+def test_a_chain_between_a_node_and_one_that_is_contracted_into_it_is_on_the_cycle(spark):
+    ring = [(f"r{i}", f"r{(i + 1) % 10}") for i in range(10)]
+    edges = [("y", "b"), ("b", "x"), ("x", "y"), ("y", "c"), ("c", "z"), ("z", "y"), ("x", "r0"), ("z", "r0"), *ring]
+    df = spark.createDataFrame(edges, "src string, dst string")
+    got = gr.strong_components(df).collect()
+    assert len(got) == len({r.node for r in got}) and {r.node: r.component for r in got} == strong(set(edges))
+    assert {tuple(r.path) for r in gr.cycles(df).collect()} == reported(None, set(edges))
+
+
 def test_a_long_ring_takes_few_rounds(spark, monkeypatch):
     n, written = 100_000, []
     for name in ("materialize", "materialize_counted"):
