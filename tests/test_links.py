@@ -5,7 +5,9 @@ import glob
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import SMOKE_DIR
 from tests.test_rules import COMPONENTS, comp, corpus  # noqa: F401
+from traceline.catalog import REGISTRY
 from traceline.operators import changes as ch
 from traceline.operators import graph as gr
 from traceline.operators import resolve as rs
@@ -45,6 +47,26 @@ def test_task_links_are_what_resolves(corpus, spark):  # noqa: F811
     assert {r.comp_id for r in got.collect()} == {"t1", "t2", "t3"}
 
 
+@pytest.mark.parametrize("resolve", [rs.resolve_refs, rs.resolve_task_implements])
+def test_names_are_resolved_alike_without_places(corpus, resolve):  # noqa: F811
+    docs, comps, defs, projects = corpus
+    for full, named in zip(resolve(comps, docs, defs, projects), resolve(comps, docs, defs, projects, places=False)):
+        assert not set(rs.PLACE) & set(named.columns)
+        assert rows(named) == rows(full.select(*named.columns)) != []
+
+
+def checked_by(spark, name):
+    """Columns of the tables of checked references that a query writes."""
+    before = set(glob.glob(f"{run_dir(spark)}/checked-*"))
+    REGISTRY[name].run(spark, SMOKE_DIR)
+    return [set(spark.read.parquet(x).columns) for x in set(glob.glob(f"{run_dir(spark)}/checked-*")) - before]
+
+
+def test_places_of_broken_references_are_not_written(spark):
+    tables = checked_by(spark, "R9_broken_ref")
+    assert len(tables) == 2 and not any(x & set(rs.PLACE) for x in tables)
+
+
 def test_fingerprints_tell_attributes_and_missing_values_apart(corpus, spark):  # noqa: F811
     docs = corpus[0].limit(1)
     doc = docs.first()["doc_id"]

@@ -29,6 +29,17 @@ def test_clean_up(spark):
     assert not os.path.exists(run_dir(spark).removeprefix("file:"))
 
 
+def test_shuffle_files_of_a_written_table_go(spark):
+    def held():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    before = held()
+    table = materialize(spark.range(1000).repartition(3, "id").groupBy("id").count().repartition(2, "count"))
+    assert not held() - before and table.count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"  # later jobs may share theirs
+
+
 def test_counting_while_writing(spark):
     from pyspark.sql import functions as F
 
