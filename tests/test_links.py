@@ -67,6 +67,11 @@ def test_places_of_broken_references_are_not_written(spark):
     assert len(tables) == 2 and not any(x & set(rs.PLACE) for x in tables)
 
 
+@pytest.mark.parametrize("name", ["R7_isolated_document"])
+def test_what_broke_is_not_written_by_queries_that_do_not_ask(spark, name):
+    assert checked_by(spark, name) == []
+
+
 def test_fingerprints_tell_attributes_and_missing_values_apart(corpus, spark):  # noqa: F811
     docs = corpus[0].limit(1)
     doc = docs.first()["doc_id"]
