@@ -67,7 +67,7 @@ def test_places_of_broken_references_are_not_written(spark):
     assert len(tables) == 2 and not any(x & set(rs.PLACE) for x in tables)
 
 
-@pytest.mark.parametrize("name", ["R7_isolated_document", "Q5_context", "Q3_plan"])
+@pytest.mark.parametrize("name", ["R7_isolated_document", "Q5_context", "Q3_plan", "Q4_partition_targets"])
 def test_what_broke_is_not_written_by_queries_that_do_not_ask(spark, name):
     assert checked_by(spark, name) == []
 
