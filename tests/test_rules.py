@@ -157,3 +157,23 @@ def test_needs_attention_counts_the_hidden(spark):
                                      "suggestion string, effective_severity string")
     got = rp.needs_attention(df)
     assert {(r.effective_severity, r.hidden) for r in got.collect()} == {("error", 4), ("warning", 8)} and got.count() == 8
+
+
+def tagged(spark, holders, matches):
+    rows = [c for i in range(holders) for c in (
+        comp(f"d{i}", [0], 0, "Criterion", {"id": "c-1"}),
+        comp(f"d{i}", [0, 0], 1, "VerifiedBy", {"strategy": "tag", "tag": f"t{i % 2}"}, "Criterion"))]
+    rows += [comp("g", [0], 0, "Criterion", {"id": "c-1"}),
+             comp("g", [0, 0], 1, "VerifiedBy", {"strategy": "file-glob", "paths": "a/*.rs, a/x.rs"}, "Criterion"),
+             comp("n", [0], 0, "Criterion", {"id": "c-1"}), comp("n", [0, 0], 1, "VerifiedBy", {"strategy": "tag"}, "Criterion")]
+    found = [(f"f{i}", i, ["t0", "t1", "t9", None][i % 4]) for i in range(matches)]
+    return spark.createDataFrame(rows, COMPONENTS), spark.createDataFrame(found, "file string, line int, tag string"), \
+        spark.createDataFrame([("a/x.rs",), ("a/y.rs",), ("b/x.rs",)], "path string")
+
+
+def test_labels_are_counted_without_the_records(spark):
+    comps, found, files = tagged(spark, 10, 40)
+    records = ev.explicit_evidence(comps, found, files).selectExpr("explode(provenance) p")
+    want = {r.label: r["count"] for r in records.groupBy(ev.provenance_label(records.p).alias("label")).count().collect()}
+    assert {r.label: r.n for r in ev.explicit_labels(comps, found, files).collect()} == want
+    assert want["authored:tag(d3:t1)"] == 10 and want["authored:glob(g)"] == 2
