@@ -171,9 +171,19 @@ def tagged(spark, holders, matches):
         spark.createDataFrame([("a/x.rs",), ("a/y.rs",), ("b/x.rs",)], "path string")
 
 
-def test_labels_are_counted_without_the_records(spark):
+def test_tags_with_many_holders_are_dealt_by_pairs(spark, monkeypatch):
+    comps, found, files = tagged(spark, 10, 40)
+    whole = sorted(map(str, ev.explicit_evidence(comps, found, files).collect()))
+    assert len(whole) == 2 * 5 * 10 + 2
+    monkeypatch.setattr(ev, "PAIRS_PER_TASK", 7)
+    assert sorted(map(str, ev.explicit_evidence(comps, found, files).collect())) == whole
+    assert ev._tag_pairs(ev._wanted_tags(comps), found).rdd.getNumPartitions() >= 100 // 7
+
+
+def test_labels_are_counted_without_the_records(spark, monkeypatch):
     comps, found, files = tagged(spark, 10, 40)
     records = ev.explicit_evidence(comps, found, files).selectExpr("explode(provenance) p")
     want = {r.label: r["count"] for r in records.groupBy(ev.provenance_label(records.p).alias("label")).count().collect()}
+    monkeypatch.setattr(ev, "_tag_pairs", None)
     assert {r.label: r.n for r in ev.explicit_labels(comps, found, files).collect()} == want
     assert want["authored:tag(d3:t1)"] == 10 and want["authored:glob(g)"] == 2
