@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from traceline.operators import evidence as ev
 from traceline.operators import graph as gr
@@ -187,3 +188,11 @@ def test_labels_are_counted_without_the_records(spark, monkeypatch):
     monkeypatch.setattr(ev, "_tag_pairs", None)
     assert {r.label: r.n for r in ev.explicit_labels(comps, found, files).collect()} == want
     assert want["authored:tag(d3:t1)"] == 10 and want["authored:glob(g)"] == 2
+
+
+def test_graph_errors_do_not_ask_for_the_status(corpus):
+    docs = corpus[0]
+    found = docs.select(F.lit("broken_ref").alias("rule"), "doc_id")
+    got = pq.apply_severities(found, docs)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.effective_severity for r in got.collect()} == {"error"} and got.count() == docs.count()
